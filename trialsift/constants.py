@@ -178,6 +178,21 @@ MODEL_PRICES = (
     ("google/gemma-4-31b-it:free", "openrouter", 262144, 0.0, 0.0, None, None),
 )
 
+# Provider model ids.
+MODEL_IDS = {
+    "nemotron-3-super-120b-a12b-free": "nvidia/nemotron-3-super-120b-a12b:free",
+    "nemotron-3-super-120b-a12b": "nvidia/nemotron-3-super-120b-a12b",
+    "gpt-oss-120b": "openai/gpt-oss-120b",
+    "gpt-oss-120b-free": "openai/gpt-oss-120b:free",
+    "gpt-oss-20b": "openai/gpt-oss-20b",
+    "qwen3-32b": "qwen/qwen3-32b",
+    "llama-3.3-70b-instruct": "meta-llama/llama-3.3-70b-instruct",
+    "qwen3-235b-a22b": "qwen/qwen3-235b-a22b",
+    "claude-sonnet-4.6": "claude-sonnet-4-6",
+    "gpt-5.5": "gpt-5.5",
+    "google/gemma-4-31b-it:free": "google/gemma-4-31b-it:free",
+}
+
 # Provider-error markers.
 RETRYABLE_STATUS = (408, 409, 425, 429, 500, 502, 503, 504)
 TRANSIENT_MARKERS = (

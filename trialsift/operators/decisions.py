@@ -8,7 +8,6 @@ of any size costs a single shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +35,13 @@ def col_of(sq_id: str) -> str:
     return "q" + sq_id.replace(".", "")
 
 
-def is_in(sq_id: str, code_class: str) -> Column:
-    return F.col(col_of(sq_id)).isin(*CODE_CLASSES[code_class])
+def is_in(sq_id: str, code_class: str) -> str:
+    """SQL test of one routed answer; rule tables are built as SQL text and parsed once."""
+    return f"{col_of(sq_id)} IN (" + ", ".join(f"'{code}'" for code in CODE_CLASSES[code_class]) + ")"
 
 
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def _known(sq_ids) -> str:
+    return " AND ".join(f"{col_of(sq)} IS NOT NULL" for sq in sq_ids)
 
 
 # --------------------------------------------------------------------------
@@ -50,40 +50,41 @@ def _all(conditions: list[Column]) -> Column:
 def pivot_answers(raw: DataFrame, key: list[str], sq_ids=C.ALL_SQS, value: str = "answer") -> DataFrame:
     """Long answers to one wide row per key; partial aggregation runs map-side."""
     return raw.groupBy(*key).agg(
-        *[F.max(F.when(F.col("sq_id") == sq, F.col(value))).alias(col_of(sq)) for sq in sq_ids]
+        *[F.expr(f"max(CASE WHEN sq_id = '{sq}' THEN {value} END)").alias(col_of(sq)) for sq in sq_ids]
     )
 
 
-def _then(gate: Column, test: Column) -> Column:
+def _then(gate: str, test: str) -> str:
     """`test` where the gate holds, else the gate itself (false or still open)."""
-    return F.when(gate, test).otherwise(gate)
+    return f"IF({gate}, {test}, {gate})"
 
 
-def gates() -> dict[str, Column]:
+def gates() -> dict[str, str]:
     """Gate per conditional question, over the supplied answers only.
 
     Three-valued: true asks the question, false makes it NA, null means its
     operands are still open.  Gates are acyclic, so each is written straight
     over the supplied columns and no iteration is needed.
     """
-    assignment = F.col("effect") == "assignment"
-    g23 = is_in("2.1", "Y?") | is_in("2.2", "Y?")
+    g23 = f"({is_in('2.1', 'Y?')} OR {is_in('2.2', 'Y?')})"
     g24 = _then(g23, is_in("2.3", "Y"))
     g25 = _then(g24, is_in("2.4", "Y?"))
-    g26 = _then(g23, is_in("2.3", "N?")) | is_in("2.4", "Y?") | is_in("2.5", "Y?")
-    g32 = is_in("3.1", "N?")
+    g26 = f"({_then(g23, is_in('2.3', 'N?'))} OR {is_in('2.4', 'Y?')} OR {is_in('2.5', 'Y?')})"
+    g32 = f"({is_in('3.1', 'N?')})"
     g33 = _then(g32, is_in("3.2", "N"))
-    g43 = F.when(
-        F.col("q41").isNotNull() & F.col("q42").isNotNull(), is_in("4.1", "N?") & is_in("4.2", "N?")
-    )
+    g43 = f"IF({_known(('4.1', '4.2'))}, {is_in('4.1', 'N?')} AND {is_in('4.2', 'N?')}, NULL)"
     g44 = _then(g43, is_in("4.3", "Y?"))
-    g52 = is_in("5.1", "N?")
+    g52 = f"({is_in('5.1', 'N?')})"
+
+    def by_effect(assignment: str, adhering: str) -> str:
+        return f"IF(effect = 'assignment', {assignment}, {adhering})"
+
     return {
         "2.3": g23,
-        "2.4": F.when(assignment, g24).otherwise(F.lit(True)),
-        "2.5": F.when(assignment, g25).otherwise(F.lit(True)),
-        "2.6": F.when(assignment, F.lit(True)).otherwise(g26),
-        "2.7": F.when(assignment, is_in("2.6", "N?")).otherwise(F.lit(False)),
+        "2.4": by_effect(g24, "true"),
+        "2.5": by_effect(g25, "true"),
+        "2.6": by_effect("true", g26),
+        "2.7": by_effect(is_in("2.6", "N?"), "false"),
         "3.2": g32,
         "3.3": g33,
         "3.4": _then(g33, is_in("3.3", "Y?")),
@@ -99,47 +100,40 @@ def _gate_col(sq: str) -> str:
     return "g" + col_of(sq)[1:]
 
 
-def _routed_code(sq: str) -> Column:
-    g = F.col(_gate_col(sq))
-    return F.when(g, F.col(col_of(sq))).when(~g, F.lit("NA"))
-
-
 def route(wide: DataFrame) -> DataFrame:
     """Overwrite structurally not-applicable answers with NA (needs column `effect`)."""
     gate = gates()
     question = {col_of(sq): sq for sq in gate}
-    with_gates = wide.withColumns({_gate_col(sq): g for sq, g in gate.items()})
-    return with_gates.select(
-        *[_routed_code(question[c]).alias(c) if c in question else F.col(c) for c in wide.columns]
+    with_gates = wide.selectExpr("*", *[f"{g} AS {_gate_col(sq)}" for sq, g in gate.items()])
+    return with_gates.selectExpr(
+        *[
+            f"CASE WHEN {_gate_col(question[c])} THEN {c} WHEN NOT {_gate_col(question[c])} THEN 'NA' END AS {c}"
+            if c in question
+            else f"`{c}`"
+            for c in wide.columns
+        ]
     )
 
 
 def wave_frontier(wide_partial: DataFrame) -> DataFrame:
     """Questions askable now and questions already known not to apply, per pair."""
-    gate = {sq: gates().get(sq, F.lit(True)) for sq in C.ALL_SQS}
-    with_gates = wide_partial.withColumns({_gate_col(sq): g for sq, g in gate.items()})
+    gate = {sq: gates().get(sq, "true") for sq in C.ALL_SQS}
+    with_gates = wide_partial.selectExpr("*", *[f"{g} AS {_gate_col(sq)}" for sq, g in gate.items()])
 
-    def listed(condition) -> Column:
-        return F.array_join(
-            F.array_compact(F.array(*[F.when(condition(sq), F.lit(sq)) for sq in C.ALL_SQS])), ","
-        )
+    def listed(test) -> str:
+        return "concat_ws(',', " + ", ".join(f"IF({test(sq)}, '{sq}', NULL)" for sq in C.ALL_SQS) + ")"
 
-    return with_gates.select(
+    return with_gates.selectExpr(
         *PAIR_KEY,
-        listed(lambda sq: F.col(_gate_col(sq)) & F.col(col_of(sq)).isNull()).alias("ask_now"),
-        listed(lambda sq: ~F.col(_gate_col(sq))).alias("not_applicable"),
+        listed(lambda sq: f"{_gate_col(sq)} AND {col_of(sq)} IS NULL") + " AS ask_now",
+        listed(lambda sq: f"NOT {_gate_col(sq)}") + " AS not_applicable",
     )
 
 
 def to_long(wide: DataFrame, key: list[str], sq_ids=C.ALL_SQS) -> DataFrame:
-    """Unpivot routed answers to (sq_id, domain, answer) rows."""
-    entries = F.array(
-        *[
-            F.struct(F.lit("D" + sq[0]).alias("domain"), F.lit(sq).alias("sq_id"), F.col(col_of(sq)).alias("answer"))
-            for sq in sq_ids
-        ]
-    )
-    return wide.select(*key, F.explode(entries).alias("e")).select(*key, "e.*")
+    """Unpivot routed answers to (domain, sq_id, answer) rows."""
+    rows = ", ".join(f"struct('D{sq[0]}' AS domain, '{sq}' AS sq_id, {col_of(sq)} AS answer)" for sq in sq_ids)
+    return wide.selectExpr(*key, f"inline(array({rows}))")
 
 
 def na_answers(routed: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
@@ -216,43 +210,37 @@ RULES = {
 }
 
 
-def _rule_chain(name: str, value) -> Column:
-    chain = None
+def _rule_cases(name: str, value) -> str:
+    cases = []
     for pattern, judgment, why in RULES[name]:
-        terms = [term.split("=") for term in pattern.split()]
-        hit = _all([is_in(sq, code_class) for sq, code_class in terms])
-        chain = F.when(hit, value(judgment, why)) if chain is None else chain.when(hit, value(judgment, why))
-    return chain
+        test = " AND ".join(is_in(*term.split("=")) for term in pattern.split())
+        cases.append(f"WHEN {test} THEN {value(judgment, why)}")
+    return "CASE " + " ".join(cases) + " END"
 
 
-def _verdict(judgment: Column | str, rationale: Column | str) -> Column:
-    j = F.lit(judgment) if isinstance(judgment, str) else judgment
-    r = F.lit(rationale) if isinstance(rationale, str) else rationale
-    return F.struct(j.alias("judgment"), r.alias("rationale"))
+def _verdict(judgment: str, rationale: str) -> str:
+    return f"named_struct('judgment', {judgment}, 'rationale', {rationale})"
 
 
-def _table_verdict(name: str) -> Column:
-    return _rule_chain(name, lambda judgment, why: _verdict(judgment, f"{why} -> {judgment}"))
+def _table_verdict(name: str) -> str:
+    return _rule_cases(name, lambda judgment, why: _verdict(f"'{judgment}'", f"'{why} -> {judgment}'"))
 
 
-def _assignment_verdict() -> Column:
-    deviation = _rule_chain("D2 deviation", lambda judgment, _: F.lit(judgment))
-    analysis = _rule_chain("D2 analysis", lambda judgment, _: F.lit(judgment))
+def _assignment_verdict() -> str:
+    deviation = _rule_cases("D2 deviation", lambda judgment, _: f"'{judgment}'")
+    analysis = _rule_cases("D2 analysis", lambda judgment, _: f"'{judgment}'")
+    both = f"array({deviation}, {analysis})"
     judgment = (
-        F.when(deviation.isNull() | analysis.isNull(), None)
-        .when((deviation == LOW) & (analysis == LOW), LOW)
-        .when((deviation == HIGH) | (analysis == HIGH), HIGH)
-        .otherwise(SOME)
+        f"CASE WHEN p[0] IS NULL OR p[1] IS NULL THEN NULL WHEN p[0] = '{LOW}' AND p[1] = '{LOW}' THEN '{LOW}' "
+        f"WHEN array_contains(p, '{HIGH}') THEN '{HIGH}' ELSE '{SOME}' END"
     )
-    why = F.concat(
-        F.lit("assignment: deviation component="), deviation, F.lit(", analysis component="), analysis,
-        F.lit(" -> "), judgment,
-    )
-    return F.when(judgment.isNotNull(), _verdict(judgment, why))
+    why = f"concat('assignment: deviation component=', p[0], ', analysis component=', p[1], ' -> ', {judgment})"
+    # bind both components once, then combine
+    combined = f"transform(array({both}), p -> {_verdict(judgment, why)})[0]"
+    return f"IF({combined}.judgment IS NOT NULL, {combined}, NULL)"
 
 
-def domain_verdict(domain: str, effect: str | None = None) -> Column:
-    """struct(judgment, rationale); null when the answers reach no table row."""
+def verdict_sql(domain: str, effect: str | None = None) -> str:
     if domain not in C.DOMAINS:
         raise ValueError(f"unknown domain {domain!r}")
     if domain != "D2":
@@ -262,11 +250,21 @@ def domain_verdict(domain: str, effect: str | None = None) -> Column:
     elif effect == "adhering":
         verdict = _table_verdict("D2 adhering")
     else:
-        verdict = F.when(F.col("effect") == "assignment", _assignment_verdict()).when(
-            F.col("effect") == "adhering", _table_verdict("D2 adhering")
+        verdict = (
+            f"CASE effect WHEN 'assignment' THEN {_assignment_verdict()} "
+            f"WHEN 'adhering' THEN {_table_verdict('D2 adhering')} END"
         )
-    complete = _all([F.col(col_of(sq)).isNotNull() for sq in C.DOMAIN_SQS[domain]])
-    return F.when(complete, verdict)
+    return f"IF({_known(C.DOMAIN_SQS[domain])}, {verdict}, NULL)"
+
+
+def domain_verdict(domain: str, effect: str | None = None) -> Column:
+    """struct(judgment, rationale); null when the answers reach no table row."""
+    return F.expr(verdict_sql(domain, effect))
+
+
+def domain_judgment(domain: str) -> Column:
+    """The judgment alone, named d1..d5."""
+    return F.expr(f"({verdict_sql(domain)}).judgment").alias(domain.lower())
 
 
 def judge(routed: DataFrame, key: list[str] = PAIR_KEY, domains=C.DOMAINS) -> DataFrame:
@@ -342,15 +340,14 @@ def wide_judgments(judgments: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame
 
 
 def with_overall(pivoted: DataFrame) -> DataFrame:
-    def tally(label: str) -> Column:
-        return reduce(
-            lambda a, b: a + b,
-            [F.when(F.col(d.lower()) == label, 1).otherwise(0) for d in C.DOMAINS],
-        )
+    def tally(test: str) -> Column:
+        return F.expr(" + ".join(f"IF({d.lower()} {test}, 1, 0)" for d in C.DOMAINS))
 
-    judged = reduce(lambda a, b: a + b, [F.col(d.lower()).isNotNull().cast("int") for d in C.DOMAINS])
-    parts = _overall(tally(HIGH), tally(SOME), judged)
-    return pivoted.select("*", *[c.alias(n) for n, c in parts.items()])
+    counted = pivoted.withColumns(
+        {"n_high": tally(f"= '{HIGH}'"), "n_some": tally(f"= '{SOME}'"), "n_judged": tally("IS NOT NULL")}
+    )
+    parts = _overall(F.col("n_high"), F.col("n_some"), F.col("n_judged"))
+    return counted.select(*pivoted.columns, *[c.alias(n) for n, c in parts.items()])
 
 
 def reliability_basis(sq_answers: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from trialsift.plans.registry import REGISTRY
 
-_MODULES = ("decisions",)
+_MODULES = ("decisions", "evaluation")
 
 
 def load():

@@ -254,7 +254,7 @@ def domain_pivot(spark, sf):
 def judgment_counts(spark, sf):
     """Flagship: answers -> route -> judge -> rollup -> counts."""
     routed = _routed_df(spark, sf)
-    verdicts = routed.select(*KEY, *[D.domain_verdict(d)["judgment"].alias(d.lower()) for d in C.DOMAINS])
+    verdicts = routed.select(*KEY, *[D.domain_judgment(d) for d in C.DOMAINS])
     return (
         D.with_overall(verdicts)
         .groupBy("effect", F.coalesce("overall_judgment", F.lit("undefined")).alias("overall_judgment"))
@@ -340,12 +340,12 @@ def wave_frontier(spark, sf):
 )
 def d1_shared_across_outcomes(spark, sf):
     d1_wide = D.pivot_answers(corpus.trial_answers(spark, sf), ["trial_id", "effect"], C.DOMAIN_SQS["D1"])
-    d1 = d1_wide.select("trial_id", "effect", D.domain_verdict("D1")["judgment"].alias("d1"))
+    d1 = d1_wide.select("trial_id", "effect", D.domain_judgment("D1"))
     outcome_sqs = [s for s in C.ALL_SQS if not s.startswith("1.")]
     wide = D.pivot_answers(corpus.raw_answers(spark, sf, outcome_sqs), KEY, outcome_sqs)
     wide = wide.withColumns({D.col_of(s): F.lit(None).cast("string") for s in C.DOMAIN_SQS["D1"]})
     per_outcome = D.route(wide).select(
-        *KEY, *[D.domain_verdict(d)["judgment"].alias(d.lower()) for d in C.DOMAINS[1:]]
+        *KEY, *[D.domain_judgment(d) for d in C.DOMAINS[1:]]
     )
     joined = D.share_trial_domain(per_outcome, d1)
     return D.with_overall(joined).select(
@@ -466,7 +466,7 @@ def _reviewed(spark, sf) -> DataFrame:
         F.lit(""),
     )
     verdicts = routed.select(
-        *KEY, basis.alias("reliability_basis"), *[D.domain_verdict(d)["judgment"].alias(d.lower()) for d in C.DOMAINS]
+        *KEY, basis.alias("reliability_basis"), *[D.domain_judgment(d) for d in C.DOMAINS]
     )
     overall = D.with_overall(verdicts)
     policy = F.when(F.col("policy_review"), F.col("overall_rationale"))

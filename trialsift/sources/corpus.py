@@ -22,7 +22,13 @@ def draw(seed: Column, modulus: int) -> Column:
 
 
 def code_of(seed: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in C.RAW_CODES]), draw(seed, 5) + 1)
+    return F.element_at(F.split(F.lit(",".join(C.RAW_CODES)), ","), draw(seed, 5) + 1)
+
+
+def code_sql(seed: str) -> str:
+    """Same draw as `code_of`, as SQL text."""
+    codes = ", ".join(f"'{c}'" for c in C.RAW_CODES)
+    return f"array({codes})[CAST(CAST(conv(substring(md5({seed}), 1, 8), 16, 10) AS BIGINT) % 5 AS INT)]"
 
 
 def effect_of(custkey: Column) -> Column:
