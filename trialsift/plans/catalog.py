@@ -6,7 +6,7 @@ import importlib
 
 from trialsift.plans.registry import REGISTRY
 
-_MODULES = ("decisions", "evaluation")
+_MODULES = ("decisions", "evaluation", "batch", "trace")
 
 
 def load():
