@@ -82,3 +82,38 @@ def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(available, F.lit(2)).alias("segments_retrieved"),
         F.when(draw(s("d"), 3) > 0, draw(s("r"), 100) / F.lit(100.0)).alias("retrieval_top_score"),
     )
+
+
+# --------------------------------------------------------------------------
+# page tables: one page per line of a document; some pages open with a heading
+
+PAPER_HEADINGS = (*C.CANONICAL_SECTION_LABELS, "Study design", "Allocation concealment")
+SUPPLEMENT_HEADINGS = (
+    "Randomisation and allocation", "FAX", "Blinding of participants", "Page 3 of 9", "Missing outcome data",
+    "Outcome assessment", "Study protocol", "Note", "Statistical analysis plan", "Interim analysis",
+    "Supplementary appendix", "Date:", "CONFIDENTIAL", "Central review committee", "**Eligibility** __criteria__",
+    "Declaration of interests", "Sample size", "1.2 Follow-up", "Registry entry", "CONFIDENTIAL",
+    "Adherence and compliance",
+)
+
+
+def _pages(spark: SparkSession, sf_dir: str, headings, mark: str, every: int, stride: int) -> DataFrame:
+    listed = ", ".join("'" + h + "'" for h in headings)
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
+        .selectExpr(
+            "doc_id",
+            "page",
+            f"""IF(page % {every} = 0, concat('{mark} ',
+                array({listed})[CAST((doc_id * {stride} + page div {every}) % {len(headings)} AS INT)], '\n', line), line) AS text""",
+        )
+    )
+
+
+def paper_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, PAPER_HEADINGS, "##", 3, 7)
+
+
+def supplement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, SUPPLEMENT_HEADINGS, "#", 2, 5)
