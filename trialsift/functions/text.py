@@ -198,9 +198,11 @@ def keyword_pattern(keywords) -> str:
 
 def domain_tags(label: Column, text: Column) -> Column:
     hay = F.lower(F.concat(label, F.lit("\n"), F.left(text, F.lit(C.TAG_SCAN_CHARS))))
-    return F.array_compact(
-        F.array(*[F.when(hay.rlike(keyword_pattern(C.SECTION_KEYWORDS[d])), F.lit(d)) for d in C.DOMAINS])
-    )
+    return F.array_compact(F.get(F.transform(F.array(hay), lambda h: F.array(*_tag_tests(h))), F.lit(0)))
+
+
+def _tag_tests(hay: Column) -> list[Column]:
+    return [F.when(hay.rlike(keyword_pattern(C.SECTION_KEYWORDS[d])), F.lit(d)) for d in C.DOMAINS]
 
 
 ALL_TAGS = lambda: F.array(*[F.lit(d) for d in C.DOMAINS])

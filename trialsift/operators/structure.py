@@ -188,23 +188,16 @@ def supplement_windows(pages: DataFrame, size: int = C.PARSE_WINDOW_PAGES) -> Da
     )
 
 
-def _term_count(text: Column, term: str) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
-
-
 def document_types(windows: DataFrame) -> DataFrame:
     """Type vote per document over headings of its first pages."""
     heads = windows.select("doc_id", F.explode_outer("headings").alias("h")).select(
         "doc_id",
-        F.when(F.col("h.page") < C.DOCTYPE_SCAN_PAGES, F.lower("h.h")).otherwise("").alias("head"),
+        F.coalesce(F.when(F.col("h.page") < C.DOCTYPE_SCAN_PAGES, F.lower("h.h")), F.lit("")).alias("head"),
     )
     scores = []
     for doc_type, lexicon in C.DOC_TYPE_LEXICONS.items():
-        total = None
-        for term in lexicon:
-            n = _term_count(F.coalesce("head", F.lit("")), term)
-            total = n if total is None else total + n
-        scores.append(F.sum(total).alias(doc_type))
+        terms = [f"(length(head) - length(replace(head, '{t}', ''))) div {len(t)}" for t in lexicon]
+        scores.append(F.expr(f"sum({' + '.join(terms)})").alias(doc_type))
     voted = heads.groupBy("doc_id").agg(*scores)
     names = list(C.DOC_TYPE_LEXICONS)
     best = F.greatest(*names)

@@ -8,6 +8,7 @@ from trialsift import constants as C
 from trialsift.functions import text as T
 from trialsift.operators import structure as S
 from trialsift.plans.registry import query, sql_draw, sql_in, sql_list
+from trialsift.session import stage_table
 from trialsift.sources import corpus
 
 # ---- SQL twins
@@ -246,9 +247,15 @@ def annotation_budget(spark, sf):
     return chosen.select("doc_id", "doc_type", "segment_id", "annotate")
 
 
+def segments(spark, sf):
+    return stage_table(
+        spark, sf, "segments", lambda: S.segment_documents(corpus.supplement_pages(spark, sf))
+    )
+
+
 def annotated_segments(spark, sf):
     """Segments with supplied annotation results applied."""
-    chosen = S.annotation_choice(S.segment_documents(corpus.supplement_pages(spark, sf)))
+    chosen = S.annotation_choice(segments(spark, sf))
     seed = F.concat_ws("|", "doc_id", "segment_id")
     pick = corpus.draw(F.concat(F.lit("ann"), seed), 4)
     results = (

@@ -22,6 +22,7 @@ def local_session(app: str = "trialsift", cores: str = "8", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TRIALSIFT_DRIVER_MEMORY", "12g"))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack capture per column
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -56,3 +57,18 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+
+
+_STAGES: dict[tuple[str, ...], DataFrame] = {}
+
+
+def stage_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Stage table of the run: built once, kept in shared storage, read by every later step.
+
+    Segments feed retrieval, contexts and quotes; like the result tables of a
+    batch they are written once per session instead of being re-derived.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        _STAGES[key] = materialize(build())
+    return _STAGES[key]
