@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialsift import constants as C
+from trialsift.operators.skew import hot_key_join
 
 
 def expand_label(code: Column) -> Column:
@@ -147,10 +148,9 @@ def bootstrap_interval(
         F.col("n").alias("_n"),
         F.array(*[_sum([F.col(c) for c in names[: k + 1]]) for k in range(len(names))]).alias("_upper"),
     )
-    # groups are report dimensions (domains, languages), not data keys
+    # a report dimension may hold most cells: its few count rows are joined hot-key aware
     drawn = (
-        clean.select(*group, row_id)
-        .join(cumulative, group)
+        hot_key_join(clean.select(*group, row_id), cumulative, group, "inner", salts=64)
         .withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
         .withColumn("_at", uniform(F.concat_ws("|", F.col("_iter"), F.col(row_id))) % F.col("_n"))
     )
