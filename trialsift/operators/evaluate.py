@@ -131,6 +131,10 @@ def _interval(samples: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def _parallelism(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bootstrap_interval(
     pairs: DataFrame, group: list[str], row_id: str, iterations: int = C.BOOTSTRAP_ITERATIONS, labels=C.JUDGMENTS
 ) -> DataFrame:
@@ -151,10 +155,12 @@ def bootstrap_interval(
     # a report dimension may hold most cells: its few count rows are joined hot-key aware
     drawn = (
         hot_key_join(clean.select(*group, row_id), cumulative, group, "inner", salts=64)
+        # every row is about to become `iterations` rows: spread them by count, not by bytes
+        .repartition(_parallelism(pairs), row_id)
         .withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
         .withColumn("_at", uniform(F.concat_ws("|", F.col("_iter"), F.col(row_id))) % F.col("_n"))
     )
-    pick = F.size(F.filter("_upper", lambda u: u <= F.col("_at")))
+    pick = F.expr(" + ".join(f"IF(_upper[{k}] <= _at, 1, 0)" for k in range(len(names))))
     size = len(labels)
     samples = (
         drawn.select(*group, "_iter", pick.alias("_k"))
@@ -187,7 +193,8 @@ def cluster_bootstrap_interval(
     names = ["n", "n_agree"] + [_cell(i, j) for i in range(len(labels)) for j in range(len(labels))]
     u = uniform(F.concat_ws("|", F.lit("cluster"), F.col("_iter"), F.col(cluster)))
     weighted = (
-        per_cluster.withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        per_cluster.repartition(_parallelism(pairs), cluster)
+        .withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
         .withColumn("_u", u)
         .withColumn("_w", _sum([(F.col("_u") >= cut).cast("int") for cut in POISSON_CUTS]))
     )

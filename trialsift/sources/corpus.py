@@ -12,8 +12,21 @@ from pyspark.sql import functions as F
 from trialsift import constants as C
 
 
+FAN_OUT = ("orders", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    The two tables whose rows fan out into many derived rows are spread over
+    the cores when they come as fewer splits than there are cores (one small
+    file); a large input has enough splits and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FAN_OUT and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def draw(seed: Column, modulus: int) -> Column:
