@@ -257,7 +257,7 @@ def windowed_counts(events: DataFrame, size: str, slide: str | None, key: list[s
     )
 
 
-def running_state(events: DataFrame, key: list[str]) -> DataFrame:
-    """Order events inside one call; a call holds a handful of events."""
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    return events.withColumn("step", F.row_number().over(w))
+def safe_headers(headers: Column) -> Column:
+    """Response headers that may be kept, names in lower case."""
+    lowered = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return F.map_filter(lowered, lambda k, _: k.isin(*C.SAFE_HEADERS))

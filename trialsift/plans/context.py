@@ -120,7 +120,7 @@ def contexts(spark, sf):
     return X.domain_contexts(rows(spark, sf), X.flow_block(X.flow_sentences(), none), F.lit(""))
 
 
-@query("domain_contexts", f"WITH {PS.SECTIONS}, {_FLOW}, {_domain_sql()} SELECT doc_id, domain, md5(t) AS text_md5, length(t) AS n_chars FROM dctx")
+@query("domain_contexts", f"WITH {PS.SECTIONS}, {_FLOW}, {_domain_sql()} SELECT doc_id, domain, md5(t) AS text_md5, length(t)::INT AS n_chars FROM dctx")
 def domain_contexts(spark, sf):
     return contexts(spark, sf).select(
         "doc_id", "domain", F.md5("domain_specific_text").alias("text_md5"), F.length("domain_specific_text").alias("n_chars")

@@ -159,8 +159,8 @@ SEGMENTS = f"""{TYPES}, cut0 AS (SELECT DISTINCT doc_id, win, {sql_norm_heading(
 
 @query(
     "window_segments",
-    f"""WITH {SEGMENTS} SELECT doc_id, win AS window_no, seg AS segment_no, segment_id, heading, array_to_string(pages,',') AS pages,
-      md5(raw_text) AS text_md5, array_to_string(tags,',') AS tags, char_count FROM segs""",
+    f"""WITH {SEGMENTS} SELECT doc_id, win::INT AS window_no, seg::INT AS segment_no, segment_id, heading, array_to_string(pages,',') AS pages,
+      md5(raw_text) AS text_md5, array_to_string(tags,',') AS tags, char_count::INT AS char_count FROM segs""",
 )
 def window_segments(spark, sf):
     cut = S.cut_segments(S.supplement_windows(corpus.supplement_pages(spark, sf)))
@@ -213,7 +213,7 @@ def _segment_view(df, *extra):
     )
 
 
-_SEG_VIEW = "doc_id, seg_ord, segment_id, heading, array_to_string(pages,',') AS pages, md5(raw_text) AS text_md5, array_to_string(tags,',') AS tags, length(raw_text) AS char_count"
+_SEG_VIEW = "doc_id, seg_ord, segment_id, heading, array_to_string(pages,',') AS pages, md5(raw_text) AS text_md5, array_to_string(tags,',') AS tags, length(raw_text)::INT AS char_count"
 
 
 @query("merge_fragments", f"WITH {MERGED} SELECT {_SEG_VIEW} FROM merged")

@@ -244,7 +244,7 @@ def call_scopes(spark, sf):
 @query(
     "backoff_audit",
     f"""WITH {_EVENTS}, f AS (SELECT [429,500,503,408][k%4+1] AS status, (k//4)%7 AS attempt, CASE WHEN k%3=0 THEN value END AS retry_after, value FROM tev WHERE event_type='call.failed')
-     SELECT status, attempt, count(*) AS n, round(sum(CASE WHEN status=429 THEN CASE WHEN retry_after IS NULL THEN least(2*pow(2,attempt),60) ELSE least(retry_after,120) END ELSE least(0.25*pow(2,attempt),2) END),4) AS expected_s,
+     SELECT status, attempt::BIGINT AS attempt, count(*) AS n, round(sum(CASE WHEN status=429 THEN CASE WHEN retry_after IS NULL THEN least(2*pow(2,attempt),60) ELSE least(retry_after,120) END ELSE least(0.25*pow(2,attempt),2) END),4) AS expected_s,
       count(*) FILTER (value < CASE WHEN status=429 THEN CASE WHEN retry_after IS NULL THEN least(2*pow(2,attempt),60) ELSE least(retry_after,120) END ELSE least(0.25*pow(2,attempt),2) END) AS too_early FROM f GROUP BY ALL""",
 )
 def backoff_audit(spark, sf):
