@@ -235,17 +235,22 @@ def timings(spark, sf):
 
 @query(
     "batch_totals_sticky_null",
-    f"""WITH {_TIMING} SELECT o_orderpriority, o_orderstatus, count(*) AS processed_entries, round(sum(wall_time_s),4) AS total_wall_time_s,
-      round(sum(call_latency_s),4) AS total_call_latency_s, sum(call_count)::BIGINT AS total_calls,
+    f"""WITH {_TIMING} SELECT o_orderpriority, o_orderstatus, count(*) AS processed_entries, round(sum(wall_time_s),6) AS total_wall_time_s,
+      round(sum(call_latency_s),6) AS total_call_latency_s, sum(call_count)::BIGINT AS total_calls,
       CASE WHEN NOT bool_or(token_count IS NULL) THEN sum(token_count)::BIGINT END AS total_tokens,
-      CASE WHEN NOT bool_or(pricing_unknown) THEN round(sum(cost),4) END AS total_cost FROM timing
+      CASE WHEN NOT bool_or(pricing_unknown) THEN round(sum(cost),8) END AS total_cost FROM timing
       WHERE i IS NOT NULL OR o_orderstatus='P' GROUP BY ALL""",
 )
 def batch_totals_sticky_null(spark, sf):
     known = timings(spark, sf).where("i IS NOT NULL OR o_orderstatus = 'P'")
     totals = B.batch_totals(known, ["o_orderpriority", "o_orderstatus"])
+    # digits the addends have, so that the summation order cannot turn a rounding tie
     return totals.withColumns(
-        {c: F.round(c, 4) for c in ("total_wall_time_s", "total_call_latency_s", "total_cost")}
+        {
+            "total_wall_time_s": F.round("total_wall_time_s", 6),
+            "total_call_latency_s": F.round("total_call_latency_s", 6),
+            "total_cost": F.round("total_cost", 8),
+        }
     )
 
 
