@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +62,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent).as_posix())
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trialsift/package-{app}/trialsift-package.zip")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(raw.getvalue())
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(target.toString())
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
 _STAGES: dict[tuple[str, ...], DataFrame] = {}
 
 
