@@ -131,16 +131,24 @@ def windows_hash(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
+def pack_low(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_low(raw: bytes | memoryview, width: int) -> np.ndarray:
+    low = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :width] = low
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def pack48(values: np.ndarray) -> bytes:
-    """The low six bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return pack_low(values, 6)
 
 
 def unpack48(raw: bytes | memoryview) -> np.ndarray:
-    six = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), dtype=np.uint8)
-    out[:, :6] = six
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+    return unpack_low(raw, 6)
 
 
 def buckets_for(items: int, per_bucket: int = 2_000_000, least: int = 64) -> int:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from trialsift.llm import sql
+from trialsift.llm.seed_extend import op8_seed_extend_dedup
 from trialsift.llm.trie_join import op3_ngram_jaccard_join
 
 QUERIES = {
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, sql.OP3),
+    "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
 }

@@ -20,3 +20,25 @@ link AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id
 FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
+
+OP8 = rf"""
+WITH w AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20
+), keyed AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM win
+), late AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, min(doc_id) OVER p AS d0, first_value(i) OVER (PARTITION BY k ORDER BY doc_id, i) AS i0
+    FROM keyed WINDOW p AS (PARTITION BY k))
+  WHERE doc_id > d0 OR i > i0
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
