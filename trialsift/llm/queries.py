@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from trialsift.llm import sql
+from trialsift.llm.byte_cnn import op10_byte_cnn_quality
 from trialsift.llm.seed_extend import op8_seed_extend_dedup
 from trialsift.llm.trie_join import op3_ngram_jaccard_join
+from trialsift.llm.zstd_lang import op7_zstd_language
 
 QUERIES = {
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, sql.OP3),
     "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
+    "op7_zstd_language": (op7_zstd_language, None),
+    "op10_byte_cnn_quality": (op10_byte_cnn_quality, None),
 }
