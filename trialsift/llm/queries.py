@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from trialsift.llm import sql
 from trialsift.llm.byte_cnn import op10_byte_cnn_quality
+from trialsift.llm.cube_mix import op6_cube_mix
+from trialsift.llm.drr_packing import op5_drr_packing
 from trialsift.llm.seed_extend import op8_seed_extend_dedup
 from trialsift.llm.trie_join import op3_ngram_jaccard_join
 from trialsift.llm.zstd_lang import op7_zstd_language
 
 QUERIES = {
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, sql.OP3),
-    "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
+    "op5_drr_packing": (op5_drr_packing, None),
+    "op6_cube_mix": (op6_cube_mix, None),
     "op7_zstd_language": (op7_zstd_language, None),
+    "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
     "op10_byte_cnn_quality": (op10_byte_cnn_quality, None),
 }
