@@ -17,10 +17,11 @@ The result is exact up to 64-bit hash collisions; no candidate is capped.
    reach the needed overlap.
 4. Two linked sets share a shingle within their prefixes (the first
    ``r - ceil(0.8 n) + 1`` of the shared part).  Per prefix shingle its holders
-   are paired with its smallest holder, and those pairs that step 3 has not
-   joined yet are verified; then holders of a shingle whose holders still
-   belong to different components are paired across components and verified.
-   Groups of near copies are thus joined by a linear number of pairs.
+   are paired with the holder that has least shingles of its own, and those
+   pairs that step 3 has not joined yet are verified; then holders of a
+   shingle whose holders still belong to different components are paired across
+   components, as far as the needed overlap fits into both shared parts, and
+   verified.  Groups of near copies are thus joined by a linear number of pairs.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(grams: np.ndarray) -> int:
-    return int(mix64(np.atleast_1d(mix64(grams).sum(dtype=np.uint64) + np.uint64(splitmix(len(grams)))))[0].view(np.int64))
+    value = splitmix((int(mix64(grams).sum(dtype=np.uint64)) + splitmix(len(grams))) % (1 << 64))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def set_classes(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
@@ -390,22 +392,24 @@ def first_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def prefix_grams(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(gram, class, n): the prefix of each set's shared part."""
+    """(gram, class, n, r): the prefix of each set's shared part of r shingles."""
 
     def cut(batches):
         for batch in batches:
-            grams, classes, sizes = [], [], []
+            grams, classes, sizes, shared = [], [], [], []
             for c, n, g in _unpacked(batch):
                 p = len(g) - -(-percent * n // 100) + 1
                 grams.append(g[:p])
                 classes.append(np.full(p, c))
                 sizes.append(np.full(p, n))
+                shared.append(np.full(p, len(g)))
             if grams:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).view(np.int64)) for x in (grams, classes, sizes)], names=["gram", "class", "n"]
+                    [pa.array(np.concatenate(x).view(np.int64)) for x in (grams, classes, sizes, shared)],
+                    names=["gram", "class", "n", "r"],
                 )
 
-    return parts.mapInArrow(cut, "gram long, class long, n long")
+    return parts.mapInArrow(cut, "gram long, class long, n long, r long")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -437,8 +441,10 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
     return pairs.select("a", "b").join(two, "b").join(one, "a").sortWithinPartitions("a").mapInArrow(probe, "a long, b long")
 
 
-def _sizes_fit(percent: int):
-    return (F.col("n_a") * 100 >= percent * F.col("n_b")) & (F.col("n_b") * 100 >= percent * F.col("n_a"))
+def _may_link(percent: int):
+    """What two sets' sizes and shared parts must allow: the needed overlap fits into either shared part."""
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    return need <= F.least("r_a", "r_b")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -458,20 +464,28 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = stored(parts, "shared-parts")
     prefixes = prefix_grams(parts, percent)
     links = stored(first_links(parts, percent), "first-links")
-    # Each holder of a prefix shingle with the smallest holder.
-    heads = prefixes.groupBy("gram").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    stars = stored(
-        prefixes.join(heads, "gram").where("class <> a").select("a", F.col("class").alias("b")).distinct(), "star-pairs"
+    # Each holder of a prefix shingle with the holder of least own shingles: most near copies link to that one.
+    whole = F.col("r") / F.col("n") + F.pmod("class", F.lit(1 << 20)) / F.lit(1e13)
+    heads = prefixes.groupBy("gram").agg(
+        F.max_by("class", whole).alias("a"),
+        F.max_by("n", whole).alias("n_a"),
+        F.max_by("r", whole).alias("r_a"),
+        F.count(F.lit(1)).alias("holders"),
     )
+    ends = prefixes.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"))
+    stars = ends.join(heads.where("holders > 1"), (ends["gram"] == heads["gram"]) & (F.col("a") != F.col("b")))
+    stars = stored(stars.select("a", "b", _may_link(percent).alias("may")).distinct(), "star-pairs")
     roots = stored(components(links), "roots")
-    apart = stored(_apart(stars, roots), "stars-apart")
+    apart = stored(_apart(stars.where("may"), roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars-apart")
     links = links.unionByName(stored(verified(apart, parts, percent), "star-links"))
     roots = stored(components(links), "roots")
-    # Holders that still are apart from a shingle's smallest holder meet all its holders of other components.
-    open_ends = stored(_apart(stars, roots).select(F.explode(F.array("a", "b")).alias("class")).distinct(), "open-ends")
-    mine = prefixes.join(open_ends, "class", "left_semi").select("gram", F.col("class").alias("a"), F.col("n").alias("n_a"))
-    theirs = prefixes.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"))
-    pairs = mine.join(theirs, "gram").where((F.col("a") != F.col("b")) & _sizes_fit(percent))
+    # Holders that still are apart from such a head meet the holders of other components that they may link to.
+    open_ends = _apart(stars, roots).select(F.col("b").alias("class")).distinct()
+    open_ends = stored(open_ends, "open-ends")
+    mine = prefixes.join(open_ends, "class", "left_semi").select(
+        "gram", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a")
+    )
+    pairs = mine.join(ends, (mine["gram"] == ends["gram"]) & (F.col("a") != F.col("b")) & _may_link(percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(verified(stored(_apart(pairs, roots), "pairs-apart"), parts, percent), "rest-links")
     return links.unionByName(rest)
