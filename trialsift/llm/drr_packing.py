@@ -73,17 +73,26 @@ class Rounds:
             low = np.where(reached, low, np.minimum(mid + 1, high))
         return low
 
-    def pieces(self, queue: int, begin: int, end: int, first: int, last: int) -> tuple[np.ndarray, ...]:
-        """(begin in the queue, length, window, place in the window) of the ids [begin, end), which lie in windows first..last."""
-        if last - first <= 4 * (end - begin):
-            windows = np.arange(first, last + 1)
-        else:
-            windows = np.unique(self.window_of(queue, np.arange(begin, end)))
-        ahead, start = self.taken(queue, windows)
-        ahead_after, stop = self.taken(queue, windows + 1)
-        a, b = np.maximum(start, begin), np.minimum(stop, end)
-        some = b > a
-        return a[some], (b - a)[some], windows[some], (ahead_after - ahead + a - start)[some]
+    def pieces(self, queue: int, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cut documents that lie at `begin` in the queue: (document, start in it, length, window, place in the window)."""
+        order = np.argsort(begin, kind="stable")
+        a, b = begin[order], (begin + count)[order]
+        ends = self.window_of(queue, np.array([a[0], b[-1] - 1]))
+        if ends[1] - ends[0] <= 4 * count.sum():
+            windows = np.arange(ends[0], ends[1] + 2)
+        else:  # a small queue, or documents far apart: only the windows that take some of these ids
+            places = np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist())])
+            windows = np.unique(self.window_of(queue, places))
+            windows = np.union1d(windows, windows + 1)
+        ahead, sent = self.taken(queue, windows)
+        cuts = np.unique(np.concatenate([a, b, sent[(sent > a[0]) & (sent < b[-1])]]))
+        left, right = cuts[:-1], cuts[1:]
+        doc = np.searchsorted(a, left, side="right") - 1
+        inside = left < b[doc]
+        left, right, doc = left[inside], right[inside], doc[inside]
+        at = np.searchsorted(sent, left, side="right") - 1
+        offset = (ahead[np.minimum(at + 1, len(ahead) - 1)] - ahead[at]) + left - sent[at]
+        return order[doc], left - a[doc], right - left, windows[at], offset
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, queue=None) -> DataFrame:
@@ -138,11 +147,15 @@ def stored_ids(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset, source queue.
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID, checksums: bool = False
+) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, queue and ids.
 
-    Null and empty texts are one end id; a null source is a source; repeated
-    rows are packed each.  Other columns are ignored.
+    ids are 16-bit little-endian numbers, or with `checksums` ids_crc32, the
+    checksum of the ids as unsigned 32-bit little-endian numbers.  Null and
+    empty texts are one end id; a null source is a source; repeated rows are
+    packed each.  Other columns are ignored.
     """
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
     if docs.select(source.alias("q")).distinct().limit(QUEUES + 1).count() > QUEUES:
@@ -155,66 +168,40 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_
     totals = sorted((r["queue"], int(r["n"])) for r in totals)
     number = {name: i for i, (name, _) in enumerate(totals)}
     rounds = Rounds([n for _, n in totals], size)
+    last = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
 
     def place(batches):
         for batch in batches:
-            names = batch.column("queue").to_pylist()
-            doc = batch.column("doc_id").to_pylist()
+            queues = np.array([number[x] for x in batch.column("queue").to_pylist()], dtype=np.int64)
             begin = (batch.column("base").to_numpy() + batch.column("before").to_numpy()).astype(np.int64)
-            count = batch.column("n").to_numpy()
-            first, last = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
-            numbers = np.array([number[x] for x in names], dtype=np.int64)
-            for q in np.unique(numbers):
-                mine = numbers == q
-                first[mine] = rounds.window_of(int(q), begin[mine])
-                last[mine] = rounds.window_of(int(q), begin[mine] + count[mine] - 1)
-            out = [[] for _ in range(8)]
-            for i, raw in enumerate(batch.column("ids")):
-                a, n = int(begin[i]), int(count[i])
-                starts, lengths, windows, offsets = rounds.pieces(int(numbers[i]), a, a + n, int(first[i]), int(last[i]))
-                raw = raw.as_py()
-                starts = (starts - a).tolist()
-                lengths = lengths.tolist()
-                k = len(starts)
-                out[0] += [doc[i]] * k
-                out[1] += starts
-                out[2] += lengths
-                out[3] += [raw[2 * s : 2 * (s + m)] for s, m in zip(starts, lengths)]
-                out[4] += [n] * k
-                out[5] += windows.tolist()
-                out[6] += offsets.tolist()
-                out[7] += [names[i]] * k
-                if len(out[0]) >= 50_000:
-                    yield _pieces(out)
-                    out = [[] for _ in range(8)]
-            yield _pieces(out)
+            count, texts = batch.column("n").to_numpy(), batch.column("ids")
+            for q in np.unique(queues):
+                mine = np.flatnonzero(queues == q)
+                doc, start, length, window, offset = rounds.pieces(int(q), begin[mine], count[mine])
+                doc = mine[doc]
+                body, held, raw = [], -1, b""
+                for i, a, m in zip(doc.tolist(), start.tolist(), length.tolist()):
+                    if i != held:
+                        held, raw = i, texts[i].as_py()
+                        wide = np.frombuffer(raw, dtype="<u2").astype("<u4") if checksums else None
+                    body.append(zlib.crc32(wide[a : a + m]) if checksums else raw[2 * a : 2 * (a + m)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(doc)),
+                        *(pa.array(x, pa.int64()) for x in (start, length, count[doc], window, offset)),
+                        batch.column("queue").take(pa.array(doc)),
+                        pa.array(body, last[1]),
+                    ],
+                    names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", last[0]],
+                )
 
     return ids.join(base, ["queue", "chunk"]).mapInArrow(
-        place, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string"
-    )
-
-
-def _pieces(out) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, k) for x, k in zip(out, kinds)],
-        names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"],
+        place,
+        "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, "
+        + ("ids_crc32 long" if checksums else "ids binary"),
     )
 
 
-def pieces_digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with a checksum of their ids as unsigned 32-bit little-endian numbers in place of the ids."""
-
-    def run(batches):
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype="<u2").astype("<u4")) for x in batch.column("ids")]
-            rest = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sums, pa.int64())], names=[*rest, "ids_crc32"])
-
-    return pieces.mapInArrow(
-        run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, ids_crc32 long"
-    ).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue")
-
-
 def op5_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces_digest(pack(table(spark, sf_dir, "documents")))
+    found = pack(table(spark, sf_dir, "documents"), checksums=True)
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue")

@@ -1,16 +1,16 @@
-"""Token ids of whole texts, with a bounded cache of the pieces between spaces."""
+"""Token ids of whole texts, with a bounded cache of the words between spaces."""
 
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces whose ids a worker keeps.
-CACHED = 1_000_000
-_ENCODERS: dict[str, "Encoder"] = {}
+#: Distinct words whose ids a worker keeps.
+CACHED = 500_000
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -19,6 +19,26 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Uneven(Exception):
+    """White space other than single spaces and line ends between words."""
+
+
+class _Words(dict):
+    """word -> ids of `before` + word; a word that is not there is encoded and kept."""
+
+    def __init__(self, ids, before: str):
+        super().__init__()
+        self.ids, self.before = ids, before
+
+    def __missing__(self, word: str) -> bytes:
+        if word.split() != [word]:
+            raise _Uneven
+        if len(self) >= CACHED:
+            self.clear()
+        found = self[word] = self.ids(self.before + word)
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian 16-bit strings; equal to encoding each text whole."""
 
@@ -30,20 +50,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        #: ids of " " + word and of "\n" + word
-        self.inner: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+        self.inner, self.heads = _Words(self._ids, " "), _Words(self._ids, "\n")
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        fresh = list(words.difference(known))
-        if len(known) + len(fresh) > CACHED:
-            known.clear()
-            fresh = list(words)
-        known.update(zip(fresh, self._encoded([before + w for w in fresh])))
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Cut before each single space and around each single line end between two words.
@@ -51,32 +61,23 @@ class Encoder:
         The byte-level pre-tokenizer begins a new piece there in any case.
         Texts with other white space are encoded whole.
         """
-        out: list[bytes] = [b""] * len(texts)
-        split, whole = [], []
-        inner, heads, first = set(), set(), set()
-        for i, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if list(chain.from_iterable(lines)) != text.split():
-                whole.append(i)
-                continue
-            starts = [line.pop(0) for line in lines]
-            inner.update(*lines)
-            first.add(starts[0])
-            heads.update(starts[1:])
-            split.append((i, starts, lines))
-        self._learn(self.inner, inner, " ")
-        self._learn(self.heads, heads, "\n")
-        begin = list(first)
-        begin = dict(zip(begin, self._encoded(begin)))
-        space, head = self.inner.__getitem__, self.heads.__getitem__
-        for i, starts, lines in split:
-            parts = [begin[starts[0]], *map(space, lines[0])]
-            for word, line in zip(starts[1:], lines[1:]):
-                parts.append(head(word))
-                parts += map(space, line)
-            out[i] = b"".join(parts)
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
-            out[i] = ids
+        out, space, head = [], self.inner.__getitem__, self.heads.__getitem__
+        for text in texts:
+            parts = []
+            try:
+                for k, line in enumerate(text.split("\n")):
+                    words = line.split(" ")
+                    first = words.pop(0)
+                    if k:
+                        parts.append(head(first))
+                    elif first.split() == [first]:
+                        parts.append(self._ids(first))
+                    else:
+                        raise _Uneven
+                    parts += map(space, words)
+                out.append(b"".join(parts))
+            except _Uneven:
+                out.append(self._ids(text))
         return out
 
 
