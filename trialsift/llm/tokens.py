@@ -24,19 +24,32 @@ class _Uneven(Exception):
 
 
 class _Words(dict):
-    """word -> ids of `before` + word; a word that is not there is encoded and kept."""
+    """word -> ids of `before` + word; a word that is not there is noted, and None stands for it.
 
-    def __init__(self, ids, before: str):
+    Words met since the last ``age`` are kept here, those of the time before in ``older``.
+    """
+
+    def __init__(self, before: str):
         super().__init__()
-        self.ids, self.before = ids, before
+        self.before, self.wanted, self.older = before, {}, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        if word in self.older:
+            found = self[word] = self.older[word]
+            return found
+        if word not in self.wanted:
+            if word.split() != [word]:
+                raise _Uneven
+            self.wanted[word] = None
 
-    def __missing__(self, word: str) -> bytes:
-        if word.split() != [word]:
-            raise _Uneven
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[word] = self.ids(self.before + word)
-        return found
+    def age(self) -> None:
+        """Forget what has not been met since the last time."""
+        self.older = dict(self)
+        self.clear()
+
+    def learn(self, encoded) -> None:
+        words, self.wanted = list(self.wanted), {}
+        self.update(zip(words, encoded([self.before + w for w in words])))
 
 
 class Encoder:
@@ -50,10 +63,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.inner, self.heads = _Words(self._ids, " "), _Words(self._ids, "\n")
+        self.words = [_Words(""), _Words(" "), _Words("\n")]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    def _joined(self, text: str) -> list[bytes | None]:
+        begin, space, head = (w.__getitem__ for w in self.words)
+        parts = []
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            parts.append((head if k else begin)(words.pop(0)))
+            parts += map(space, words)
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Cut before each single space and around each single line end between two words.
@@ -61,23 +84,27 @@ class Encoder:
         The byte-level pre-tokenizer begins a new piece there in any case.
         Texts with other white space are encoded whole.
         """
-        out, space, head = [], self.inner.__getitem__, self.heads.__getitem__
-        for text in texts:
-            parts = []
+        if sum(map(len, self.words)) > CACHED // 2:
+            for w in self.words:
+                w.age()
+        out: list[bytes] = [b""] * len(texts)
+        again, whole = [], []
+        for i, text in enumerate(texts):
             try:
-                for k, line in enumerate(text.split("\n")):
-                    words = line.split(" ")
-                    first = words.pop(0)
-                    if k:
-                        parts.append(head(first))
-                    elif first.split() == [first]:
-                        parts.append(self._ids(first))
-                    else:
-                        raise _Uneven
-                    parts += map(space, words)
-                out.append(b"".join(parts))
+                parts = self._joined(text)
             except _Uneven:
-                out.append(self._ids(text))
+                whole.append(i)
+                continue
+            if None in parts:
+                again.append(i)
+            else:
+                out[i] = b"".join(parts)
+        for w in self.words:
+            w.learn(self._encoded)
+        for i in again:
+            out[i] = b"".join(self._joined(texts[i]))
+        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
+            out[i] = ids
         return out
 
 
