@@ -8,6 +8,7 @@ from trialsift.llm.byte_cnn import op10_byte_cnn_quality
 from trialsift.llm.cube_mix import op6_cube_mix
 from trialsift.llm.drr_packing import op5_drr_packing
 from trialsift.llm.feistel_order import op4_feistel_order
+from trialsift.llm.license_minhash import op9_license_minhash
 from trialsift.llm.quality_llr import op2_ngram_llr_quality
 from trialsift.llm.seed_extend import op8_seed_extend_dedup
 from trialsift.llm.trie_join import op3_ngram_jaccard_join
@@ -22,5 +23,6 @@ QUERIES = {
     "op6_cube_mix": (op6_cube_mix, None),
     "op7_zstd_language": (op7_zstd_language, None),
     "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
+    "op9_license_minhash": (op9_license_minhash, sql.OP9),
     "op10_byte_cnn_quality": (op10_byte_cnn_quality, None),
 }

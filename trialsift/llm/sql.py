@@ -42,3 +42,38 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(kept.n, 0))::
   sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+
+def _op9() -> str:
+    """Every window of every template, by exact containment alone."""
+    import re
+
+    from trialsift.llm.license_minhash import TEMPLATES
+
+    rows = []
+    for name, text in TEMPLATES:
+        words = re.findall(r"[^\W_]+", text.lower())
+        grams = list(dict.fromkeys(" ".join(words[i : i + 5]) for i in range(len(words) - 4)))
+        listed = ", ".join(f"'{g}'" for g in grams)
+        rows.append(f"('{name}', {len(grams)}, {-(-3 * len(grams) // 2)}, [{listed}])")
+    return rf"""
+WITH t(licence, s, width, tg) AS (VALUES {", ".join(rows)}),
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM w WHERE len(w) >= 5
+), c AS (
+  SELECT doc_id, g, licence, s, width, tg, greatest(len(g) - width + 1, 1) AS last FROM g JOIN t ON list_has_any(g, tg)
+), win AS (
+  SELECT *, unnest(list_distinct(list_append(range(1, last + 1, width - s + 1), last))) AS start FROM c
+), v AS (
+  SELECT doc_id, licence, start, len(list_intersect(list_distinct(g[start:start + width - 1]), tg)) / s AS held FROM win
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY held DESC, start) AS k FROM v WHERE held >= 0.8
+)
+SELECT doc_id, licence, held AS containment, (start - 1)::BIGINT AS start_word FROM best WHERE k = 1
+"""
+
+
+OP9 = _op9()
+
