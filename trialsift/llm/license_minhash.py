@@ -57,14 +57,16 @@ _GAP = r"[^\p{L}\p{N}]+"
 
 def shingles(text: Column) -> Column:
     """Hashes of the five-word shingles in text order; none for null and for fewer words."""
-    words = F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
 
+    def grams(hashes: Column) -> Column:
+        n = F.size(hashes)
+        places = F.when(n >= NGRAM, F.sequence(F.lit(1), n - NGRAM + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(*[F.element_at(hashes, i + k) for k in range(NGRAM)]))
 
-def _grams(words: str) -> Column:
-    n = F.size(words)
-    places = F.when(n >= NGRAM, F.sequence(F.lit(1), n - NGRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(NGRAM)]))
+    words = F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    # One expression that names the words' hashes once: a filter on the shingles is pushed down with all of it.
+    return F.element_at(F.transform(F.array(hashes), grams), 1)
 
 
 def _minima(grams: str) -> Column:
@@ -79,8 +81,7 @@ def _minima(grams: str) -> Column:
 def template_bands(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(licence, grams, s, width, stride, minima) of each template."""
     rows = spark.createDataFrame(list(templates), "licence string, text string")
-    rows = rows.select("licence", shingles(F.col("text")).alias("w"))
-    rows = rows.select("licence", F.array_distinct(_grams("w")).alias("grams")).withColumn("s", F.size("grams"))
+    rows = rows.select("licence", F.array_distinct(shingles(F.col("text"))).alias("grams")).withColumn("s", F.size("grams"))
     rows = rows.withColumn("width", F.ceil(F.col("s") * 1.5).cast("int"))
     return rows.withColumn("stride", F.col("width") - F.col("s") + 1).withColumn("minima", _minima("grams"))
 
@@ -97,8 +98,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFr
     if not bands or any(not r["grams"] for r in bands):
         raise ValueError("a template has at least five words")
     known = F.array(*[F.lit(g) for g in sorted({g for r in bands for g in r["grams"]})])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text").cast("string")).alias("w"))
-    texts = texts.select("doc_id", _grams("w").alias("g")).where(F.arrays_overlap("g", known))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text").cast("string")).alias("g"))
+    texts = texts.where(F.arrays_overlap("g", known))
     texts = stored(texts, "license-texts")
     # windows of every width that a template asks for
     widths = sorted({(r["width"], r["stride"]) for r in bands})
