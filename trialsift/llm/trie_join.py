@@ -18,10 +18,11 @@ The result is exact up to 64-bit hash collisions; no candidate is capped.
 4. Two linked sets share a shingle within their prefixes (the first
    ``r - ceil(0.8 n) + 1`` of the shared part).  Per prefix shingle its holders
    are paired with the holder that has least shingles of its own, and those
-   pairs that step 3 has not joined yet are verified; then holders of a
-   shingle whose holders still belong to different components are paired across
-   components, as far as the needed overlap fits into both shared parts, and
-   verified.  Groups of near copies are thus joined by a linear number of pairs.
+   pairs that step 3 has not joined yet are verified.  What then is still
+   apart from such a holder is sent to each other component that holds one of
+   its prefix shingles, if sizes and shared parts allow a link, and walks
+   the prefix trees of that component's members.  Groups of near copies are
+   thus joined by a linear number of pairs, and no pair is listed twice.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ NGRAM = 5
 PERCENT = 80
 #: Bytes of text a task gathers before it sends its packed shingles.
 FLUSH_BYTES = 16 << 20
+#: Class ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Sets in one prefix tree; a run is cut into blocks of so many.
 BLOCK = 256
 
@@ -459,6 +462,45 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def _only(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the classes `wanted` (class); a short list is broadcast, so that only those sets are shuffled."""
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return parts.join(wanted, "class", "left_semi")
+
+
+def component_links(probes: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each probe (root, block, class, n, grams) and block of a component's members, one link if there is any.
+
+    `members` has the same columns.  A block's members form one prefix tree that
+    its probes walk; a probe stops at its first link, for all members are one component.
+    """
+
+    def walk(batches):
+        key, block, tree = None, [], None
+        for batch in batches:
+            links = []
+            columns = (batch.column(c).to_pylist() for c in ("root", "block", "probe", "class", "n", "grams"))
+            for root, part, probe, c, n, raw in zip(*columns):
+                if (root, part) != key:
+                    key, block, tree = (root, part), [], None
+                grams = np.frombuffer(raw, dtype=np.uint64)
+                if not probe:
+                    block.append((c, n, grams))
+                    continue
+                if not block:
+                    continue
+                tree = tree or PrefixTree([x[2] for x in block])
+                least = needed(n, -(-percent * n // 100), percent)
+                found = tree.partners(grams, lambda j, n=n: needed(n, block[j][1], percent), least, lambda j: False)
+                links += [(c, block[j][0]) for j in [next(found, None)] if j is not None]
+            if links:
+                yield _links_batch(links)
+
+    rows = members.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
+    return rows.repartition("root", "block").sortWithinPartitions("root", "block", "probe").mapInArrow(walk, "a long, b long")
+
+
 def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between classes whose components equal those of all links."""
     parts = stored(parts, "shared-parts")
@@ -476,19 +518,35 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = ends.join(heads.where("holders > 1"), (ends["gram"] == heads["gram"]) & (F.col("a") != F.col("b")))
     stars = stored(stars.select("a", "b", _may_link(percent).alias("may")).distinct(), "star-pairs")
     roots = stored(components(links), "roots")
-    apart = stored(_apart(stars.where("may"), roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars-apart")
-    links = links.unionByName(stored(verified(apart, parts, percent), "star-links"))
+    apart = _apart(stars.where("may"), roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = stored(apart.distinct(), "stars-apart")
+    paired = _only(parts, apart.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    links = links.unionByName(stored(verified(apart, paired, percent), "star-links"))
     roots = stored(components(links), "roots")
-    # Holders that still are apart from such a head meet the holders of other components that they may link to.
-    open_ends = _apart(stars, roots).select(F.col("b").alias("class")).distinct()
-    open_ends = stored(open_ends, "open-ends")
-    mine = prefixes.join(open_ends, "class", "left_semi").select(
-        "gram", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a")
+    # Holders that still are apart from such a head meet the other components that hold one of their shingles.
+    open_ends = stored(_apart(stars, roots).select(F.col("b").alias("class")).distinct(), "open-ends")
+    rooted = prefixes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    held = rooted.groupBy("gram", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("r").alias("r_b"))
+    mine = rooted.join(open_ends, "class", "left_semi").select(
+        F.col("gram").alias("mine"), "class", "n", "r", F.col("root").alias("own")
     )
-    pairs = mine.join(ends, (mine["gram"] == ends["gram"]) & (F.col("a") != F.col("b")) & _may_link(percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stored(verified(stored(_apart(pairs, roots), "pairs-apart"), parts, percent), "rest-links")
-    return links.unionByName(rest)
+    smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
+    fits = (F.col("most") >= smallest) & (F.col("least") * percent <= F.col("n") * 100)
+    need = F.ceil(F.lit(percent) * (F.col("n") + smallest) / F.lit(100 + percent))
+    asked = mine.join(held, (F.col("mine") == F.col("gram")) & (F.col("own") != F.col("root")) & fits & (need <= F.least("r", "r_b")))
+    asked = stored(asked.select("class", "root").distinct(), "asked")
+    # The asked components' members, in blocks; a probe visits every block of its components.
+    wanted = asked.select("root").distinct()
+    inside = roots.join(wanted, "root", "left_semi").select(F.col("node").alias("class"), "root")
+    alone = wanted.join(roots, wanted["root"] == roots["node"], "left_anti").select(F.col("root").alias("class"), "root")
+    inside = stored(inside.unionByName(alone), "asked-members")
+    sizes = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sets = stored(_only(parts, inside.select("class").unionByName(asked.select("class")).distinct()), "asked-sets")
+    members = inside.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    members = members.join(sets, "class").select("root", "block", "class", "n", "grams")
+    probes = asked.join(sizes, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    probes = probes.join(sets, "class").select("root", "block", "class", "n", "grams")
+    return links.unionByName(stored(component_links(probes, members, percent), "rest-links"))
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
