@@ -130,12 +130,12 @@ def mix(
     block: int = BLOCK,
     seed: int = 17,
 ) -> DataFrame:
-    """(doc_id, print, size, source, source_size, target, copies): how often the mix takes each row of `docs`.
+    """(doc_id, print, rows, size, source, source_size, target, copies): how often the mix takes each row of `docs`.
 
-    `docs`: doc_id, text, source.  Rows without words are taken 0 times more
-    or less at no cost to any target; null sources are one source; repeated
-    rows are rows of their own.  Reruns agree: order and draws come from hashes
-    of the row and the seed.
+    `docs`: doc_id, text, source.  Rows without words (size 0) are never
+    taken; null sources are one source.  Repeated rows (`rows` of one id, text
+    and source) are decided together and taken equally often.  Reruns agree:
+    order and draws come from hashes of the row and the seed.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -143,8 +143,10 @@ def mix(
         F.xxhash64("text").alias("print"),
         word_count(F.col("text").cast("string")).alias("size"),
     )
+    rows = rows.groupBy("doc_id", "source", "print", "size").agg(F.count(F.lit(1)).alias("rows"))
     rows = stored(rows, "mix-sizes")
-    targets = stored(source_targets(rows, weights, share_percent, most_copies), "mix-targets")
+    whole = rows.select("source", (F.col("size") * F.col("rows")).alias("size"))
+    targets = stored(source_targets(whole, weights, share_percent, most_copies), "mix-targets")
     largest = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     # One row a source; joined by a null-safe key, AQE splits a source of very many rows.
     keyed = (
@@ -156,7 +158,7 @@ def mix(
         .withColumn("draw", F.xxhash64("doc_id", "print", F.lit(seed)))
         .drop("_ratio")
     )
-    blocks = max(1, -(-int(largest) // block))
+    blocks = max(1, -(-int(largest) // block))  # of the largest source
     keyed = keyed.withColumn("part", F.pmod("draw", F.lit(blocks)).cast("int"))
     done = _fly(keyed, seed, last=blocks == 1)
     if blocks == 1:
@@ -177,7 +179,7 @@ def mix(
 def _fly(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["draw", "doc_id", "print"], kind="stable")
-        sizes = frame["size"].to_numpy()
+        sizes = (frame["size"] * frame["rows"]).to_numpy()
         name = key[0] if isinstance(key[0], str) else ""
         start = splitmix(sum(b * splitmix(i) for i, b in enumerate(name.encode())) % (1 << 64) ^ splitmix(int(key[1]) + seed))
         chances = flight(sizes, frame["chance"].to_numpy(), start)
@@ -189,32 +191,25 @@ def _fly(rows: DataFrame, seed: int, last: bool) -> DataFrame:
 
 def _copies(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "doc_id", "print", "size", "source", "source_size", "target", (F.col("base") + F.col("chance").cast("long")).alias("copies")
+        "doc_id", "print", "rows", "size", "source", "source_size", "target", (F.col("base") + F.col("chance").cast("long")).alias("copies")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    chosen = mix(docs, **options)
-    # Equal rows may differ in their copies: number them on both sides.
-    same = Window.partitionBy("_doc", "_print", "_source").orderBy("_doc")
-    left = docs.withColumns(
-        {"_doc": F.col("doc_id").cast("long"), "_print": F.xxhash64("text"), "_source": F.col("source").cast("string")}
+    taken = mix(docs, **options).where("copies > 0").select(
+        F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), F.col("source").alias("_source"), F.col("copies").alias("_copies")
     )
-    right = chosen.where("copies > 0").select(
-        F.col("doc_id").alias("r_doc"), F.col("print").alias("r_print"), F.col("source").alias("r_source"), "copies"
+    same = (
+        docs["doc_id"].cast("long").eqNullSafe(taken["_doc"])
+        & F.xxhash64(docs["text"]).eqNullSafe(taken["_print"])
+        & docs["source"].cast("string").eqNullSafe(taken["_source"])
     )
-    right = right.groupBy("r_doc", "r_print", "r_source").agg(F.sum("copies").alias("_copies"))
-    left = left.withColumn("_n", F.row_number().over(same)).withColumn("_of", F.count(F.lit(1)).over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    joined = left.join(
-        right,
-        F.col("_doc").eqNullSafe(F.col("r_doc")) & F.col("_print").eqNullSafe(F.col("r_print")) & F.col("_source").eqNullSafe(F.col("r_source")),
-    )
-    share = F.floor(F.col("_copies") / F.col("_of")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_of"), 1).otherwise(0)
-    repeat = F.explode(F.array_repeat(F.lit(1), share.cast("int")))
-    return joined.withColumn("_copy", repeat).select(*docs.columns)
+    joined = docs.join(taken, same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
+    found = found.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -575,5 +575,15 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     )
 
 
+def keep_one_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` without those whose component has a smaller doc_id; rows without an id stay."""
+    found = jaccard_components(docs, ngram, percent)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
