@@ -23,6 +23,8 @@ BUCKETS = 1 << 13
 SUFFIX = 3
 SMOOTHING = 0.5
 THRESHOLD = -0.15
+#: Trusted ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 _SYMBOLS = "#*$%&|<>"
@@ -93,7 +95,10 @@ def ratios(measures: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     def counts(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
-    target = measures.select("doc_id", "grams").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = trusted.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:  # beyond that, buckets are shuffled to the ids
+        ids = F.broadcast(ids)
+    target = measures.select("doc_id", "grams").join(ids, "doc_id", "left_semi")
     found = measures.sparkSession.range(buckets).select(F.col("id").cast("short").alias("bucket"))
     found = found.join(counts(measures, "raw"), "bucket", "left").join(counts(target, "target"), "bucket", "left").na.fill(0)
     found = found.agg(
