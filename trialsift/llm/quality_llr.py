@@ -89,7 +89,10 @@ def measured(docs: DataFrame, suffix: int = SUFFIX, buckets: int = BUCKETS) -> D
 def ratios(measures: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row with `weights`: log p_target - log p_raw of every bucket, by position.
 
-    `trusted`: doc_id of the target's documents.  Counting is partial within each task.
+    `trusted`: doc_id of the target's documents.  A bucket's raw probability is
+    smoothed by a flat count, its target probability by the raw one, so that a
+    small target differs from the corpus only where it has evidence.
+    Counting is partial within each task.
     """
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
@@ -105,7 +108,11 @@ def ratios(measures: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t")
     )
     mass = smoothing * buckets
-    weight = lambda c: F.log((c["target"] + smoothing) / (F.col("t") + mass)) - F.log((c["raw"] + smoothing) / (F.col("r") + mass))
+
+    def weight(c):
+        raw = (c["raw"] + smoothing) / (F.col("r") + mass)
+        return F.log((c["target"] + mass * raw) / (F.col("t") + mass)) - F.log(raw)
+
     return found.select(F.transform("c", weight).alias("weights"))
 
 
@@ -114,7 +121,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 
     A null or empty text has no words and fails the base rules; its score is
     null.  Repeated rows are judged alike; other columns are ignored.  With an
-    empty target all weights compare the corpus with a flat target.
+    empty target all scores are 0.
     """
     measures = stored(measured(docs), "quality-measures")
     weights = stored(ratios(measures, trusted), "quality-weights").first()["weights"]  # BUCKETS numbers
