@@ -158,6 +158,51 @@ def test_upsert_is_idempotent_and_keeps_other_buckets(spark, tmp_path):
     assert len(got) == 51 and got["T1"] == ("Low", 3) and got["T99"] == ("High", 1) and got["T7"] == ("Low", 1)
 
 
+def test_upsert_keeps_columns_and_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "store")
+    make = lambda rows, cols: spark.createDataFrame(rows, cols)
+    kw = {"key": ("k",), "order": ("seq",), "buckets": 4}
+    sinks.upsert(make([("a", 1, "x"), ("b", 1, "y")], "k string, seq int, extra string"), path, **kw)
+    sinks.upsert(make([("a", 2), ("c", 1)], "k string, seq int"), path, **kw)
+    sinks.upsert(make([("d", 1, 7)], "k string, seq int, more int"), path, **kw)
+    rows = {r.k: (r.seq, r.extra, r.more) for r in sinks.read_results(spark, path).collect()}
+    assert rows == {"a": (2, None, None), "b": (1, "y", None), "c": (1, None, None), "d": (1, None, 7)}
+    with pytest.raises(ValueError):
+        sinks.upsert(make([("a", 3)], "k string, seq int"), path, **(kw | {"buckets": 8}))
+    with pytest.raises(ValueError):
+        sinks.upsert(make([("b", "3")], "k string, seq string"), path, **kw)
+
+
+def _quotes(spark, quote):
+    return Q.normalize_answers(spark.createDataFrame([("d", 1, quote)], "doc_id string, answer_id int, quote string"))
+
+
+SOURCE = "doc_id string, priority int, source_document string, text string, page_required boolean, source_page int"
+PAGE = "doc_id string, page int, text string"
+
+
+def test_source_without_page_gives_way_to_the_next(spark):
+    text = "patients were randomised by computer"
+    sources = Q.normalize_sources(
+        spark.createDataFrame([("d", 0, "paper", text, True, None), ("d", 1, "registry", text, False, None)], SOURCE)
+    )
+    none = Q.normalized_pages(spark.createDataFrame([], PAGE))
+    row = Q.resolve(_quotes(spark, text), sources, none).first()
+    assert (row.quote_found, row.page, row.source_document) == (True, None, "registry")
+
+
+def test_word_broken_over_pages_is_found_on_the_first(spark):
+    pages = Q.normalized_pages(spark.createDataFrame([("d", 0, "we used randomi-"), ("d", 1, "sation of sites")], PAGE))
+    rows = Q.locate_pages(_quotes(spark, "we used randomisation of sites"), pages).collect()
+    assert [(r.page, r.page_score) for r in rows] == [(0, 100.0)]
+
+
+def test_quote_audit_names_empty_sources(spark):
+    sources = Q.normalize_sources(spark.createDataFrame([("d", 0, "paper", " ", True, None)], SOURCE))
+    row = Q.describe(_quotes(spark, "a quote of some length"), sources).first()
+    assert (row.verified, row.failure_reason) == (False, "source text is empty")
+
+
 def test_manifest_csv_and_json(spark, tmp_path):
     csv = tmp_path / "m.csv"
     csv.write_text("﻿trial_label,main_paper,supplements,nct_number,outcomes\nA 1,p.pdf, s1.pdf ;/abs/s2.pdf;,nct00000001,OS ;  Adverse   events;\nB,/x/q.pdf,,,\n", encoding="utf-8")

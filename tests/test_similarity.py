@@ -1,12 +1,15 @@
+import json
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trialsift.functions.payload import recover_object
+from pyspark.sql import functions as F
+
+from trialsift.functions.payload import fold_answer, fold_metadata, recover_json
 from trialsift.functions.similarity import lcs_length, partial_ratio, ratio
-from trialsift.functions.unicode import fold_quote
+from trialsift.functions.unicode import fold_quote, normalize_quote
 
 
 def table_lcs(a, b):
@@ -49,16 +52,45 @@ def test_fold_quote_ligature_and_hyphen_break():
     assert fold_quote("Eﬃcacy was con-\n firmed­  HERE") == "efficacy was confirmed here"
 
 
-@pytest.mark.parametrize(
-    "text,step",
-    [
-        ('{"a": 1}', "raw"),
-        ('```json\n{"a": 1}\n```', "fence"),
-        ('so: {"a": "}{"} end', "balanced"),
-        ('{\\"a\\": 1}', "raw_unescaped"),
-        ("nothing", None),
-    ],
-)
-def test_recover_object(text, step):
-    payload, got, error = recover_object(text)
-    assert got == step and (payload is None) == (error is not None)
+ENVELOPE = {"choices": [{"message": {"content": "```json\n{\"a\": 1}\n```"}}]}
+
+
+def test_recover_json(spark):
+    cases = [
+        ('{"a": 1}', "raw", '{"a": 1}'),
+        ('```json\n{"a": 1}\n```', "fence", '{"a": 1}'),
+        ('so: {"a": "}{"} end', "balanced", '{"a": "}{"}'),
+        ('a {broken} one, then {"b": {"c": 2}}', "balanced", '{"b": {"c": 2}}'),
+        ('{\\"a\\": 1}', "unescaped", '{"a": 1}'),
+        (json.dumps(json.dumps({"a": "[x"})), "unescaped", '{"a": "[x"}'),
+        (json.dumps(ENVELOPE), "fence", '{"a": 1}'),
+        ("[1, 2]", None, None),
+        ("nothing", None, None),
+        ("", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    rows = {r.i: r.r for r in df.select("i", recover_json(F.col("t")).alias("r")).collect()}
+    for i, (_, step, payload) in enumerate(cases):
+        assert (rows[i].step, rows[i].payload) == (step, payload), cases[i]
+        assert (rows[i].payload is None) == (rows[i].error is not None)
+
+
+def test_text_that_looks_like_json_is_kept(spark):
+    bodies = [
+        {"answer": "Y", "quote": "[12] patients were randomised by computer", "rationale": "[Table 2] allocation"},
+        {"answer": "Y", "quote": ["a", " ", "b"], "reasoning": "{x"},
+        {"answer": "Y", "quote": None, "source": "[", "metadata": "{no object", "title": "[1] T"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string")
+    rows = df.select("i", *[c.alias(n) for n, c in fold_answer(F.col("body")).items()]).orderBy("i").collect()
+    assert [r.quote for r in rows] == ["[12] patients were randomised by computer", "a\nb", "["]
+    assert [r.justification for r in rows] == ["[Table 2] allocation", "{x", ""]
+    assert df.where("i = 2").select(fold_metadata(F.col("body"))["title"]).first()[0] == "[1] T"
+
+
+def test_quote_folding_paths_agree(spark):
+    texts = ["A  b-\nc D", "  x-  y- z ", "randomi\u00ad sation", "Stra\u00dfe \ufb01ne-\n tuned", "tab\there", "", "\x1cq"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", normalize_quote(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == [fold_quote(t) for t in texts]

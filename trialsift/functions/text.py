@@ -181,7 +181,7 @@ def rows_to_markdown(rows: Column) -> Column:
 
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
     lines = F.transform(kept, render)
-    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000_000)), "\n")
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
     return F.when(F.size(kept) > 0, table).otherwise("")
 
 

@@ -89,13 +89,17 @@ def _starts_in(quote: Column, text: Column) -> Column:
     return F.contains(text, head)
 
 
+#: The hyphen join of `normalize_quote`, for texts that were folded apart.
+_OVER_BREAK = r"(?U)(\w)-\s+(\w)"
+
+
 def page_candidates(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(answer, page) rows with the page alone and, where the quote may run over, joined with the next."""
     joined = hot_key_join(quotes, pages, ["doc_id"], "inner")
-    spill = F.when(
-        F.col("next_text").isNotNull() & _starts_in(F.col("norm_quote"), F.col("page_text")),
-        F.trim(F.concat_ws(" ", F.col("page_text"), F.col("next_text"))),
-    )
+    both = F.regexp_replace(F.trim(F.concat_ws(" ", F.col("page_text"), F.col("next_text"))), _OVER_BREAK, "$1$2")
+    # A word broken at the page's end is whole only in the joined text.
+    runs_over = _starts_in(F.col("norm_quote"), F.col("page_text")) | F.col("page_text").endswith("-")
+    spill = F.when(F.col("next_text").isNotNull() & runs_over, both)
     return joined.withColumn("spill_text", spill).drop("next_text")
 
 
@@ -179,7 +183,12 @@ def resolve(answers: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFra
     in_paper = chosen.where("page_required AND source_page IS NULL").join(
         answers.select(*ANSWER, "norm_quote"), ANSWER
     )
-    located = locate_pages(in_paper, pages).select(*ANSWER, F.col("page").alias("_page"))
+    located = materialize(locate_pages(in_paper, pages).select(*ANSWER, F.col("page").alias("_page")))
+    # A source that needs a page and has none does not count; the next one in order is tried.
+    pageless = in_paper.join(located, ANSWER, "left_anti").select(*ANSWER)
+    others = sources.where("NOT (page_required AND source_page IS NULL)")
+    next_best = first_verifying_source(answers.join(pageless, ANSWER, "left_semi"), others)
+    chosen = chosen.join(pageless, ANSWER, "left_anti").unionByName(next_best)
     resolved = chosen.join(located, ANSWER, "left").withColumn("page", F.coalesce("_page", "source_page")).drop("_page")
     return (
         answers.join(resolved, ANSWER, "left")
@@ -195,9 +204,11 @@ def resolve(answers: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFra
 
 
 def describe(answers: DataFrame, sources: DataFrame, threshold: float = C.QUOTE_VERIFY_THRESHOLD) -> DataFrame:
-    """Audit row per answer: the best-scoring source (not the first verifying one) and why it failed."""
-    scored = verify(answers, sources, cutoff=0.0)
-    # an empty source text scores 0 and never becomes the best source
+    """Audit row per answer: the best-scoring source (not the first verifying one) and why it failed.
+
+    Sources without text are no candidates; an answer that has no others fails for that reason.
+    """
+    scored = verify(answers, sources.where("norm_text <> ''"), cutoff=0.0)
     best = scored.groupBy(*ANSWER).agg(
         F.max("score").alias("match_score"),
         F.min_by("source_document", F.struct(-F.col("score"), F.col("priority"))).alias("best_source"),
@@ -211,6 +222,8 @@ def describe(answers: DataFrame, sources: DataFrame, threshold: float = C.QUOTE_
         score.alias("match_score"),
         F.when(verified, F.col("best_source")).alias("matched_source_document"),
         F.lit("partial_ratio").alias("match_strategy"),
+        F.col("norm_quote").alias("normalized_quote"),
+        F.lit(threshold).cast("double").alias("threshold"),
         F.when(F.col("norm_quote") == "", "quote is empty")
         .when(F.col("match_score").isNull(), "source text is empty")
         .when(~verified, "quote did not meet verification threshold")

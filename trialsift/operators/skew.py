@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.session import materialize
 
+
 def hot_keys(df: DataFrame, key: list[str], max_share: float = 0.01) -> DataFrame:
     """Hashes of the keys that own more than `max_share` of the rows.
 
     A frequent-items sketch finds them in one map-side pass; at most
     1/max_share keys can qualify, so the result is safe to broadcast.
     """
+    items = math.ceil(1 / max_share)
     found = df.select(F.xxhash64(*key).alias("_key_hash")).agg(
-        F.expr("approx_top_k(_key_hash, 64, 4096)").alias("_top"), F.count(F.lit(1)).alias("_total")
+        F.expr(f"approx_top_k(_key_hash, {items}, {max(4096, 64 * items)})").alias("_top"), F.count(F.lit(1)).alias("_total")
     )
     return (
         found.select("_total", F.explode("_top").alias("_e"))

@@ -121,12 +121,12 @@ def quote_resolution(spark, sf):
 @query("quote_audit")
 def quote_audit(spark, sf):
     """Best-scoring source per quote with score and failure reason."""
-    return Q.describe(answers(spark, sf), sources(spark, sf).where("priority < 2"))
+    return Q.describe(answers(spark, sf), sources(spark, sf))
 
 
 @query("quote_faithfulness")
 def quote_faithfulness(spark, sf):
-    return Q.faithfulness(Q.describe(answers(spark, sf), sources(spark, sf).where("priority < 2")))
+    return Q.faithfulness(Q.describe(answers(spark, sf), sources(spark, sf)))
 
 
 @query("finalise_answers")

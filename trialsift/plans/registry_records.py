@@ -193,7 +193,13 @@ def responses(spark, sf):
     )
 
 
-@query("response_json_recovery")
+@query(
+    "response_json_recovery",
+    """WITH r AS (SELECT conv_id, turn, (CASE WHEN turn%2=0 THEN json_object('answer','PY','quoted_text',text,'reasoning',json_array(role,' ','stated'))
+       ELSE json_object('answer','N','quote',text,'rationale',role) END)::VARCHAR AS body, (conv_id+turn)%5 AS kind FROM conversations)
+     SELECT conv_id, turn, CASE WHEN kind<3 THEN body END AS payload, CASE kind WHEN 0 THEN 'raw' WHEN 1 THEN 'fence' WHEN 2 THEN 'balanced' END AS step,
+       CASE WHEN kind>=3 THEN 'no JSON object found' END AS error FROM r""",
+)
 def response_json_recovery(spark, sf):
     """Recovered JSON object per response with the step that found it."""
     return responses(spark, sf).select("conv_id", "turn", P.recover_json(F.col("response")).alias("r")).select(
@@ -203,7 +209,7 @@ def response_json_recovery(spark, sf):
 
 @query(
     "answer_alias_folding",
-    """SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'PY' ELSE 'N' END AS answer, md5(text) AS quote_md5, CASE WHEN turn%2=0 THEN role||chr(10)||'stated' ELSE role END AS justification
+    """SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'PY' ELSE 'N' END AS answer, md5(CASE WHEN turn%2=0 THEN text ELSE '['||conv_id||'] '||text END) AS quote_md5, CASE WHEN turn%2=0 THEN role||chr(10)||'stated' ELSE role END AS justification
      FROM conversations""",
 )
 def answer_alias_folding(spark, sf):
@@ -211,7 +217,7 @@ def answer_alias_folding(spark, sf):
         "conv_id",
         "turn",
         """IF(turn % 2 = 0, to_json(named_struct('answer', 'PY', 'quoted_text', text, 'reasoning', array(role, ' ', 'stated'))),
-             to_json(named_struct('answer', 'N', 'quote', text, 'rationale', role))) AS body""",
+             to_json(named_struct('answer', 'N', 'quote', concat('[', conv_id, '] ', text), 'rationale', role))) AS body""",
     )
     folded = P.fold_answer(F.col("body"))
     return bodies.select(

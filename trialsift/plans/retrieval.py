@@ -27,7 +27,7 @@ INDEX = f"""{PS.CHOSEN}, idx AS (SELECT a.doc_id, a.seg_ord, d.source AS trial_i
    FROM tf JOIN qt USING (token) JOIN dfq USING (trial_id, token) JOIN st USING (trial_id) JOIN tok ON tok.doc_id=tf.doc_id AND tok.seg_ord=tf.seg_ord GROUP BY ALL),
  dom(domain) AS (VALUES ('D1'),('D2'),('D3'),('D4'),('D5')),
  tagged AS (SELECT trial_id, domain, count(*) FILTER (list_contains(tags,domain)) AS n_tagged FROM idx CROSS JOIN dom GROUP BY ALL),
- qv AS (SELECT 'D'||(label%5+1) AS domain, list(v ORDER BY i) AS query_vec FROM (SELECT label, i, avg(x::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding,1) AS i FROM embeddings WHERE label<5) GROUP BY ALL) GROUP BY ALL),
+ qv AS (SELECT 'D'||(label%5+1) AS domain, list(v ORDER BY i) AS query_vec FROM (SELECT label, i, avg(x::DOUBLE) AS v FROM (SELECT label%5 AS label, unnest(embedding) AS x, generate_subscripts(embedding,1) AS i FROM embeddings) GROUP BY ALL) GROUP BY ALL),
  cand AS (SELECT i.trial_id, domain, i.doc_id, i.seg_ord, coalesce(bm25,0) AS bm25,
    CASE WHEN vec IS NOT NULL THEN list_dot_product(query_vec, vec::DOUBLE[])/(sqrt(list_dot_product(query_vec,query_vec))*sqrt(list_dot_product(vec::DOUBLE[],vec::DOUBLE[]))) END AS dense
    FROM idx i CROSS JOIN dom JOIN tagged USING (trial_id, domain) LEFT JOIN bm USING (doc_id, seg_ord, domain) JOIN qv USING (domain) WHERE list_contains(tags,domain) OR n_tagged<2)"""
@@ -55,15 +55,14 @@ def _index_segments(spark, sf):
 
 
 def query_vectors(spark, sf):
-    """Stand-in encoder output per domain: the mean vector of an embedding label."""
+    """Stand-in encoder output per domain: the mean vector of all embeddings whose label falls to it."""
     flat = (
         corpus.table(spark, sf, "embeddings")
-        .where("label < 5")
-        .select("label", F.posexplode("embedding").alias("i", "x"))
+        .select((F.col("label") % 5).alias("label"), F.posexplode("embedding").alias("i", "x"))
         .groupBy("label", "i")
         .agg(F.avg(F.col("x").cast("double")).alias("v"))
     )
-    return flat.groupBy(F.concat(F.lit("D"), F.col("label") % 5 + 1).alias("domain")).agg(
+    return flat.groupBy(F.concat(F.lit("D"), F.col("label") + 1).alias("domain")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("query_vec")
     )
 
