@@ -18,7 +18,7 @@ _DOC_WIDE = f"""raw AS (SELECT 'D'||doc_id AS trial_id, source AS outcome, lang,
 } FROM documents)"""
 _DOC_ROUTED = PD.ROUTED.replace(PD.RAW_WIDE, _DOC_WIDE)
 _PRED = f"""{_DOC_ROUTED}, pred AS (SELECT doc_id, lang, outcome AS source, {
-    ", ".join(f"{PD._J[d]} AS {d.lower()}" for d in C.DOMAINS)} FROM routed WHERE doc_id % 11 <> 0)"""
+    ", ".join(f"{PD._J[d]} AS {d.lower()}" for d in C.DOMAINS)} FROM routed)"""
 
 
 def _sql_gold(i: int) -> str:
@@ -55,7 +55,7 @@ def _stats(source: str, group: str) -> str:
 def predictions(spark, sf):
     docs = corpus.table(spark, sf, "documents").select("doc_id", "lang", "source")
     # answers are drawn wide: one row per document, no pivot and no shuffle
-    wide = docs.where("doc_id % 11 <> 0").selectExpr(
+    wide = docs.selectExpr(
         "*",
         "IF(doc_id % 3 = 0, 'adhering', 'assignment') AS effect",
         *[f"""{corpus.code_sql(f"concat('D', doc_id, '|{s}')")} AS {D.col_of(s)}""" for s in C.ALL_SQS],

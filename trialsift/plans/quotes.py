@@ -83,11 +83,15 @@ _ANS = f"""{PS.PAPER_OFFSETS}, k AS (SELECT p.doc_id, page, {sql_draw("'q'||p.do
 
 @query(
     "quote_exact",
-    f"""WITH {_ANS} SELECT a.doc_id, answer_id, CASE WHEN contains(t,q) THEN 0 ELSE 1 END AS priority, CASE WHEN contains(t,q) THEN 'paper-'||a.doc_id ELSE 'ClinicalTrials.gov' END AS source_document
-     FROM ans a JOIN paper p USING (doc_id) WHERE q<>'' AND (contains(t,q) OR contains('[clinicaltrials.gov] allocation: randomized by block '||a.doc_id, q))""",
+    f"""WITH {_ANS}, seg AS (WITH {PS.GUARDED} SELECT doc_id, seg_ord, segment_id, raw_text FROM guarded),
+     src AS (SELECT doc_id, 0 AS priority, 'paper-'||doc_id AS source_document, t FROM paper
+       UNION ALL SELECT doc_id, 1, 'ClinicalTrials.gov', '[clinicaltrials.gov] allocation: randomized by block '||doc_id FROM documents
+       UNION ALL SELECT doc_id, (seg_ord+2)::INT, 'supplement-'||segment_id, {_norm("raw_text")} FROM seg)
+     SELECT a.doc_id, answer_id, min(priority)::INT AS priority, arg_min(source_document, priority) AS source_document
+     FROM ans a JOIN src s ON a.doc_id=s.doc_id AND contains(s.t, a.q) WHERE q<>'' GROUP BY ALL""",
 )
 def quote_exact(spark, sf):
-    return Q.exact_matches(answers(spark, sf), sources(spark, sf).where("priority < 2"))
+    return Q.exact_matches(answers(spark, sf), sources(spark, sf))
 
 
 @query(
