@@ -6,7 +6,7 @@ import importlib
 
 from trialsift.plans.registry import REGISTRY
 
-_MODULES = ("decisions", "evaluation", "batch", "trace", "structure", "retrieval", "registry_records", "context", "quotes", "exports", "streams")
+_MODULES = ("decisions", "evaluation", "batch", "trace", "structure", "retrieval", "registry_records", "context", "quotes", "exports", "streams", "files")
 
 
 def load():

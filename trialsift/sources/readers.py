@@ -12,12 +12,10 @@ from trialsift.functions import text as T
 
 MANIFEST = "main_paper string, supplements string, nct_number string, outcomes string, trial_label string"
 EVENTS = (
-    "schema_version string, run_id string, event_id string, parent_event_id string, timestamp timestamp, "
+    "schema_version string, run_id string, event_id string, parent_event_id string, timestamp string, "
     "event_type string, status string, trial_id string, outcome string, domain string, sq_id string, "
     "artifact_refs array<string>, payload string"
 )
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header (byte-order mark allowed) or JSON: a list, or an object with `entries`."""
     base = path.rsplit("/", 1)[0] if "/" in path else "."
@@ -94,12 +92,17 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """ISO times down to microseconds, with or without an offset; others are null."""
+    return events.withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).json(path)
+    return _timed(spark.read.schema(EVENTS).json(path))
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).json(path)
+    return _timed(spark.readStream.schema(EVENTS).json(path))
 
 
 def run_inputs(manifest: DataFrame, files: DataFrame) -> DataFrame:
