@@ -47,11 +47,27 @@ def _known(sq_ids) -> str:
 # --------------------------------------------------------------------------
 # routing
 
+#: Answer codes in text order; a pivot compares their positions, which fit one byte, in place of their texts.
+CODES = tuple(sorted({*C.RAW_CODES, "NA"}))
+
+
+def code_position(value: Column) -> Column:
+    found = None
+    for i, code in enumerate(CODES, 1):
+        hit = F.when(value == code, F.lit(i)) if found is None else found.when(value == code, F.lit(i))
+        found = hit
+    return found.cast("tinyint")
+
+
+def _code_at(position: Column) -> Column:
+    return F.get(F.array(*map(F.lit, CODES)), position.cast("int") - 1)  # null for null, unlike element_at's type says
+
+
 def pivot_answers(raw: DataFrame, key: list[str], sq_ids=C.ALL_SQS, value: str = "answer") -> DataFrame:
-    """Long answers to one wide row per key; partial aggregation runs map-side."""
-    return raw.groupBy(*key).agg(
-        *[F.expr(f"max(CASE WHEN sq_id = '{sq}' THEN {value} END)").alias(col_of(sq)) for sq in sq_ids]
-    )
+    """Long answers to one wide row per key; partial aggregation runs map-side, in hash tables of small numbers."""
+    coded = raw.select(*key, "sq_id", code_position(F.col(value)).alias("_code"))
+    wide = coded.groupBy(*key).agg(*[F.max(F.when(F.col("sq_id") == sq, F.col("_code"))).alias(col_of(sq)) for sq in sq_ids])
+    return wide.select(*key, *[_code_at(F.col(col_of(sq))).alias(col_of(sq)) for sq in sq_ids])
 
 
 def _then(gate: str, test: str) -> str:
@@ -350,38 +366,51 @@ def with_overall(pivoted: DataFrame) -> DataFrame:
     return counted.select(*pivoted.columns, *[c.alias(n) for n, c in parts.items()])
 
 
-def reliability_basis(sq_answers: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
-    """Weak-evidence basis text per key; rows per key are at most the 22 questions."""
-    label = F.concat_ws(" ", "domain", "sq_id")
+def pivot_evidence(finished: DataFrame, key: list[str] = PAIR_KEY, sq_ids=C.ALL_SQS) -> DataFrame:
+    """Final answers to one row per key: code columns and, beside each, what makes its answer unreliable.
 
-    def listed(condition: Column, title: str) -> Column:
-        items = F.array_join(F.array_sort(F.collect_list(F.when(condition, label))), ", ")
-        return F.when(F.length(items) > 0, F.concat(F.lit(title), items))
-
-    return sq_answers.groupBy(*key).agg(
-        F.nullif(
-            F.concat_ws(
-                "; ",
-                listed(F.col("flag") == "FLAGGED", "flagged SQ answer(s): "),
-                listed(F.col("flag") == "UNCERTAIN", "uncertain SQ answer(s): "),
-                listed(~F.col("quote_verified"), "unverified quote(s): "),
-            ),
-            F.lit(""),
-        ).alias("reliability_basis")
+    Code, flag and verification share one small number per question, so the
+    aggregation stays in hash tables.
+    """
+    flag = F.when(F.col("flag") == "FLAGGED", F.lit(2)).when(F.col("flag") == "UNCERTAIN", F.lit(1)).otherwise(F.lit(0))
+    doubt = F.when(F.col("quote_verified"), F.lit(0)).when(F.col("quote_verified").isNull(), F.lit(0)).otherwise(F.lit(1))
+    packed = code_position(F.col("final_answer")).cast("short") * 8 + flag * 2 + doubt
+    coded = finished.select(*key, "sq_id", packed.cast("short").alias("_packed"))
+    wide = coded.groupBy(*key).agg(*[F.max(F.when(F.col("sq_id") == sq, F.col("_packed"))).alias(f"_{col_of(sq)}") for sq in sq_ids])
+    out = []
+    for sq in sq_ids:
+        p = F.col(f"_{col_of(sq)}").cast("int")
+        out += [_code_at(F.floor(p / 8)).alias(col_of(sq)), (p % 8).alias(f"_{col_of(sq)}")]
+    return wide.select(*key, *out)
+
+
+def reviewed(finished: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
+    """Overall judgment, review flag and its basis: policy text first, then the answers that were asked but are weak."""
+    routed = route(pivot_evidence(finished, key))
+
+    def listed(test, title: str) -> Column:
+        items = [F.when((F.col(col_of(sq)) != "NA") & test(F.col(f"_{col_of(sq)}")), F.lit(f"D{sq[0]} {sq}")) for sq in sorted(C.ALL_SQS)]
+        text = F.array_join(F.array_compact(F.array(*items)), ", ")
+        return F.when(F.length(text) > 0, F.concat(F.lit(title), text))
+
+    basis = F.nullif(
+        F.concat_ws(
+            "; ",
+            listed(lambda x: F.floor(x / 2) == 2, "flagged SQ answer(s): "),
+            listed(lambda x: F.floor(x / 2) == 1, "uncertain SQ answer(s): "),
+            listed(lambda x: x % 2 == 1, "unverified quote(s): "),
+        ),
+        F.lit(""),
     )
-
-
-def human_review(overall: DataFrame, reliability: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
-    """Review flag and basis: policy text first, then reliability text."""
-    joined = overall.join(reliability, key, "left")
-    policy_text = F.when(F.col("policy_review"), F.col("overall_rationale"))
+    overall = with_overall(routed.select(*key, basis.alias("reliability_basis"), *[domain_judgment(d) for d in C.DOMAINS]))
+    policy = F.when(F.col("policy_review"), F.col("overall_rationale"))
     flag = F.coalesce(F.col("policy_review"), F.lit(False)) | F.col("reliability_basis").isNotNull()
-    return joined.select(
+    return overall.select(
         *key,
         "overall_judgment",
         "overall_rationale",
         flag.alias("requires_human_review"),
-        F.when(flag, F.concat_ws("; ", policy_text, F.col("reliability_basis"))).alias("review_basis"),
+        F.when(flag, F.concat_ws("; ", policy, F.col("reliability_basis"))).alias("review_basis"),
     )
 
 

@@ -435,49 +435,7 @@ def human_review_basis(spark, sf):
 
 
 def _reviewed(spark, sf) -> DataFrame:
-    finished = A.finalize(_evidence(spark, sf))
-    # One pivot carries codes and evidence, so routing and review share a shuffle.
-    wide = finished.groupBy(*KEY).agg(
-        *[F.max(F.when(F.col("sq_id") == s, F.col("final_answer"))).alias(D.col_of(s)) for s in C.ALL_SQS],
-        F.collect_list(F.struct("sq_id", "flag", "quote_verified")).alias("evidence"),
-    )
-    routed = D.route(wide)
-    asked = F.array_compact(
-        F.array(*[F.when(F.col(D.col_of(s)) != "NA", F.lit(s)) for s in C.ALL_SQS])
-    )
-    weak = F.array_sort(F.filter("evidence", lambda e: F.array_contains(asked, e["sq_id"])))
-
-    def listed(test, title):
-        items = F.array_join(
-            F.transform(
-                F.filter(weak, test), lambda e: F.concat(F.lit("D"), F.substring(e["sq_id"], 1, 1), F.lit(" "), e["sq_id"])
-            ),
-            ", ",
-        )
-        return F.when(F.length(items) > 0, F.concat(F.lit(title), items))
-
-    basis = F.nullif(
-        F.concat_ws(
-            "; ",
-            listed(lambda e: e["flag"] == "FLAGGED", "flagged SQ answer(s): "),
-            listed(lambda e: e["flag"] == "UNCERTAIN", "uncertain SQ answer(s): "),
-            listed(lambda e: ~e["quote_verified"], "unverified quote(s): "),
-        ),
-        F.lit(""),
-    )
-    verdicts = routed.select(
-        *KEY, basis.alias("reliability_basis"), *[D.domain_judgment(d) for d in C.DOMAINS]
-    )
-    overall = D.with_overall(verdicts)
-    policy = F.when(F.col("policy_review"), F.col("overall_rationale"))
-    flag = F.coalesce(F.col("policy_review"), F.lit(False)) | F.col("reliability_basis").isNotNull()
-    return overall.select(
-        *KEY,
-        "overall_judgment",
-        "overall_rationale",
-        flag.alias("requires_human_review"),
-        F.when(flag, F.concat_ws("; ", policy, F.col("reliability_basis"))).alias("review_basis"),
-    )
+    return D.reviewed(A.finalize(_evidence(spark, sf)), KEY)
 
 
 _OVERALL_AUDIT = "'judgment.overall.completed' AS event_type"
