@@ -34,7 +34,7 @@ END_ID = 1
 #: Queues at most; beyond so many sources, sources share queues by hash.
 QUEUES = 1024
 #: Characters tokenized at once.
-TEXT_CHARS = 4 << 20
+TEXT_CHARS = 1 << 20
 
 
 class Rounds:

@@ -8,7 +8,9 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words whose ids a worker keeps.
-CACHED = 500_000
+CACHED = 300_000
+#: Words or texts encoded at once: an encoding takes a multiple of its text's memory.
+AT_ONCE = 1000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -66,8 +68,11 @@ class Encoder:
         self.words = [_Words(""), _Words(" "), _Words("\n")]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
+            out += [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+        return out
 
     def _joined(self, text: str) -> list[bytes | None]:
         begin, space, head = (w.__getitem__ for w in self.words)
