@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trialsift.llm.common import splitmix, table, text_slices
+from trialsift.llm.common import release_memory, table, text_slices
 from trialsift.llm.zstd_lang import held_out
 
 KERNEL, STRIDE = 16, 8
@@ -207,6 +207,7 @@ def with_scores(docs: DataFrame, weights: bytes) -> DataFrame:
             for row, end, data, offsets in text_slices(batch.column("text"), 256 << 10):
                 out[row:end] = _long_score(net, data) if end - row == 1 and len(data) > (1 << 20) else net.score(data, offsets)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+        release_memory()
 
     return docs.mapInArrow(score, schema)
 

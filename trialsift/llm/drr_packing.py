@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import table
+from trialsift.llm.common import release_memory, table
 from trialsift.llm.tokens import encoder, tokenizer_path
 from trialsift.session import scratch_path
 
@@ -132,6 +132,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, queu
                     names=["doc_id", "queue", "chunk", "before", "n", "ids"],
                 )
                 a = b
+        release_memory()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -194,6 +195,7 @@ def pack(
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", last[0]],
                 )
+        release_memory()
 
     return ids.join(base, ["queue", "chunk"]).mapInArrow(
         place,

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import Words, buckets_for, pack_low, table, text_slices, unpack_low, windows_hash
+from trialsift.llm.common import Words, buckets_for, pack_low, release_memory, table, text_slices, unpack_low, windows_hash
 
 WINDOW = 20
 ANCHOR = 5
@@ -158,6 +158,8 @@ def repeated_intervals(docs: DataFrame, windows: int, window: int = WINDOW, anch
                 ids, prints, base = [], [], 0
         if held:
             yield flush()
+            held = []
+        release_memory()
 
     def extend(frame: pd.DataFrame) -> pd.DataFrame:
         settled = frame[frame["kind"] == "settled"]
@@ -175,6 +177,8 @@ def repeated_intervals(docs: DataFrame, windows: int, window: int = WINDOW, anch
                 new = np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]))
                 group = np.cumsum(new) - 1
                 out += _intervals((doc[new], mark[new]), group, start, window)
+            del parts, doc, mark, start, whole
+        release_memory()
         return pd.DataFrame(out, columns=["doc", "print", "spans"])
 
     return (

@@ -8,7 +8,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words whose ids a worker keeps.
-CACHED = 300_000
+CACHED = 600_000
 #: Words or texts encoded at once: an encoding takes a multiple of its text's memory.
 AT_ONCE = 1000
 

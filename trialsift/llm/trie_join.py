@@ -40,6 +40,7 @@ from trialsift.llm.common import (
     buckets_for,
     mix64,
     pack48,
+    release_memory,
     splitmix,
     stored,
     table,
@@ -201,6 +202,8 @@ def shared_parts(docs: DataFrame, shingles: int, ngram: int = NGRAM, percent: in
                     sets, prints, seen, held = [], [], set(), 0
         if sets:
             yield _rows(_flush(sets, prints, buckets, buckets))
+            sets = []
+        release_memory()
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         relayed = frame[frame["kind"] == "set"]
@@ -228,6 +231,8 @@ def shared_parts(docs: DataFrame, shingles: int, ngram: int = NGRAM, percent: in
                 whole = grams[order] | np.uint64(int(frame["bucket"].iloc[0])) << np.uint64(48)
                 owner = np.repeat(np.arange(len(who)), counts)
                 out += [(k, p) for _, k, p in _to_classes(who, np.zeros(len(who)), owner, whole, buckets)]
+            del singles, ids, grams, order, same_gram, other_class, repeat, run
+        release_memory()
         return pd.DataFrame(out, columns=["share", "payload"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:

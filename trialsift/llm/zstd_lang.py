@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trialsift.llm.common import table
+from trialsift.llm.common import release_memory, table
 
 DOCS_PER_LANGUAGE = 400
 EXCERPT = 400
@@ -102,6 +102,7 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN)
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())],
                 names=[*batch.schema.names, "lang_pred", "score", "rejected"],
             )
+        release_memory()
 
     return docs.mapInArrow(guess, schema)
 
