@@ -30,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 #: Documents in one block of a flight.
-BLOCK = 20_000
+BLOCK = 4_000
 _SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
