@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialsift.session import scratch_path
 
@@ -31,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most; above, both sides of a join are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def short(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it is counted at BROADCAST_ROWS or fewer; its rows hold a few numbers each."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def release_memory() -> None:
     """Give freed memory back at the end of a task: idle workers count against their executor's limit."""
     pa.default_memory_pool().release_unused()

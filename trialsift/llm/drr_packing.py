@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import release_memory, table
+from trialsift.llm.common import release_memory, short, table
 from trialsift.llm.tokens import encoder, tokenizer_path
 from trialsift.session import scratch_path
 
@@ -197,7 +197,7 @@ def pack(
                 )
         release_memory()
 
-    return ids.join(base, ["queue", "chunk"]).mapInArrow(
+    return ids.join(short(base), ["queue", "chunk"]).mapInArrow(
         place,
         "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, "
         + ("ids_crc32 long" if checksums else "ids binary"),

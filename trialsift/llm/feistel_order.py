@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import mix64, splitmix, table
+from trialsift.llm.common import mix64, short, splitmix, table
 from trialsift.llm.drr_packing import END_ID, TEXT_CHARS, stored_ids
 from trialsift.llm.tokens import encoder, tokenizer_path
 from trialsift.session import scratch_path
@@ -151,7 +151,7 @@ def write_shards(
         if records:
             yield row()
 
-    placed = cut.join(base, "chunk").mapInArrow(slots, "shard long, slot long, number long, n int, ids binary")
+    placed = cut.join(short(base), "chunk").mapInArrow(slots, "shard long, slot long, number long, n int, ids binary")
     shards = max(1, -(-n // per_shard))
     (
         placed.repartitionByRange(max(2, min(shards, 100_000)), "shard")
