@@ -41,6 +41,7 @@ from trialsift.llm.common import (
     mix64,
     pack48,
     release_memory,
+    short,
     splitmix,
     stored,
     table,
@@ -400,24 +401,28 @@ def first_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def prefix_grams(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(gram, class, n, r): the prefix of each set's shared part of r shingles."""
+    """(gram, class, n, r, place): the prefix of each set's shared part of r shingles; place counts from 1."""
 
     def cut(batches):
         for batch in batches:
-            grams, classes, sizes, shared = [], [], [], []
+            grams, classes, sizes, shared, places = [], [], [], [], []
             for c, n, g in _unpacked(batch):
                 p = len(g) - -(-percent * n // 100) + 1
                 grams.append(g[:p])
                 classes.append(np.full(p, c))
                 sizes.append(np.full(p, n))
                 shared.append(np.full(p, len(g)))
+                places.append(np.arange(1, p + 1))
             if grams:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).view(np.int64)) for x in (grams, classes, sizes, shared)],
-                    names=["gram", "class", "n", "r"],
+                    [
+                        *(pa.array(np.concatenate(x).view(np.int64)) for x in (grams, classes)),
+                        *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, shared, places)),
+                    ],
+                    names=["gram", "class", "n", "r", "place"],
                 )
 
-    return parts.mapInArrow(cut, "gram long, class long, n long, r long")
+    return parts.mapInArrow(cut, "gram long, class long, n int, r int, place int")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -513,14 +518,11 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stored(first_links(parts, percent), "first-links")
     # Each holder of a prefix shingle with the holder of least own shingles: most near copies link to that one.
     whole = F.col("r") / F.col("n") + F.pmod("class", F.lit(1 << 20)) / F.lit(1e13)
-    heads = prefixes.groupBy("gram").agg(
-        F.max_by("class", whole).alias("a"),
-        F.max_by("n", whole).alias("n_a"),
-        F.max_by("r", whole).alias("r_a"),
-        F.count(F.lit(1)).alias("holders"),
-    )
+    both = F.col("n").cast("long") * (1 << 32) + F.col("r")
+    heads = prefixes.groupBy("gram").agg(F.max_by("class", whole).alias("a"), F.max_by(both, whole).alias("both"))
+    heads = heads.select("gram", "a", F.shiftright("both", 32).alias("n_a"), (F.col("both") % (1 << 32)).alias("r_a"))
     ends = prefixes.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"))
-    stars = ends.join(heads.where("holders > 1"), (ends["gram"] == heads["gram"]) & (F.col("a") != F.col("b")))
+    stars = ends.join(heads, (ends["gram"] == heads["gram"]) & (F.col("a") != F.col("b")))
     stars = stored(stars.select("a", "b", _may_link(percent).alias("may")).distinct(), "star-pairs")
     roots = stored(components(links), "roots")
     apart = _apart(stars.where("may"), roots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -530,15 +532,25 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = stored(components(links), "roots")
     # Holders that still are apart from such a head meet the other components that hold one of their shingles.
     open_ends = stored(_apart(stars, roots).select(F.col("b").alias("class")).distinct(), "open-ends")
-    rooted = prefixes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # Only shingles that an open end has in its prefix matter from here on.
+    mine = stored(prefixes.join(short(open_ends), "class", "left_semi"), "open-prefixes")
+    near = prefixes.join(short(mine.select("gram").distinct()), "gram", "left_semi")
+    roots_of = roots.withColumnRenamed("node", "class")
+    rooted = near.join(roots_of, "class", "left").withColumn("root", F.coalesce("root", "class"))
     held = rooted.groupBy("gram", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("r").alias("r_b"))
-    mine = rooted.join(open_ends, "class", "left_semi").select(
-        F.col("gram").alias("mine"), "class", "n", "r", F.col("root").alias("own")
+    mine = mine.join(roots_of, "class", "left").select(
+        F.col("gram").alias("mine"), "class", "n", "r", "place", F.coalesce("root", "class").alias("own")
     )
     smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
     fits = (F.col("most") >= smallest) & (F.col("least") * percent <= F.col("n") * 100)
     need = F.ceil(F.lit(percent) * (F.col("n") + smallest) / F.lit(100 + percent))
-    asked = mine.join(held, (F.col("mine") == F.col("gram")) & (F.col("own") != F.col("root")) & fits & (need <= F.least("r", "r_b")))
+    # Linked sets share `common` prefix shingles at least: one stands among all but the last common - 1 of a prefix.
+    own_least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    common = F.greatest(need - F.greatest(own_least, F.ceil(F.lit(percent) * F.col("most") / 100)) + 1, F.lit(1))
+    early = F.col("place") <= (F.col("r") - own_least + 1) - common + 1
+    asked = mine.join(
+        held, (F.col("mine") == F.col("gram")) & (F.col("own") != F.col("root")) & fits & (need <= F.least("r", "r_b")) & early
+    )
     asked = stored(asked.select("class", "root").distinct(), "asked")
     # The asked components' members, in blocks; a probe visits every block of its components.
     wanted = asked.select("root").distinct()
