@@ -54,14 +54,17 @@ def held_out(modulus: int, remainder: int):
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """language -> dictionary content, the language of most documents first, from (doc_id, text, lang); rows without text, id or language teach nothing."""
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     span = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
     begin = F.pmod(F.xxhash64("doc_id", F.lit(7)), span) + 1
-    taken = (
-        rows.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= DOCS_PER_LANGUAGE)
-        .select("lang", "_rank", F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("excerpt"))
+    excerpts = rows.select(
+        "lang",
+        "doc_id",
+        F.xxhash64("text").alias("_print"),
+        F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("excerpt"),
     )
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_print")
+    taken = excerpts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= DOCS_PER_LANGUAGE)
+    taken = taken.select("lang", "_rank", "excerpt")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1)
     names = [r[0] for r in sizes.collect()]
     if len(names) > MAX_LANGUAGES:
