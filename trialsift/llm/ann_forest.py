@@ -36,7 +36,7 @@ BITS = 48
 COUNTED = 12
 RANKS = 5
 LEAST = 2000
-SHARE = 0.6
+SHARE = 1.0
 ARRAY = 4096
 SEED = 97
 

@@ -153,8 +153,9 @@ def mix(
         rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+        .withColumn("_ratio", F.when(F.col("size") > 0, F.col("_ratio")).otherwise(F.lit(0.0)))
         .withColumn("base", F.floor("_ratio").cast("long"))
-        .withColumn("chance", F.when(F.col("size") > 0, F.col("_ratio") - F.col("base")).otherwise(F.lit(0.0)))
+        .withColumn("chance", F.col("_ratio") - F.col("base"))
         .withColumn("draw", F.xxhash64("doc_id", "print", F.lit(seed)))
         .drop("_ratio")
     )
