@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of near copies."""
+    """One row, that of the smallest doc_id, of each component of near copies."""
     ship_package(spark)
     return keep_one_each(docs)
 

@@ -90,8 +90,9 @@ def _fingerprint(grams: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def set_classes(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """(doc_id, n_shingles, class): class is the fingerprint of the set, null for an empty set."""
+def set_classes(docs: DataFrame, ngram: int = NGRAM, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, class): class is the fingerprint of the set, null for an empty set; `also`: long columns to hand on."""
+    kept = ["doc_id", *also]
 
     def read(batches):
         for batch in batches:
@@ -100,11 +101,11 @@ def set_classes(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
             for row, grams in shingle_sets(batch.column("text"), ngram):
                 n[row], prints[row] = len(grams), _fingerprint(grams)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(prints, mask=n == 0)], names=["doc_id", "n_shingles", "class"]
+                [*(batch.column(c) for c in kept), pa.array(n), pa.array(prints, mask=n == 0)], names=[*kept, "n_shingles", "class"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        read, "doc_id long, n_shingles long, class long"
+    return docs.select(*[F.col(c).cast("long") for c in kept], F.col("text").cast("string")).mapInArrow(
+        read, "".join(f"{c} long, " for c in kept) + "n_shingles long, class long"
     )
 
 
@@ -566,8 +567,14 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.unionByName(stored(component_links(probes, members, percent), "rest-links"))
 
 
+def _class_roots(docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that have a link."""
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    return components(class_links(shared_parts(docs, int(total), ngram, percent), percent))
+
+
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, component_docs) for every row of `docs` (doc_id, text).
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links.  A null or
     wordless text has n_shingles 0 and stands alone; a text of fewer words
@@ -577,8 +584,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     """
     classes = stored(set_classes(docs, ngram), "set-classes")
     members = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    roots = components(class_links(shared_parts(docs, int(total), ngram, percent), percent))
+    roots = _class_roots(docs, classes, ngram, percent)
     rooted = members.join(roots, members["class"] == roots["node"], "left").select(
         "class", "least", F.coalesce("root", "class").alias("root")
     )
@@ -592,14 +598,41 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     )
 
 
+def _row_print(docs: DataFrame):
+    """Hash of a row's columns; which of them are null is hashed too, because null values are skipped."""
+    names = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[docs[c] for c in names], *[docs[c].isNull() for c in names])
+
+
 def keep_one_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` without those whose component has a smaller doc_id; rows without an id stay."""
-    found = jaccard_components(docs, ngram, percent)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of `docs` from each component of near copies; rows without a word stand alone and stay.
+
+    The row of the smallest doc_id stays, rows without an id come last; among rows of one doc_id the smallest row print
+    decides, and of wholly equal rows one stays.  The decision is a row's, not a doc_id's: another text of the same doc_id
+    is judged in its own component.
+    """
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], _row_print(docs).alias("print"))
+    classes = stored(set_classes(keyed, ngram, ("print",)), "set-classes")
+    roots = _class_roots(docs, classes, ngram, percent)
+    rows = classes.where("class IS NOT NULL").groupBy("class", "doc_id", "print").agg(F.count(F.lit(1)).alias("times"))
+    rows = stored(rows, "class-rows")
+    # null ids sort behind all others
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    rooted = rows.groupBy("class").agg(F.min(order).alias("first")).join(roots, F.col("class") == F.col("node"), "left")
+    rooted = stored(rooted.select("class", "first", F.coalesce("root", "class").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    named = rooted.join(named, "root").select("class", "stays")
+    lost = (F.col("print") != F.col("stays.print")) | ~F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+    marked = rows.join(named, "class").select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), lost.alias("_lost"), "times")
+    marked = stored(marked.where("_lost OR times > 1").drop("times"), "near-copies")
+    few = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
+    found = docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few["_doc"]) & (_row_print(docs) == few["_print"]), "left")
+    alone = found.where("_lost IS NULL").select(*[docs[c] for c in docs.columns])
+    if marked.where("NOT _lost").isEmpty():
+        return alone
+    # Equal rows of which one stays; first() combines them where they lie.
+    again = found.where("NOT _lost").dropDuplicates(["_doc", "_print"]).select(*docs.columns)
+    return alone.unionByName(again)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
