@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.fixtures import SCHEMA, prose
-from trialsift.llm import trie_join
+from trialsift.llm import drr_packing, trie_join
 
 
 def test_one_row_of_each_component_stays(spark):
@@ -29,3 +31,39 @@ def test_one_row_of_each_component_stays(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = Counter((r.doc_id, r.text) for r in trie_join.keep_one_each(docs).collect())
     assert got == Counter({(1, base): 1, (2, alone): 1, (None, other): 1, (3, None): 2, (4, ""): 1, (5, "a b"): 1})
+
+
+def test_every_source_has_its_queue(spark):
+    """One source of half the ids among 1,100: every window holds its half."""
+    rows = [(i, prose(i, 12), f"small{i}") for i in range(1100)]
+    rows += [(2000 + i, prose(i, 1100), "large") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = drr_packing.pack(docs, size=512).collect()
+    assert {r.queue for r in got} == {"slarge", *(f"ssmall{i}" for i in range(1100))}
+    total = sum(r.length for r in got)
+    large, fill = Counter(), Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+        large[r.sequence_id] += r.length * (r.queue == "slarge")
+    share = sum(large.values()) / total
+    assert all(fill[w] == 512 for w in range(max(fill)))
+    assert all(abs(large[w] - 512 * share) < 12 for w in range(max(fill)))
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_targets_hold_while_queues_last(spark):
+    totals = [5000, 0, 20000, 700, 3000]
+    rounds = drr_packing.Rounds(totals, 64, [0.5, 1, 0.25, 0, 0.25])
+    w = np.arange(rounds.windows + 1)
+    sent = np.stack([rounds.taken(q, w)[1] for q in range(5)])
+    ahead = np.stack([rounds.taken(q, w)[0] for q in range(5)])
+    assert (np.diff(sent, axis=1) >= 0).all() and sent[:, -1].tolist() == totals
+    assert (ahead == np.cumsum(sent, axis=0) - sent).all()
+    both = np.flatnonzero(64 * w <= 10_000)  # until the first queue of the targets is empty
+    assert np.abs(sent[:, both] - np.outer([0.5, 0, 0.25, 0, 0.25], 64 * w[both])).max() < 4
+    assert (sent[3, 64 * w <= 28_000] == 0).all()
+    docs = spark.createDataFrame([(i, prose(i, 300), "ab"[i % 2] if i else None) for i in range(9)], "doc_id long, text string, source string")
+    got = drr_packing.pack(docs, size=256, targets={"a": 3, "b": 1}).where("sequence_id < 2").groupBy("queue").sum("length").collect()
+    part = {r[0]: r[1] for r in got}
+    assert set(part) == {"sa", "sb"} and abs(part["sa"] - 3 * 128) < 4

@@ -2,7 +2,7 @@
 
 Every document becomes token ids and an end id.  The documents of a source
 form a queue; a window of 2048 ids visits all queues and takes from each its
-quantum, the queue's share of all tokens, in whole ids.  What rounding leaves a
+quantum, the queue's share of all tokens or its target proportion, in whole ids.  What rounding leaves a
 queue short or ahead is its deficit and is carried to the next window, so every
 window has the mixture's proportions to within a few ids and only the corpus'
 last window can need padding.
@@ -18,6 +18,7 @@ are summed first, then no window, queue or source is gathered anywhere.
 from __future__ import annotations
 
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,30 +32,52 @@ from trialsift.session import scratch_path
 
 WINDOW = 2048
 END_ID = 1
-#: Queues at most; beyond so many sources, sources share queues by hash.
-QUEUES = 1024
 #: Characters tokenized at once.
 TEXT_CHARS = 1 << 20
 
 
+def phases(totals: list[int], targets: list[float]) -> list[list[int]]:
+    """Ids of each queue in the stretches between which queues run empty, by target proportions.
+
+    Within a stretch the queues that still hold ids send in proportion to their
+    targets.  Queues without a target (0) share what comes after all others.
+    """
+    weight = [Fraction(w) for w in targets]
+    ends = sorted({n / w for n, w in zip(totals, weight) if w and n})
+    out, sent = [], [0] * len(totals)
+    for end in ends:
+        now = [min(n, int(w * end)) for n, w in zip(totals, weight)]
+        out.append([b - a for a, b in zip(sent, now)])
+        sent = now
+    return [*out, [n - a for n, a in zip(totals, sent)]]
+
+
 class Rounds:
-    """The round robin over queues of `totals` ids, `size` ids a window."""
+    """The round robin over queues of `totals` ids, `size` ids a window; `targets`: proportions, the totals' own if None."""
 
-    def __init__(self, totals: list[int], size: int = WINDOW):
-        self.sums = [0]
-        for n in totals:
-            self.sums.append(self.sums[-1] + int(n))
-        self.size, self.total, self.queues = size, self.sums[-1], len(totals)
+    def __init__(self, totals: list[int], size: int = WINDOW, targets: list[float] | None = None):
+        parts = [totals] if targets is None else phases([int(n) for n in totals], targets)
+        self.sums = [np.append(0, np.cumsum(np.asarray(p, dtype=np.int64))).astype(np.int64) for p in parts]
+        self.size, self.total, self.queues = size, sum(int(x[-1]) for x in self.sums), len(totals)
         self.windows = -(-self.total // size)
         self.kind = np.int64 if self.total < 1 << 31 else object  # products must not overflow
 
     def taken(self, queue: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """After so many windows: ids sent by all queues before `queue`, and by `queue`."""
-        sent = np.minimum(np.asarray(windows, dtype=self.kind) * self.size, self.total)
+        every = np.minimum(np.asarray(windows, dtype=self.kind) * self.size, self.total)
+        ahead = mine = np.zeros(every.shape, dtype=np.int64)
+        for sums in self.sums:
+            part = np.minimum(every, int(sums[-1]))
+            every = every - part
+            before, sent = self._split(sums, queue, part)
+            ahead, mine = ahead + before, mine + sent
+        return ahead, mine
+
+    def _split(self, sums: np.ndarray, queue: int, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         before, low, high = sent * 0, 0, self.queues
         while high - low > 1:
             mid = (low + high) // 2
-            whole, left = self.sums[high] - self.sums[low], self.sums[mid] - self.sums[low]
+            whole, left = int(sums[high] - sums[low]), int(sums[mid] - sums[low])
             first = (sent * left + whole // 2) // whole if whole else sent * 0
             if queue < mid:
                 sent, high = first, mid
@@ -149,31 +172,40 @@ def stored_ids(rows: DataFrame, name: str) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, end_id: int = END_ID, checksums: bool = False
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    size: int = WINDOW,
+    end_id: int = END_ID,
+    checksums: bool = False,
+    targets: dict[str | None, float] | None = None,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, queue and ids.
 
     ids are 16-bit little-endian numbers, or with `checksums` ids_crc32, the
     checksum of the ids as unsigned 32-bit little-endian numbers.  Null and
     empty texts are one end id; a null source is a source; repeated rows are
-    packed each.  Other columns are ignored.
+    packed each.  Every source has a queue of its own.  `targets`: proportion
+    of each source in a window while its queue lasts, in any unit; sources it
+    does not name come after all others.  Without it the proportions are the
+    sources' shares of all ids.  Other columns are ignored.
     """
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    if docs.select(source.alias("q")).distinct().limit(QUEUES + 1).count() > QUEUES:
-        source = F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string")
     ids = stored_ids(tokenized(docs, tokenizer or tokenizer_path(), end_id, source), "packing-ids")
     sums = ids.groupBy("queue", "chunk").agg(F.sum("n").alias("ids_n"))
     earlier = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("ids_n").over(earlier), F.lit(0))).drop("ids_n")
-    totals = ids.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # at most QUEUES rows
-    totals = sorted((r["queue"], int(r["n"])) for r in totals)
-    number = {name: i for i, (name, _) in enumerate(totals)}
-    rounds = Rounds([n for _, n in totals], size)
+    totals = ids.groupBy("queue").agg(F.sum("n").alias("n")).toArrow().sort_by("queue")  # one row a source
+    names = totals.column("queue")
+    numbers = pa.table({"queue": names.cast(pa.string()), "number": pa.array(np.arange(len(names), dtype=np.int64))})
+    base = base.join(short(docs.sparkSession.createDataFrame(numbers)), "queue")
+    wanted = targets and {"null" if k is None else f"s{k}": v for k, v in targets.items()}
+    shares = wanted and [wanted.get(name, 0) for name in names.to_pylist()]
+    rounds = Rounds(totals.column("n").to_numpy(), size, shares)
     last = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
 
     def place(batches):
         for batch in batches:
-            queues = np.array([number[x] for x in batch.column("queue").to_pylist()], dtype=np.int64)
+            queues = batch.column("number").to_numpy()
             begin = (batch.column("base").to_numpy() + batch.column("before").to_numpy()).astype(np.int64)
             count, texts = batch.column("n").to_numpy(), batch.column("ids")
             for q in np.unique(queues):
