@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.fixtures import SCHEMA, prose
+from tests.llm.test_text_operators import _shingles
 from trialsift.llm import drr_packing, trie_join
 
 
@@ -67,3 +68,15 @@ def test_targets_hold_while_queues_last(spark):
     got = drr_packing.pack(docs, size=256, targets={"a": 3, "b": 1}).where("sequence_id < 2").groupBy("queue").sum("length").collect()
     part = {r[0]: r[1] for r in got}
     assert set(part) == {"sa", "sb"} and abs(part["sa"] - 3 * 128) < 4
+
+
+def test_no_link_is_lost(spark):
+    """A family of mutual near copies larger than a block, some of them exact copies, beside other texts."""
+    base = prose(31, 100).split(" ")
+    texts = [" ".join([*base[: i % 97], f"new{i}", *base[i % 97 + 1 :]]) for i in range(trie_join.BLOCK + 20)]
+    texts += [texts[0], texts[0], prose(32, 60), prose(32, 60) + " end", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [_shingles(t) for t in texts]
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert max(want.values()) > trie_join.BLOCK
+    assert {r.doc_id: r.n_links for r in trie_join.document_links(docs).collect()} == want

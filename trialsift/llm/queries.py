@@ -11,13 +11,14 @@ from trialsift.llm.feistel_order import op4_feistel_order
 from trialsift.llm.license_minhash import op9_license_minhash
 from trialsift.llm.quality_llr import op2_ngram_llr_quality
 from trialsift.llm.seed_extend import op8_seed_extend_dedup
-from trialsift.llm.trie_join import op3_ngram_jaccard_join
+from trialsift.llm.trie_join import op3_jaccard_links, op3_ngram_jaccard_join
 from trialsift.llm.zstd_lang import op7_zstd_language
 
 QUERIES = {
     "op1_hash_prefix_forest": (op1_hash_prefix_forest, None),
     "op2_ngram_llr_quality": (op2_ngram_llr_quality, None),
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, sql.OP3),
+    "op3_jaccard_links": (op3_jaccard_links, sql.OP3_LINKS),
     "op4_feistel_order": (op4_feistel_order, None),
     "op5_drr_packing": (op5_drr_packing, None),
     "op6_cube_mix": (op6_cube_mix, None),

@@ -21,6 +21,12 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id
 FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
+#: The same links, counted per document.
+OP3_LINKS = OP3.partition(", reach AS")[0] + """
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, count(l.y)::BIGINT AS n_links
+FROM s LEFT JOIN link l ON l.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
 OP8 = rf"""
 WITH w AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
 win AS (

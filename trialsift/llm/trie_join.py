@@ -513,8 +513,7 @@ def component_links(probes: DataFrame, members: DataFrame, percent: int = PERCEN
 
 
 def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between classes whose components equal those of all links."""
-    parts = stored(parts, "shared-parts")
+    """Links between classes whose components equal those of all links; `parts` is read several times."""
     prefixes = prefix_grams(parts, percent)
     links = stored(first_links(parts, percent), "first-links")
     # Each holder of a prefix shingle with the holder of least own shingles: most near copies link to that one.
@@ -567,10 +566,67 @@ def class_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.unionByName(stored(component_links(probes, members, percent), "rest-links"))
 
 
-def _class_roots(docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that have a link."""
+def _parts_and_roots(docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes' shared parts, and (node, root) of the classes that have a link."""
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    return components(class_links(shared_parts(docs, int(total), ngram, percent), percent))
+    parts = stored(shared_parts(docs, int(total), ngram, percent), "shared-parts")
+    return parts, components(class_links(parts, percent))
+
+
+def partner_counts(parts: DataFrame, roots: DataFrame, copies: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(class, linked): documents in the other classes that a class links with, by all links and not by the forest alone.
+
+    Linked classes are in one component.  Every member walks the prefix trees
+    of all blocks of its component and only counts, so no pair is listed.
+    """
+
+    def walk(batches):
+        key, block, tree = None, [], None
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("root", "block", "probe", "class", "n", "grams", "copies"))
+            for root, part, probe, c, n, raw, times in zip(*columns):
+                if (root, part) != key:
+                    key, block, tree = (root, part), [], None
+                grams = np.frombuffer(raw, dtype=np.uint64)
+                if not probe:
+                    block.append((c, n, grams, times))
+                    continue
+                if not block:
+                    continue
+                tree = tree or PrefixTree([x[2] for x in block])
+                least = needed(n, -(-percent * n // 100), percent)
+                found = tree.partners(grams, lambda j, n=n: needed(n, block[j][1], percent), least, lambda j, c=c: block[j][0] == c)
+                if linked := sum(block[j][3] for j in found):
+                    out.append((c, linked))
+            if out:
+                classes, linked = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(linked, pa.int64())], names=["class", "linked"])
+
+    inside = stored(roots.withColumnRenamed("node", "class").join(copies, "class"), "component-classes")
+    sizes = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sets = inside.join(sizes, "root").join(parts.select("class", "n", "grams"), "class")
+    members = sets.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    rows = members.unionByName(probes).select("root", "block", "probe", "class", "n", "grams", "copies")
+    found = rows.repartition("root", "block").sortWithinPartitions("root", "block", "probe").mapInArrow(walk, "class long, linked long")
+    return found.groupBy("class").agg(F.sum("linked").alias("linked"))
+
+
+def document_links(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for every row of `docs` (doc_id, text): the other documents its text links with.
+
+    Equal texts are linked.  Equal rows of one doc_id are one document, each
+    row without an id is one.  A text without a word has no link.
+    """
+    classes = stored(set_classes(docs, ngram), "set-classes")
+    parts, roots = _parts_and_roots(docs, classes, ngram, percent)
+    rows = classes.where("class IS NOT NULL").groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    copies = rows.groupBy("class").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("times")).otherwise(1)).alias("copies"))
+    copies = stored(copies, "class-copies")
+    linked = copies.join(partner_counts(parts, roots, copies, percent), "class", "left")
+    linked = linked.select("class", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return classes.join(linked, "class", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -584,7 +640,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     """
     classes = stored(set_classes(docs, ngram), "set-classes")
     members = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    roots = _class_roots(docs, classes, ngram, percent)
+    _, roots = _parts_and_roots(docs, classes, ngram, percent)
     rooted = members.join(roots, members["class"] == roots["node"], "left").select(
         "class", "least", F.coalesce("root", "class").alias("root")
     )
@@ -613,7 +669,7 @@ def keep_one_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -
     """
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], _row_print(docs).alias("print"))
     classes = stored(set_classes(keyed, ngram, ("print",)), "set-classes")
-    roots = _class_roots(docs, classes, ngram, percent)
+    _, roots = _parts_and_roots(docs, classes, ngram, percent)
     rows = classes.where("class IS NOT NULL").groupBy("class", "doc_id", "print").agg(F.count(F.lit(1)).alias("times"))
     rows = stored(rows, "class-rows")
     # null ids sort behind all others
@@ -637,3 +693,7 @@ def keep_one_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_links(table(spark, sf_dir, "documents"))
