@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from trialsift.llm import sql
 from trialsift.llm.ann_forest import op1_hash_prefix_forest
+from trialsift.llm.bpe_tree import op11_bpe_tree
 from trialsift.llm.byte_cnn import op10_byte_cnn_quality
+from trialsift.llm.centroid_dots import op13_centroid_dots
 from trialsift.llm.cube_mix import op6_cube_mix
 from trialsift.llm.drr_packing import op5_drr_packing
 from trialsift.llm.feistel_order import op4_feistel_order
@@ -26,4 +28,6 @@ QUERIES = {
     "op8_seed_extend_dedup": (op8_seed_extend_dedup, sql.OP8),
     "op9_license_minhash": (op9_license_minhash, sql.OP9),
     "op10_byte_cnn_quality": (op10_byte_cnn_quality, None),
+    "op11_bpe_tree": (op11_bpe_tree, None),
+    "op13_centroid_dots": (op13_centroid_dots, sql.OP13),
 }

@@ -83,3 +83,35 @@ SELECT doc_id, licence, held AS containment, (start - 1)::BIGINT AS start_word F
 
 OP9 = _op9()
 
+
+
+def _op13(clusters: int = 16, rounds: int = 3) -> str:
+    """Every distance of every round, by components; one row of x is one vector."""
+    near = """
+  SELECT k, j, d FROM (SELECT k, j, d, row_number() OVER (PARTITION BY k ORDER BY d, j) AS p FROM (
+    SELECT x.k, c.j, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c USING (i) GROUP BY x.k, c.j)) WHERE p = 1
+"""
+    steps = "".join(
+        f", a{r} AS ({near.format(r=r)}), c{r + 1} AS ("
+        f" SELECT j, i, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN ("
+        "  SELECT j, i, CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS v FROM ("
+        f"   SELECT a.j, x.i, sum(x.v) AS s, count(*) AS n FROM a{r} a JOIN x USING (k) GROUP BY a.j, x.i)) m USING (j, i))"
+        for r in range(rounds)
+    )
+    return rf"""
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS l FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS (SELECT k, unnest(l)::HUGEINT AS v, unnest(range(64)) AS i FROM e),
+b AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), l) - 1 AS j, l FROM e),
+c0 AS (SELECT j, unnest(l)::HUGEINT AS v, unnest(range(64)) AS i FROM b WHERE j < {clusters}){steps}
+, last AS ({near.format(r=rounds)}),
+h AS (SELECT j, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY j)
+SELECT e.vec_id, last.j::INTEGER AS cluster, last.d::BIGINT AS distance,
+  (sum(last.d) OVER (PARTITION BY last.j))::BIGINT AS cluster_inertia, (sum(last.d) OVER ())::BIGINT AS inertia,
+  h.h AS centroid_sha256
+FROM last JOIN e USING (k) JOIN h USING (j)
+"""
+
+
+OP13 = _op13()
