@@ -8,6 +8,7 @@ from trialsift.llm.bpe_tree import op11_bpe_tree
 from trialsift.llm.byte_cnn import op10_byte_cnn_quality
 from trialsift.llm.centroid_dots import op13_centroid_dots
 from trialsift.llm.cube_mix import op6_cube_mix
+from trialsift.llm.dic_phrases import op12_dic_phrases
 from trialsift.llm.drr_packing import op5_drr_packing
 from trialsift.llm.feistel_order import op4_feistel_order
 from trialsift.llm.license_minhash import op9_license_minhash
@@ -29,5 +30,6 @@ QUERIES = {
     "op9_license_minhash": (op9_license_minhash, sql.OP9),
     "op10_byte_cnn_quality": (op10_byte_cnn_quality, None),
     "op11_bpe_tree": (op11_bpe_tree, None),
+    "op12_dic_phrases": (op12_dic_phrases, sql.OP12),
     "op13_centroid_dots": (op13_centroid_dots, sql.OP13),
 }

@@ -115,3 +115,36 @@ FROM last JOIN e USING (k) JOIN h USING (j)
 
 
 OP13 = _op13()
+
+OP12 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (
+  SELECT lang, unnest(w) AS x, unnest(list_append(w[2:], NULL)) AS y, unnest(list_concat(w[3:], [NULL, NULL])[:len(w)]) AS z
+  FROM w WHERE len(w) > 0
+), g AS MATERIALIZED (
+  SELECT lang, 1 AS k, x AS g, count(*) AS f FROM t GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM t WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM t WHERE z IS NOT NULL GROUP BY ALL
+), keyed AS MATERIALIZED (SELECT lang || '|' || g AS key, f FROM g WHERE f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, g AS phrase, f AS a, string_split(g, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.*, k, array_to_string(c.w[1:k], ' ') AS x, array_to_string(c.w[k + 1:], ' ') AS y
+  FROM c, (VALUES (1), (2)) AS ks(k) WHERE k < words
+), s AS (
+  SELECT cut.lang, phrase, a, cut.k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN keyed x ON x.key = cut.lang || '|' || cut.x JOIN keyed y ON y.key = cut.lang || '|' || cut.y
+), low AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS p FROM s) WHERE p = 1
+), cover AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE words = 3
+  ) GROUP BY ALL
+), best AS (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, low.a DESC, encode(low.phrase)) AS rank
+  FROM low LEFT JOIN cover USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * low.a
+)
+SELECT lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
