@@ -20,6 +20,7 @@ the next length at once.  The scans end when no phrase is active.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,18 +221,18 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
         since = later
 
 
-def _scan(shard: DataFrame, steps: np.ndarray, step: int, shards: int) -> DataFrame:
+def _scan(shard: DataFrame, sent, step: int, shards: int) -> DataFrame:
     """(lang, phrase, words, since, f) of one shard; a phrase in several rows, one a task at least."""
-    sent = shard.sparkSession.sparkContext.broadcast(steps)
 
     def scan(batches):
+        steps = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint8)
         tally = _Tally()
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in sorted(set(langs)):
                 mine = pa.array([x == lang for x in langs])
                 texts = batch.column("text").cast(pa.large_binary()).filter(mine).to_pylist()
-                reached = Reached(sent.value, lang)
+                reached = Reached(steps, lang)
                 for cut, seen in _windows(texts):
                     _count(cut, seen, lang, reached, step, shards, tally)
                     if tally.size > HELD:
@@ -257,7 +258,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     state, done, totals = None, [], None
     step, last = 0, shards  # scans are needed while a phrase may be active
     while step < last:
-        counts = _scan(corpus.where(F.col("shard") == step % shards).drop("shard"), steps, step, shards)
+        sent = spark.sparkContext.broadcast(zlib.compress(steps.tobytes(), 1))
+        counts = _scan(corpus.where(F.col("shard") == step % shards).drop("shard"), sent, step, shards)
         counts = counts.withColumn("reached", F.lit(None).cast("tinyint"))
         if state is not None:
             counts = counts.unionByName(state)
@@ -265,6 +267,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
         merged = counts.groupBy(*keys).agg(F.sum("f").alias("f"), F.min("reached").alias("reached"))
         now = F.when(F.col("f") >= least, F.lit(step + 1)).cast("tinyint")
         merged = stored(merged.withColumn("reached", F.coalesce("reached", now)), f"dic-step-{step}")
+        sent.destroy()  # the step is written
         fresh = merged.where((F.col("reached") == step + 1) & (F.col("words") < LONGEST))
         bits = _bits(fresh, slots)
         if bits:
