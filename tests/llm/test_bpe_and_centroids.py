@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import documents, nothing
-from trialsift.llm import bpe_tree
+from trialsift.llm import bpe_tree, pieces
 from trialsift.llm.bpe_tree import detokenize, op11_bpe_tree, tokenize, vocabulary
 from trialsift.llm.centroid_dots import LARGEST, clustered
 from trialsift.llm.tokens import tokenizer_path
@@ -46,7 +46,7 @@ def own_ids(texts):
 @pytest.mark.parametrize(("window", "long_piece"), [(1 << 20, 256), (64, 256), (1 << 20, 1)])
 def test_odd_texts_equal_the_library(monkeypatch, window, long_piece):
     """Small windows stand for texts longer than one; a long piece has a tree of its own."""
-    monkeypatch.setattr(bpe_tree, "WINDOW", window)
+    monkeypatch.setattr(pieces, "WINDOW", window)
     monkeypatch.setattr(bpe_tree, "LONG_PIECE", long_piece)
     vocabulary(tokenizer_path()).remembered.clear()
     draw = random.Random(5)

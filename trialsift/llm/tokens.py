@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with a bounded cache of the words between spaces."""
+"""Token ids of whole texts by the library, with a bounded memory of pieces met before."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import os
 
 import numpy as np
 
+from trialsift.llm.pieces import PieceCoder
+
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct words whose ids a worker keeps.
-CACHED = 600_000
-#: Words or texts encoded at once: an encoding takes a multiple of its text's memory.
+#: Distinct pieces whose ids a worker keeps.
+CACHED = 400_000
+#: Pieces encoded at once: an encoding takes a multiple of its text's memory.
 AT_ONCE = 1000
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -21,37 +23,23 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Uneven(Exception):
-    """White space other than single spaces and line ends between words."""
-
-
-class _Words(dict):
-    """word -> ids of `before` + word; a word that is not there is noted, and None stands for it.
-
-    Words met since the last ``age`` are kept here, those of the time before in ``older``.
-    """
-
-    def __init__(self, before: str):
-        super().__init__()
-        self.before, self.wanted, self.older = before, {}, {}
+class _LibraryIds(PieceCoder):
+    """Ids of distinct pieces by the library, kept for the pieces to come."""
 
-    def __missing__(self, word: str) -> bytes | None:
-        if word in self.older:
-            found = self[word] = self.older[word]
-            return found
-        if word not in self.wanted:
-            if word.split() != [word]:
-                raise _Uneven
-            self.wanted[word] = None
+    def __init__(self, tokenizer):
+        super().__init__(tokenizer.pre_tokenizer, {})
+        self.tokenizer, self.known = tokenizer, {}
 
-    def age(self) -> None:
-        """Forget what has not been met since the last time."""
-        self.older = dict(self)
-        self.clear()
-
-    def learn(self, encoded) -> None:
-        words, self.wanted = list(self.wanted), {}
-        self.update(zip(words, encoded([self.before + w for w in words])))
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHED:
+            self.known.clear()
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            known.update((p, np.array(x.ids, dtype="<i4").tobytes()) for p, x in zip(some, found))
+        return [known[p] for p in pieces]
 
 
 class Encoder:
@@ -65,51 +53,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.words = [_Words(""), _Words(" "), _Words("\n")]
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), AT_ONCE):
-            found = self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
-            out += [np.array(x.ids, dtype="<u2").tobytes() for x in found]
-        return out
-
-    def _joined(self, text: str) -> list[bytes | None]:
-        begin, space, head = (w.__getitem__ for w in self.words)
-        parts = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            parts.append((head if k else begin)(words.pop(0)))
-            parts += map(space, words)
-        return parts
+        self.pieces = _LibraryIds(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Cut before each single space and around each single line end between two words.
-
-        The byte-level pre-tokenizer begins a new piece there in any case.
-        Texts with other white space are encoded whole.
-        """
-        if sum(map(len, self.words)) > CACHED // 2:
-            for w in self.words:
-                w.age()
-        out: list[bytes] = [b""] * len(texts)
-        again, whole = [], []
-        for i, text in enumerate(texts):
-            try:
-                parts = self._joined(text)
-            except _Uneven:
-                whole.append(i)
-                continue
-            if None in parts:
-                again.append(i)
-            else:
-                out[i] = b"".join(parts)
-        for w in self.words:
-            w.learn(self._encoded)
-        for i in again:
-            out[i] = b"".join(self._joined(texts[i]))
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
-            out[i] = ids
+        out = [b""] * len(texts)
+        for row, ids, bounds in self.pieces.encode([t.encode() for t in texts]):
+            raw, at = ids.astype("<u2").tobytes(), (2 * bounds).tolist()
+            for k, (a, b) in enumerate(zip(at, at[1:]), row):
+                out[k] = out[k] + raw[a:b] if out[k] else raw[a:b]
         return out
 
 
