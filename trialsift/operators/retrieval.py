@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections import Counter
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift import constants as C
 from trialsift.functions import text as T
 from trialsift.operators.skew import exact_rank, hot_key_join, top_per_group
+from trialsift.session import materialize
 
 SEG_KEY = ["doc_id", "seg_ord"]
 
@@ -93,13 +94,16 @@ def candidates(
 ) -> DataFrame:
     """Candidate rows per (trial, domain) with bm25 and dense scores.
 
-    segments: trial_id, doc_id, seg_ord, domain_tags, `text`, optional vec.
+    segments: trial_id, doc_id, seg_ord, domain_tags, optional vec, and `text` or what `term_counts` makes of it.
     A domain's candidates are its tagged segments, or all of the trial's when
     fewer than two are tagged.
     """
     vocab = vocabulary(domains)
-    keep = ["trial_id", *SEG_KEY, "domain_tags", text] + (["vec"] if query_vectors is not None else [])
-    counted = term_counts(segments.select(*keep), text, vocab).drop(text)
+    keep = ["trial_id", *SEG_KEY, "domain_tags"] + (["vec"] if query_vectors is not None else [])
+    if "tf" in segments.columns:
+        counted = segments.select(*keep, "doc_len", "tf")
+    else:
+        counted = term_counts(segments.select(*keep, text), text, vocab).drop(text)
     scored = hot_key_join(counted, index_statistics(counted, domains), ["trial_id"], "inner")
     per_domain = ", ".join(
         f"struct('{d}' AS domain, array_contains(domain_tags, '{d}') AS tagged, n_{d} AS n_tagged, "
@@ -149,6 +153,73 @@ def fuse(scored: DataFrame, k: int = C.RRF_K) -> DataFrame:
     return fused.withColumn("rrf", share("bm25_rank") + share("dense_rank"))
 
 
+def rank_bound(top_k: int, k: int = C.RRF_K) -> int:
+    """Rank past which a candidate of both lists cannot be among the first top_k.
+
+    The first top_k of a list score 1 / (k + top_k) at least; two ranks past this one score less together.
+    """
+    return k + 2 * top_k
+
+
+def fused_top(scored: DataFrame, top_k: int = C.RETRIEVAL_TOP_K, k: int = C.RRF_K) -> DataFrame:
+    """The first top_k of `fuse` per (trial, domain), with `rank`, without ranking the lists whole.
+
+    Only the first `rank_bound` rows of either list can win, and Spark cuts each task to these before it
+    shuffles.  Where such a row stands further down in the other list, its rank is the number of
+    that list's rows up to it: the rows are counted between these few places, map-side, and never sorted.
+    `scored` is read several times and should be a stored table.
+    """
+    group, lists = ["trial_id", "domain"], ("bm25", "dense")
+    index = [F.asc(c) for c in SEG_KEY]
+    base = scored.select(*group, *SEG_KEY, *lists)
+    bound = rank_bound(top_k, k)
+    # without a positive score: in with 0, the first by index order
+    rest = base.where(~F.coalesce(F.col("bm25") > 0, F.lit(False)) & ~F.coalesce(F.col("dense") > 0, F.lit(False)))
+    found = top_per_group(rest, group, index, top_k, "_r").drop("_r").withColumns({f"{c}_rank": F.lit(None).cast("int") for c in lists})
+    for name in lists:
+        first = top_per_group(base.where(F.col(name) > 0), group, [F.desc(name), *index], bound, f"{name}_rank")
+        found = found.unionByName(first.withColumns({f"{c}_rank": F.lit(None).cast("int") for c in lists if c != name}))
+    # at most 2 * bound + top_k rows a group from here on
+    found = found.groupBy(*group, *SEG_KEY).agg(*[F.max(c).alias(c) for c in (*lists, "bm25_rank", "dense_rank")])
+    found = materialize(found)
+
+    def place(name: str) -> Column:
+        return F.struct((-F.col(name)).alias("neg"), *SEG_KEY)
+
+    open_ = {c: (F.col(c) > 0) & F.col(f"{c}_rank").isNull() for c in lists}
+    def before(name: str) -> Column:
+        """Asked places that stand before this row in the list."""
+        return F.size(F.filter(f"_{name}", lambda t: t < place(name)))
+
+    asked = found.groupBy(*group).agg(
+        *[F.array_sort(F.collect_list(F.when(open_[c], place(c)))).alias(f"_{c}") for c in lists]  # bounded as above
+    )
+    asked = asked.where(" OR ".join(f"size(_{c}) > 0" for c in lists))
+    rows = hot_key_join(base, asked, group, "inner")
+    passed = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("name"),
+                F.when(F.col(c) > 0, before(c)).alias("at"),
+                F.size(f"_{c}").alias("n"),
+            )
+            for c in lists
+        ]
+    )
+    counts = rows.select(*group, F.inline(passed)).where("at < n").groupBy(*group, "name", "at").agg(F.count(F.lit(1)).alias("_n"))
+    # places without a row of their own do not occur: every place is a row of the list
+    upto = Window.partitionBy(*group, "name").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_rank", F.sum("_n").over(upto).cast("int"))
+    places = asked.select(*group, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_{c}").alias("_p")) for c in lists])))
+    places = places.select(*group, "name", F.posexplode("_p").alias("at", "_p"))
+    ranks = places.join(counts, [*group, "name", "at"]).groupBy(*group, *[F.col(f"_p.{c}").alias(c) for c in SEG_KEY])
+    ranks = ranks.agg(*[F.max(F.when(F.col("name") == c, F.col("_rank"))).alias(f"_{c}_rank") for c in lists])
+    whole = found.join(ranks, [*group, *SEG_KEY], "left")
+    whole = whole.withColumns({f"{c}_rank": F.coalesce(f"{c}_rank", f"_{c}_rank") for c in lists}).drop(*[f"_{c}_rank" for c in lists])
+    share = lambda c: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(c)), F.lit(0.0))
+    return select_top(whole.withColumn("rrf", share("bm25_rank") + share("dense_rank")), top_k)
+
+
 def select_top(fused: DataFrame, top_k: int = C.RETRIEVAL_TOP_K) -> DataFrame:
     order = [F.desc("rrf"), *[F.asc(c) for c in SEG_KEY]]
     return top_per_group(fused, ["trial_id", "domain"], order, top_k, "rank")

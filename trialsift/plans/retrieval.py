@@ -67,14 +67,26 @@ def query_vectors(spark, sf):
     )
 
 
+def index_terms(spark, sf):
+    """Segments with their length and counts of query terms, without text."""
+    counted = lambda: R.term_counts(index_segments(spark, sf), "body", R.vocabulary())
+    columns = ("trial_id", *R.SEG_KEY, "domain_tags", "vec", "doc_len", "tf")
+    return stage_table(spark, sf, "index_terms", lambda: counted().select(*columns))
+
+
 def _candidates(spark, sf, dense=True):
-    return R.candidates(index_segments(spark, sf), "body", query_vectors(spark, sf) if dense else None)
+    return R.candidates(index_terms(spark, sf), "body", query_vectors(spark, sf) if dense else None)
 
 
-def fused(spark, sf):
+def scored(spark, sf):
+    """Candidates with both scores."""
     # dense rounding makes equal vectors tie whatever the summation order
-    rows = _candidates(spark, sf).withColumn("dense", F.round("dense", 12))
-    return R.fuse(rows)
+    rows = lambda: _candidates(spark, sf).withColumn("dense", F.round("dense", 12))
+    return stage_table(spark, sf, "scored_candidates", rows)
+
+
+def fused(spark, sf):
+    return R.fuse(scored(spark, sf))
 
 
 @query("bm25_scores", f"WITH {INDEX} SELECT trial_id, domain, doc_id, seg_ord, round(bm25,6) AS bm25 FROM cand")
@@ -127,7 +139,7 @@ def retrieval_audit(spark, sf):
 
 @query("rrf_topk", f"WITH {FUSED} SELECT trial_id, domain, rank, doc_id, seg_ord, round(rrf,9) AS rrf FROM top")
 def rrf_topk(spark, sf):
-    return R.select_top(fused(spark, sf)).select(
+    return R.fused_top(scored(spark, sf)).select(
         "trial_id", "domain", "rank", "doc_id", "seg_ord", F.round("rrf", 9).alias("rrf")
     )
 
@@ -137,7 +149,7 @@ def rrf_topk(spark, sf):
     f"WITH {FUSED} SELECT trial_id, domain, CASE WHEN dense IS NOT NULL THEN round(greatest(0,least(1,dense)),6) END AS top_score FROM top WHERE rank=1",
 )
 def top_relevance(spark, sf):
-    return R.top_relevance(R.select_top(fused(spark, sf))).withColumn("top_score", F.round("top_score", 6))
+    return R.top_relevance(R.fused_top(scored(spark, sf))).withColumn("top_score", F.round("top_score", 6))
 
 
 @query(
@@ -148,10 +160,10 @@ def top_relevance(spark, sf):
      SELECT domain, k::INT AS k, round(avg(recall),6) AS recall, count(*) AS n_groups FROM p GROUP BY ALL""",
 )
 def recall_at_k(spark, sf):
-    rows = fused(spark, sf)
+    rows = scored(spark, sf)
     seed = F.concat(F.lit("rel"), F.concat_ws("|", "domain", "doc_id", "seg_ord"))
     gold = rows.where(corpus.draw(seed, 10) == 0).select("trial_id", "domain", "doc_id", "seg_ord")
-    return R.recall_at_k(R.select_top(rows), gold).withColumn("recall", F.round("recall", 6))
+    return R.recall_at_k(R.fused_top(rows), gold).withColumn("recall", F.round("recall", 6))
 
 
 @query("sentence_rerank")
