@@ -2,15 +2,16 @@
 
 The corpus is dealt to SHARDS shards that are scanned one after another, round and
 round.  Words are counted from the start.  A longer phrase is active from the scan after
-that in which both its subphrases (without its last, without its first word) had been
-counted LEAST times, and it is counted for one full cycle, wherever that begins; so
-phrases of all lengths are counted in the same scans, and a phrase that reaches LEAST opens
-the next length at once.  The scans end when no phrase is active.
-
-* A scan's counts are added up inside each task, then by Spark together with the counts so far of
-  the phrases whose cycle is not complete, in one exchange by (lang, phrase); the result is a written
-  table, the next scan's state.  Phrases that end their cycle below LEAST are left behind.
-* Tasks learn which phrases have reached LEAST, and when, from a filter of SLOTS places (a
+that in which both its subphrases (without its last, without its first word) reached LEAST,
+and it is counted for one full cycle, wherever that begins; so phrases of all
+lengths are counted in the same scans.  The scans end when no phrase is active.
+
+* A scan's counts are added up inside each task and written.  When a cycle ends, the scans' counts of the
+  phrases that began with it are added up, each row in one exchange by (lang, phrase), and those below
+  LEAST are left behind.
+* A phrase opens longer ones as soon as one task alone has counted it LEAST times in a scan, else when
+  its cycle ends with LEAST in all; so what is common is followed up at once, and nothing is missed.
+* Tasks learn which phrases have opened, and when, from a filter of SLOTS places (a
   Bloom filter that holds step numbers), whose bits Spark's bitmap aggregates collect: SLOTS / 8
   bytes a step at most, whatever the corpus.  A place shared with another phrase can only
   make a phrase active earlier, so every count stays whole; the more frequent phrases there are than
@@ -40,7 +41,7 @@ TOP = 2000
 SLOTS = 1 << 24
 PROBES = 3
 #: Bytes of text cut at once, and distinct phrases that a task holds before it passes them on.
-WINDOW = 1 << 20
+WINDOW = 1 << 21
 HELD = 1_000_000
 #: Parts in which each lang's best are sought before they meet.
 PARTS = 64
@@ -167,23 +168,29 @@ class _Tally:
     """Counts of a task until they are passed on."""
 
     def __init__(self):
-        self.parts: dict[tuple[str, int], list[pa.Table]] = {}
+        self.parts: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
         self.size = 0
 
-    def add(self, lang: str, k: int, phrases: pa.Array, since: np.ndarray) -> None:
-        counted = pa.table({"phrase": phrases, "since": pa.array(since), "f": pa.array(np.ones(len(since), dtype=np.int64))})
-        counted = counted.group_by(["phrase", "since"]).aggregate([("f", "sum")])
-        self.parts.setdefault((lang, k), []).append(counted)
-        self.size += len(counted)
+    def add(self, lang: str, k: int, phrases: pa.Array, counts: np.ndarray, since: np.ndarray) -> None:
+        """Distinct phrases with their counts; those of 0 are left out."""
+        some = counts > 0
+        if not some.all():
+            phrases, counts, since = phrases.filter(pa.array(some)), counts[some], since[some]
+        self.parts.setdefault((lang, k), []).append((phrases, counts, since))
+        self.size += len(counts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for (lang, k), parts in self.parts.items():
-            whole = pa.concat_tables(parts).group_by(["phrase", "since"]).aggregate([("f_sum", "sum")]).sort_by("phrase")
-            for b in whole.to_batches(max_chunksize=50_000):
-                n = len(b)
-                phrase = pc.binary_slice(b.column("phrase").cast(pa.binary()), 0, -1).cast(pa.string())
-                columns = [pa.array([lang] * n), phrase, pa.array([k] * n, pa.int8())]
-                columns += [b.column("since").cast(pa.int8()), b.column("f_sum_sum")]
+            coded = pa.concat_arrays([p for p, _, _ in parts]).dictionary_encode()
+            at, n = coded.indices.to_numpy(), len(coded.dictionary)
+            counts = np.bincount(at, weights=np.concatenate([c for _, c, _ in parts]), minlength=n).astype(np.int64)
+            since = np.zeros(n, dtype=np.int8)
+            since[at] = np.concatenate([s for _, _, s in parts])  # the same wherever the phrase was met
+            for i in range(0, n, 50_000):
+                phrase = pc.binary_slice(coded.dictionary[i : i + 50_000].cast(pa.binary()), 0, -1).cast(pa.string())
+                m = len(phrase)
+                columns = [pa.repeat(lang, m), phrase, pa.repeat(pa.scalar(k, pa.int8()), m)]
+                columns += [pa.array(since[i : i + m]), pa.array(counts[i : i + m])]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "since", "f"])
         self.parts, self.size = {}, 0
 
@@ -193,12 +200,15 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
     n = len(cut.starts)
     if not n:
         return
-    if step < shards:
-        ((_, words),) = _spans(cut, 1, np.arange(n) >= seen)
-        tally.add(lang, 1, words, np.zeros(len(words), dtype=np.uint8))
-    # from[i]: the step from which the run of k words at i is frequent
     coded = next(_spans(cut, 1, np.ones(n, dtype=bool)))[1].dictionary_encode()
-    since = reached([p[:-1] for p in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+    at, words = coded.indices.to_numpy(), coded.dictionary
+    if step < shards:
+        counts = np.bincount(at[seen:], minlength=len(words))
+        tally.add(lang, 1, words, counts, np.zeros(len(words), dtype=np.int8))
+    if not step:
+        return
+    # since[i]: the step from which the run of k - 1 words at i is frequent
+    since = reached([p[:-1] for p in words.to_pylist()])[at]
     joined = ~cut.new
     for k in range(2, LONGEST + 1):
         if len(since) < 2:
@@ -210,14 +220,28 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
         active = np.maximum(since[:-1], since[1:])
         open_ = whole & (active <= step)
         counted = open_ & (active.astype(np.int64) + shards > step) & (np.arange(len(open_)) + k > seen)
+        # runs that may be part of a longer one; none is frequent before step k
+        looked_up = np.zeros(len(open_), dtype=bool)
+        if k < LONGEST and step >= k:
+            both = open_[:-1] & open_[1:] & joined[k : k + len(open_) - 1]
+            looked_up[:-1] |= both
+            looked_up[1:] |= both
         later = np.full(len(open_), NEVER, dtype=np.uint8)
-        for firsts, runs in _spans(cut, k, open_):
-            mine = counted[firsts]
-            if mine.any():
-                tally.add(lang, k, runs.filter(pa.array(mine)), active[firsts][mine])
-            if k < LONGEST:
-                coded = runs.dictionary_encode()
-                later[firsts] = reached([p[:-1] for p in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        for firsts, runs in _spans(cut, k, counted | looked_up):
+            if not len(firsts):
+                continue
+            coded = runs.dictionary_encode()
+            at, phrases = coded.indices.to_numpy(), coded.dictionary
+            counts = np.bincount(at[counted[firsts]], minlength=len(phrases))
+            begun = np.zeros(len(phrases), dtype=np.int8)
+            begun[at] = active[firsts]
+            tally.add(lang, k, phrases, counts, begun)
+            ask = looked_up[firsts]
+            if ask.any():
+                wanted = np.unique(at[ask])
+                found = np.full(len(phrases), NEVER, dtype=np.uint8)
+                found[wanted] = reached([p[:-1] for p in phrases.take(pa.array(wanted)).to_pylist()])
+                later[firsts] = found[at]
         since = later
 
 
@@ -255,33 +279,38 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     docs.where(F.length("text") > 0).select(lang.alias("lang"), "text", dealt.alias("shard")).write.partitionBy("shard").parquet(path)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     steps = np.full(slots, NEVER, dtype=np.uint8)
-    state, done, totals = None, [], None
+    scans: list[DataFrame] = []
+    done: list[DataFrame] = []
     step, last = 0, shards  # scans are needed while a phrase may be active
     while step < last:
         sent = spark.sparkContext.broadcast(zlib.compress(steps.tobytes(), 1))
-        counts = _scan(corpus.where(F.col("shard") == step % shards).drop("shard"), sent, step, shards)
-        counts = counts.withColumn("reached", F.lit(None).cast("tinyint"))
-        if state is not None:
-            counts = counts.unionByName(state)
-        keys = ("lang", "phrase", "words", "since")
-        merged = counts.groupBy(*keys).agg(F.sum("f").alias("f"), F.min("reached").alias("reached"))
-        now = F.when(F.col("f") >= least, F.lit(step + 1)).cast("tinyint")
-        merged = stored(merged.withColumn("reached", F.coalesce("reached", now)), f"dic-step-{step}")
+        scans.append(stored(_scan(corpus.where(F.col("shard") == step % shards).drop("shard"), sent, step, shards), f"dic-scan-{step}"))
         sent.destroy()  # the step is written
-        fresh = merged.where((F.col("reached") == step + 1) & (F.col("words") < LONGEST))
+        # what one task alone has met often enough
+        fresh = scans[-1].where((F.col("f") >= least) & (F.col("words") < LONGEST)).select("lang", "phrase")
+        begun = step + 1 - shards
+        if begun >= 0:  # the cycle of what became active in that step ends
+            cycle = scans[begun]
+            for s in scans[begun + 1 :]:
+                cycle = cycle.unionByName(s)
+            whole = cycle.where(F.col("since") == begun).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+            done.append(stored(whole.where(F.col("f") >= least), f"dic-cycle-{begun}"))
+            fresh = fresh.unionByName(done[-1].where(F.col("words") < LONGEST).select("lang", "phrase"))
         bits = _bits(fresh, slots)
         if bits:
+            # a phrase is marked again at its cycle's end; what is marked keeps its step
+            before = np.count_nonzero(steps != NEVER)
             _mark(steps, bits, step + 1)
-            last = max(last, step + 1 + shards)
-        ending = F.col("since") + shards == step + 1
-        done.append(merged.where(ending & (F.col("f") >= least)).select("lang", "phrase", "words", "f"))
-        if step == shards - 1:
-            totals = merged.where(F.col("words") == 1).groupBy("lang").agg(F.sum("f").alias("n"))
-        state = merged.where(~ending)
+            if np.count_nonzero(steps != NEVER) > before:
+                last = max(last, step + 1 + shards)
         step += 1
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
+    words = scans[0]
+    for s in scans[1:shards]:
+        words = words.unionByName(s)
+    totals = words.where(F.col("words") == 1).groupBy("lang").agg(F.sum("f").alias("n"))
     return stored(found, "dic-frequent"), stored(totals, "dic-totals")
 
 
