@@ -80,3 +80,14 @@ def test_no_link_is_lost(spark):
     want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
     assert max(want.values()) > trie_join.BLOCK
     assert {r.doc_id: r.n_links for r in trie_join.document_links(docs).collect()} == want
+
+
+@pytest.mark.parametrize("buckets", [64, 1 << 16, 1 << 17, 1 << 20])
+def test_packed_hashes_are_restored_by_their_bucket(buckets):
+    """More buckets than 16 bits can number, as above about 130 billion shingles."""
+    grams = np.random.default_rng(1).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    bucket = trie_join._bucket_of(grams, buckets)
+    assert 0 <= bucket.min() and bucket.max() < buckets and len(np.unique(bucket)) > min(buckets, 15_000) * 0.9
+    packed = unpack48(pack48(grams))
+    back = np.array([trie_join._restored(packed[i : i + 1], int(bucket[i]), buckets)[0] for i in range(len(grams))])
+    assert (back == (grams & trie_join._known_bits(buckets))).all()

@@ -16,7 +16,7 @@ from trialsift.session import scratch_path
 SEPARATORS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text hashed at once; bounds what one task holds in numpy.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _MASK = (1 << 64) - 1
 

@@ -55,7 +55,7 @@ NGRAM = 5
 #: Jaccard threshold in hundredths.
 PERCENT = 80
 #: Bytes of text a task gathers before it sends its packed shingles.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 #: Class ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Sets in one prefix tree; a run is cut into blocks of so many.
@@ -135,8 +135,22 @@ def _unpack_sets(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return prints, sizes, counts, np.frombuffer(raw, dtype=np.uint64, offset=at + 16 * n)
 
 
+def _shift(buckets: int) -> int:
+    """Bits below those that name the bucket; of more than 2**16 buckets some are among the 48 that are packed."""
+    return min(48, 65 - buckets.bit_length())
+
+
 def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return (grams >> np.uint64(48)).astype(np.int64) & (buckets - 1)
+    return (grams >> np.uint64(_shift(buckets))).astype(np.int64) & (buckets - 1)
+
+
+def _restored(packed: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Hashes of a bucket's packed ones: the packed bits and those that the bucket tells."""
+    return packed | np.uint64(bucket << _shift(buckets))
+
+
+def _known_bits(buckets: int) -> np.uint64:
+    return np.uint64((buckets << _shift(buckets)) - 1)
 
 
 def _flush(sets: list[np.ndarray], prints: list[int], buckets: int, shares: int):
@@ -170,7 +184,7 @@ def _flush(sets: list[np.ndarray], prints: list[int], buckets: int, shares: int)
     for b in np.flatnonzero(np.diff(cuts)):
         yield "witness", int(b), pack48(w_grams[order[cuts[b] : cuts[b + 1]]])
     # the sets' known shared part, on its way to the class
-    kept = grams[repeated] & np.uint64((buckets << 48) - 1)  # the bits a bucket can restore
+    kept = grams[repeated] & _known_bits(buckets)  # the bits a bucket can restore
     yield from _to_classes(ids, np.array([len(s) for s in sets]), owner[repeated], kept, shares)
 
 
@@ -230,7 +244,7 @@ def shared_parts(docs: DataFrame, shingles: int, ngram: int = NGRAM, percent: in
             if len(ids):
                 order = np.argsort(ids, kind="stable")
                 who, counts = np.unique(ids, return_counts=True)
-                whole = grams[order] | np.uint64(int(frame["bucket"].iloc[0])) << np.uint64(48)
+                whole = _restored(grams[order], int(frame["bucket"].iloc[0]), buckets)
                 owner = np.repeat(np.arange(len(who)), counts)
                 out += [(k, p) for _, k, p in _to_classes(who, np.zeros(len(who)), owner, whole, buckets)]
             del singles, ids, grams, order, same_gram, other_class, repeat, run

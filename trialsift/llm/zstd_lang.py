@@ -105,6 +105,7 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN)
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())],
                 names=[*batch.schema.names, "lang_pred", "score", "rejected"],
             )
+        coders.clear()
         release_memory()
 
     return docs.mapInArrow(guess, schema)
