@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.fixtures import SCHEMA, prose
 from tests.llm.test_text_operators import _shingles
 from trialsift.llm import drr_packing, trie_join
+from trialsift.llm.common import pack48, unpack48
 
 
 def test_one_row_of_each_component_stays(spark):
