@@ -11,6 +11,8 @@ from trialsift.operators import decisions as D
 from trialsift.operators import retrieval as R
 from trialsift.operators import structure as S
 from trialsift.operators import trace as O
+from trialsift.operators.skew import hot_key_join
+from trialsift.operators.registry import metadata_block
 from trialsift.plans import decisions as PD
 from trialsift.plans import retrieval as PR
 from trialsift.plans import structure as PS
@@ -48,21 +50,24 @@ def _group_sql(name: str, groups: list[tuple[int, str, str]], fmt: str) -> str:
  p_{name} AS (SELECT doc_id, string_agg(CASE WHEN tot<500 AND cut<>'' THEN {strip(head + "||cut")} ELSE joined END, {NL2} ORDER BY o) AS body FROM s_{name} GROUP BY doc_id)"""
 
 
+_PREFIX = f"""{_group_sql("x", [(1, "METHODS", "contains(label,'METHODS')"), (2, "RESULTS", "contains(label,'RESULTS')")], "bracket")},
+ prefix AS (SELECT doc_id, concat_ws({NL2}, '[Trial metadata]'||chr(10)||'trial_id: T'||doc_id||chr(10)||'title: '||source, body) AS t FROM documents LEFT JOIN p_x USING (doc_id))"""
+
+
+def prefixes(spark, sf):
+    """(doc_id, c): capped trial-static prefix of each paper."""
+    meta = corpus.table(spark, sf, "documents").selectExpr("doc_id", "concat('T', doc_id) AS trial_id", "source AS title")
+    meta = meta.select("doc_id", metadata_block(["trial_id", "title"]).alias("meta"))
+    return rows(spark, sf).join(meta, "doc_id").select("doc_id", X.shared_prefix(F.col("meta"), F.lit("")).alias("c"))
+
+
 @query(
     "shared_prefix",
-    f"""WITH {PS.SECTIONS}, {_group_sql("x", [(1, "METHODS", "contains(label,'METHODS')"), (2, "RESULTS", "contains(label,'RESULTS')")], "bracket")},
-     f AS (SELECT doc_id, concat_ws({NL2}, '[Trial metadata]'||chr(10)||'trial_id: T'||doc_id||chr(10)||'title: '||source, body) AS t FROM documents LEFT JOIN p_x USING (doc_id))
-     SELECT doc_id, len({words("t")})::INT AS original_tokens, md5({sql_cap("t", C.PREFIX_TOKEN_BUDGET)}) AS prefix_md5 FROM f""",
+    f"""WITH {PS.SECTIONS}, {_PREFIX}
+     SELECT doc_id, len({words("t")})::INT AS original_tokens, md5({sql_cap("t", C.PREFIX_TOKEN_BUDGET)}) AS prefix_md5 FROM prefix""",
 )
 def shared_prefix(spark, sf):
-    from trialsift.operators.registry import metadata_block
-
-    meta = corpus.table(spark, sf, "documents").selectExpr("doc_id", "concat('T', doc_id) AS trial_id", "source AS title")
-    meta = meta.select("doc_id", metadata_block(["trial_id", "title"]).alias("meta"))
-    capped = rows(spark, sf).join(meta, "doc_id").select(
-        "doc_id", X.shared_prefix(F.col("meta"), F.lit("")).alias("c")
-    )
-    return capped.select("doc_id", "c.original_tokens", F.md5("c.text").alias("prefix_md5"))
+    return prefixes(spark, sf).select("doc_id", "c.original_tokens", F.md5("c.text").alias("prefix_md5"))
 
 
 _META = [
@@ -81,7 +86,27 @@ def metadata_source_text(spark, sf):
     return capped.select("doc_id", "c.original_tokens", F.md5("c.text").alias("source_md5"))
 
 
-_SENT = f"[trim(x) FOR x IN string_split(regexp_replace({PS.sql_squeeze('text')},'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)) IF trim(x)<>'']"
+def sql_sentences(x: str) -> str:
+    return f"[trim(x) FOR x IN string_split(regexp_replace({PS.sql_squeeze(x)},'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)) IF trim(x)<>'']"
+
+
+def sql_terms(terms: dict[str, int]) -> str:
+    return "[" + ", ".join(f"{{'t': '{t}', 'm': {m}}}" for t, m in terms.items()) + "]"
+
+
+def sql_excerpts(source: str, text: str, terms: str, budget: int) -> str:
+    """CTEs that add `excerpt` to the rows of `source`, as `excerpts`: an ordered fold over weighed sentences."""
+    toks = f"list_transform(regexp_extract_all(s,'{C.TOKEN_PATTERN}'), lambda t: lower(t))"
+    weight = "list_sum(list_transform(q, lambda w: w.m * len(list_filter(e.toks, lambda t: t = w.t))))"
+    return f"""ex0 AS (SELECT *, {sql_sentences(text)} AS ss, {terms} AS q FROM {source}),
+ ex1 AS (SELECT *, list_transform(ss, lambda s, i: {{'i': i, 's': s, 'toks': {toks}}}) AS it FROM ex0),
+ ex2 AS (SELECT *, list_sort(list_transform(it, lambda e: {{'neg': -{weight}, 'i': e.i, 'n': len(e.toks), 's': e.s}})) AS o FROM ex1),
+ ex3 AS (SELECT * EXCLUDE (ss, it, q, o), list_reduce(o, lambda a, e: CASE WHEN a.used>={budget} OR (a.used>0 AND a.used+e.n>{budget}) THEN a
+   ELSE {{'used': a.used+e.n, 'kept': list_append(a.kept, {{'i': e.i, 's': e.s}})}} END, {{'used': 0::BIGINT, 'kept': []::STRUCT(i BIGINT, s VARCHAR)[]}}) AS acc FROM ex2),
+ excerpts AS (SELECT * EXCLUDE acc, array_to_string(list_transform(list_sort(acc.kept), lambda k: k.s), ' ') AS excerpt FROM ex3)"""
+
+
+_SENT = sql_sentences("text")
 _FLOW_RE = "(?i)\\b(randomi[sz]ed|assessed for eligibility|discontinued|lost to follow-up|analy[sz]ed|withdrew|withdrawn|withdrawal|N\\s*=\\s*\\d+)\\b"
 _FLOW = f"""fs AS (SELECT doc_id, char_start, unnest({_SENT}) AS s, generate_subscripts({_SENT},1) AS i FROM sections WHERE contains(label,'RESULT')),
  fd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY char_start, i) AS rn FROM fs WHERE regexp_matches(s,'{_FLOW_RE}')),
@@ -132,11 +157,17 @@ def _segments(spark, sf):
 
 
 def blocks(spark, sf):
-    return X.supplement_blocks(R.select_top(PR.fused(spark, sf)), _segments(spark, sf))
+    return X.supplement_blocks(R.fused_top(PR.scored(spark, sf)), _segments(spark, sf))
 
 
-_BLOCKS = f"""blk AS (SELECT t.trial_id, t.domain, t.rank, t.dense, i.char_count, {strip("'[Supplement: '||i.doc_id||'.pdf; heading: '||heading||'; pages: '||array_to_string(pages,', ')||']'||chr(10)||body")} AS b FROM top t JOIN idx i USING (doc_id, seg_ord)),
- sb AS (SELECT trial_id, domain, string_agg(b, {NL2} ORDER BY rank) AS t, count(*) AS segments_retrieved, bool_or(char_count>=6000) AS has_large FROM blk GROUP BY ALL)"""
+_HEAD = "'[Supplement: '||i.doc_id||'.pdf; heading: '||heading||'; pages: '||array_to_string(pages,', ')||']'"
+_BY_DOMAIN = "CASE domain " + " ".join(f"WHEN '{d}' THEN {sql_terms(R.query_tokens(d))}" for d in C.DOMAINS) + " END"
+#: supp: the joined block of each source and domain, before the cap.
+_SUPP = f"""shown AS (SELECT t.trial_id, t.domain, t.rank, i.char_count, {_HEAD} AS head, body FROM top t JOIN idx i USING (doc_id, seg_ord)),
+ large AS (SELECT * FROM shown WHERE char_count>={C.LARGE_SEGMENT_CHARS}), {sql_excerpts("large", "body", _BY_DOMAIN, C.SUPPLEMENT_TOKEN_BUDGET)},
+ blk AS (SELECT trial_id, domain, rank, {strip("head||chr(10)||body")} AS b FROM shown WHERE char_count<{C.LARGE_SEGMENT_CHARS}
+   UNION ALL SELECT trial_id, domain, rank, {strip("head||chr(10)||excerpt")} FROM excerpts),
+ supp AS (SELECT trial_id, domain, string_agg(b, {NL2} ORDER BY rank) AS t FROM blk GROUP BY ALL)"""
 
 
 @query(
@@ -159,9 +190,13 @@ def context_records(spark, sf):
     )
 
 
-@query("supplement_blocks")
+@query(
+    "supplement_blocks",
+    f"""WITH {PR.FUSED}, {_SUPP} SELECT trial_id, domain, md5({sql_cap("t", C.SUPPLEMENT_TOKEN_BUDGET)}) AS block_md5, len({words("t")})::INT AS original_tokens,
+     least(len({words("t")}), {C.SUPPLEMENT_TOKEN_BUDGET})::INT AS kept_tokens FROM supp""",
+)
 def supplement_blocks(spark, sf):
-    """Rank-ordered supplement text; large segments pass the greedy sentence fill, which has no SQL form."""
+    """Rank-ordered supplement text; large segments pass the greedy sentence fill."""
     return blocks(spark, sf).select(
         "trial_id", "domain", F.md5("supplement_block").alias("block_md5"), "supplement_report.original_tokens", "supplement_report.kept_tokens"
     )
@@ -209,24 +244,34 @@ def _templates(spark):
     return spark.createDataFrame(both + own, "sq_id string, effect string, question_text string, answer_definitions string")
 
 
-_ASK = ("1.1", "2.1", "2.3", "3.1", "4.1", "5.1")
+_OWN = "sq_id IN ('2.3','2.4','2.5','2.6')"
 
 
 @query(
     "sq_prompts",
-    f"""WITH {PS.SECTIONS}, {_FLOW}, {_domain_sql()},
-     a AS (SELECT doc_id, sq_id, CASE WHEN doc_id%3=0 THEN 'adhering' ELSE 'assignment' END AS effect FROM documents CROSS JOIN (VALUES {", ".join(f"('{s}')" for s in _ASK)}) q(sq_id))
-     SELECT doc_id, sq_id, domain, sq_id||'|'||effect AS call_label, '[Static trial prefix]'||chr(10) AS prefix_text,
-      md5(concat_ws({NL2}, '[Domain source text]'||chr(10)||{strip("t")}, '[Supplement source text]'||chr(10), '[Signaling question]'||chr(10)||'Question '||sq_id||CASE WHEN sq_id='2.3' THEN ' ('||effect||')' ELSE '' END||'?',
-        '[Answer definitions]'||chr(10)||'Definitions of '||sq_id||'.')) AS suffix_md5 FROM a JOIN dctx USING (doc_id) WHERE domain='D'||sq_id[1]""",
+    f"""WITH {PS.SECTIONS}, {_FLOW}, {_domain_sql()}, {_PREFIX},
+     sup AS (WITH {PR.FUSED}, {_SUPP} SELECT trial_id, domain, {sql_cap("t", C.SUPPLEMENT_TOKEN_BUDGET)} AS block FROM supp),
+     a AS (SELECT doc_id, source, sq_id, 'D'||sq_id[1] AS domain, CASE WHEN doc_id%3=0 THEN 'adhering' ELSE 'assignment' END AS effect
+       FROM documents CROSS JOIN (VALUES {", ".join(f"('{s}')" for s in C.ALL_SQS)}) q(sq_id))
+     SELECT a.doc_id, sq_id, a.domain, sq_id||'|'||effect AS call_label, md5('[Static trial prefix]'||chr(10)||{sql_cap("prefix.t", C.PREFIX_TOKEN_BUDGET)}) AS prefix_md5,
+      md5(concat_ws({NL2}, '[Domain source text]'||chr(10)||{strip("dctx.t")}, '[Supplement source text]'||chr(10)||{strip("coalesce(block,'')")},
+        '[Signaling question]'||chr(10)||'Question '||sq_id||CASE WHEN {_OWN} THEN ' ('||effect||')' ELSE '' END||'?',
+        '[Answer definitions]'||chr(10)||'Definitions of '||sq_id||'.')) AS suffix_md5
+     FROM a JOIN dctx USING (doc_id, domain) JOIN prefix USING (doc_id) LEFT JOIN sup ON sup.trial_id=a.source AND sup.domain=a.domain""",
 )
 def sq_prompts(spark, sf):
-    askable = corpus.table(spark, sf, "documents").select(
-        "doc_id", corpus.effect_of(F.col("doc_id")).alias("effect"), F.explode(F.array(*[F.lit(s) for s in _ASK])).alias("sq_id")
+    """All questions of every paper, with its prefix, its domain's text and its source's supplement block."""
+    docs = corpus.table(spark, sf, "documents")
+    askable = docs.select(
+        "doc_id", corpus.effect_of(F.col("doc_id")).alias("effect"), F.explode(F.array(*[F.lit(s) for s in C.ALL_SQS])).alias("sq_id")
     )
-    ctx = contexts(spark, sf).withColumns({"supplement_block": F.lit(""), "shared_prefix": F.lit("")})
-    prompts = X.sq_prompts(askable, ctx, _templates(spark), ["doc_id"])
-    return prompts.select("doc_id", "sq_id", "domain", "call_label", "prefix_text", F.md5("suffix_text").alias("suffix_md5"))
+    sources = docs.select("doc_id", F.col("source").alias("trial_id"))
+    # a source may hold most papers, but has one block a domain: the blocks' few rows go to the papers
+    texts = contexts(spark, sf).join(sources, "doc_id")
+    texts = hot_key_join(texts, blocks(spark, sf).select("trial_id", "domain", "supplement_block"), ["trial_id", "domain"])
+    texts = texts.join(prefixes(spark, sf).select("doc_id", F.col("c.text").alias("shared_prefix")), "doc_id").drop("trial_id")
+    prompts = X.sq_prompts(askable, texts, _templates(spark), ["doc_id"])
+    return prompts.select("doc_id", "sq_id", "domain", "call_label", F.md5("prefix_text").alias("prefix_md5"), F.md5("suffix_text").alias("suffix_md5"))
 
 
 @query(
@@ -240,3 +285,16 @@ def annotation_prompts(spark, sf):
     texts = S.document_texts(S.page_offsets(corpus.supplement_pages(spark, sf)))
     preambles = texts.select("doc_id", T.preamble(F.col("full_text")).alias("preamble"))
     return X.annotation_prompts(chosen, preambles).select("doc_id", "segment_id", "call_label", F.md5("prompt").alias("prompt_md5"))
+
+
+_RERANK = {"the": 1, "and": 2, "la": 1, "der": 1}
+
+
+@query(
+    "sentence_rerank",
+    f"WITH {sql_excerpts('documents', 'text', sql_terms(_RERANK), 120)} SELECT doc_id, excerpt FROM excerpts",
+)
+def sentence_rerank(spark, sf):
+    """Query sentences of whole documents, re-ranked within a small token budget."""
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    return docs.select("doc_id", R.rerank_sentences(F.col("text"), _RERANK, 120).alias("excerpt"))

@@ -476,7 +476,7 @@ def fanin_missing(spark, sf):
 @query(
     "answer_conflicts",
     f"""WITH base AS (SELECT 'T'||o_custkey AS trial_id, o_orderpriority AS outcome, sq_id, {_code("o_orderkey||'|'||sq_id")} AS answer
-       FROM orders CROSS JOIN (VALUES ('1.1'),('1.2'),('1.3')) s(sq_id))
+       FROM orders CROSS JOIN (VALUES {", ".join(f"('{s}')" for s in C.ALL_SQS)}) s(sq_id))
      SELECT trial_id, outcome, sq_id, min(answer) AS first_answer, max(answer) AS last_answer, count(*) AS n_rows
      FROM base GROUP BY ALL HAVING min(answer) <> max(answer)""",
 )
@@ -485,7 +485,7 @@ def answer_conflicts(spark, sf):
         F.concat(F.lit("T"), F.col("o_custkey")).alias("trial_id"),
         F.col("o_orderpriority").alias("outcome"),
         F.col("o_orderkey"),
-        F.explode(F.array(*[F.lit(s) for s in C.DOMAIN_SQS["D1"]])).alias("sq_id"),
+        F.explode(F.array(*[F.lit(s) for s in C.ALL_SQS])).alias("sq_id"),
     )
     raw = orders.withColumn("answer", corpus.code_of(F.concat_ws("|", "o_orderkey", "sq_id")))
     return D.answer_conflicts(raw, ["trial_id", "outcome"])

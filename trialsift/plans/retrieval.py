@@ -164,11 +164,3 @@ def recall_at_k(spark, sf):
     seed = F.concat(F.lit("rel"), F.concat_ws("|", "domain", "doc_id", "seg_ord"))
     gold = rows.where(corpus.draw(seed, 10) == 0).select("trial_id", "domain", "doc_id", "seg_ord")
     return R.recall_at_k(R.fused_top(rows), gold).withColumn("recall", F.round("recall", 6))
-
-
-@query("sentence_rerank")
-def sentence_rerank(spark, sf):
-    """Query sentences of whole documents, re-ranked within a small token budget."""
-    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
-    out = R.rerank_sentences(F.col("text"), {"the": 1, "and": 2, "la": 1, "der": 1}, 120)
-    return docs.select("doc_id", out.alias("excerpt"))
