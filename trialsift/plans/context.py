@@ -12,8 +12,9 @@ from trialsift.operators import retrieval as R
 from trialsift.operators import structure as S
 from trialsift.operators import trace as O
 from trialsift.operators.skew import hot_key_join
-from trialsift.operators.registry import metadata_block
+from trialsift.operators.registry import comparison_block, enrollment_count, metadata_block, registry_block
 from trialsift.plans import decisions as PD
+from trialsift.plans import registry_records as PRR
 from trialsift.plans import retrieval as PR
 from trialsift.plans import structure as PS
 from trialsift.plans import trace as PT
@@ -35,6 +36,49 @@ def rows(spark, sf):
     return stage_table(spark, sf, "document_rows", lambda: X.document_rows(PS.sections(spark, sf), texts))
 
 
+#: What is known of each paper beside its text: metadata, its registry record, outcome comparison and boxes of its pages.
+_FACTS = f"""{PRR._REG}, facts AS (SELECT doc_id, concat_ws(chr(10), '[Trial metadata]', 'trial_id: T'||doc_id, 'title: '||source, 'intervention: drug '||lang, CASE WHEN doc_id%2=0 THEN 'comparator: placebo' END,
+   'primary_outcome: Overall survival', 'effect_of_interest: '||CASE WHEN doc_id%3=0 THEN 'adhering' ELSE 'assignment' END, 'nct_number: NCT'||lpad(doc_id::VARCHAR,8,'0'), 'all_outcomes: Overall survival; '||source) AS meta,
+   CASE WHEN nct IS NULL OR broken THEN '' ELSE {PRR._BLOCK_SQL} END AS registry, CASE WHEN NOT broken AND cnt='120' THEN 120 END AS enrolled,
+   CASE WHEN NOT broken THEN concat_ws(chr(10), '[Registered outcome comparison]', 'Published outcome: Overall survival', 'Best registered outcome: Overall survival in '||c_mktsegment,
+     'Similarity score: '||CASE WHEN c_nationkey%2=0 THEN '0.75' ELSE '0.25' END, 'Outcome change detected: '||CASE WHEN c_nationkey%2=0 THEN 'False' ELSE 'True' END, 'Registered as primary: True') END AS comparison,
+   'Assessed for eligibility (n='||n_chars||'). Excluded later.' AS box FROM documents LEFT JOIN reg ON c_custkey=doc_id)"""
+
+
+def facts(spark, sf):
+    """(doc_id, meta, registry, enrolled, comparison, boxes) of each paper; a broken or missing record leaves its parts empty."""
+    named = corpus.table(spark, sf, "customer").selectExpr("concat('NCT', lpad(c_custkey, 8, '0')) AS nct", "c_mktsegment", "c_nationkey")
+    records = PRR.records(spark, sf).join(named, "nct")
+    docs = corpus.table(spark, sf, "documents").selectExpr(
+        "doc_id", "concat('T', doc_id) AS trial_id", "source AS title", "concat('drug ', lang) AS intervention",
+        "IF(doc_id % 2 = 0, 'placebo', '') AS comparator", "'Overall survival' AS primary_outcome",
+        "IF(doc_id % 3 = 0, 'adhering', 'assignment') AS effect_of_interest", "CAST(NULL AS STRING) AS blinding",
+        "concat('NCT', lpad(doc_id, 8, '0')) AS nct_number", "array('Overall survival', source) AS all_outcomes",
+        "array(concat('Assessed for eligibility (n=', n_chars, '). Excluded later.'), 'Figure 1.') AS boxes",
+    )
+    known = docs.join(records.withColumnRenamed("nct", "nct_number"), "nct_number", "left").withColumns(
+        {
+            "published_outcome": F.col("primary_outcome"),
+            "registered_outcome": F.concat(F.lit("Overall survival in "), "c_mktsegment"),
+            "outcome_change_detected": F.when(F.col("rec").isNotNull(), F.col("c_nationkey") % 2 != 0),
+            "outcome_similarity_score": F.when(F.col("c_nationkey") % 2 == 0, 0.75).otherwise(0.25),
+            "registered_as_primary": F.lit(True),
+        }
+    )
+    return known.select(
+        "doc_id",
+        metadata_block(docs.columns).alias("meta"),
+        registry_block().alias("registry"),
+        enrollment_count().cast("bigint").alias("enrolled"),
+        comparison_block().alias("comparison"),
+        "boxes",
+    )
+
+
+def papers(spark, sf):
+    return rows(spark, sf).join(facts(spark, sf), "doc_id")
+
+
 _TOP = sql_in(C.TOP_LEVEL_SECTION_LABELS)
 
 
@@ -51,19 +95,17 @@ def _group_sql(name: str, groups: list[tuple[int, str, str]], fmt: str) -> str:
 
 
 _PREFIX = f"""{_group_sql("x", [(1, "METHODS", "contains(label,'METHODS')"), (2, "RESULTS", "contains(label,'RESULTS')")], "bracket")},
- prefix AS (SELECT doc_id, concat_ws({NL2}, '[Trial metadata]'||chr(10)||'trial_id: T'||doc_id||chr(10)||'title: '||source, body) AS t FROM documents LEFT JOIN p_x USING (doc_id))"""
+ prefix AS (SELECT doc_id, concat_ws({NL2}, meta, nullif(registry,''), body) AS t FROM facts LEFT JOIN p_x USING (doc_id))"""
 
 
 def prefixes(spark, sf):
     """(doc_id, c): capped trial-static prefix of each paper."""
-    meta = corpus.table(spark, sf, "documents").selectExpr("doc_id", "concat('T', doc_id) AS trial_id", "source AS title")
-    meta = meta.select("doc_id", metadata_block(["trial_id", "title"]).alias("meta"))
-    return rows(spark, sf).join(meta, "doc_id").select("doc_id", X.shared_prefix(F.col("meta"), F.lit("")).alias("c"))
+    return papers(spark, sf).select("doc_id", X.shared_prefix(F.col("meta"), F.col("registry")).alias("c"))
 
 
 @query(
     "shared_prefix",
-    f"""WITH {PS.SECTIONS}, {_PREFIX}
+    f"""WITH {PS.SECTIONS}, {_FACTS}, {_PREFIX}
      SELECT doc_id, len({words("t")})::INT AS original_tokens, md5({sql_cap("t", C.PREFIX_TOKEN_BUDGET)}) AS prefix_md5 FROM prefix""",
 )
 def shared_prefix(spark, sf):
@@ -108,18 +150,21 @@ def sql_excerpts(source: str, text: str, terms: str, budget: int) -> str:
 
 _SENT = sql_sentences("text")
 _FLOW_RE = "(?i)\\b(randomi[sz]ed|assessed for eligibility|discontinued|lost to follow-up|analy[sz]ed|withdrew|withdrawn|withdrawal|N\\s*=\\s*\\d+)\\b"
-_FLOW = f"""fs AS (SELECT doc_id, char_start, unnest({_SENT}) AS s, generate_subscripts({_SENT},1) AS i FROM sections WHERE contains(label,'RESULT')),
+_FLOW = f"""{_FACTS}, fs AS (SELECT doc_id, char_start, unnest({_SENT}) AS s, generate_subscripts({_SENT},1) AS i FROM sections WHERE contains(label,'RESULT')
+   UNION ALL SELECT doc_id, 1000000000000, unnest({sql_sentences("box")}), generate_subscripts({sql_sentences("box")},1) FROM facts),
  fd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY char_start, i) AS rn FROM fs WHERE regexp_matches(s,'{_FLOW_RE}')),
- flow AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY char_start, i) AS lines FROM fd WHERE rn=1 GROUP BY ALL)"""
+ fl AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY char_start, i) AS lines FROM fd WHERE rn=1 GROUP BY ALL),
+ flow AS (SELECT doc_id, comparison, concat_ws(chr(10), '[Participant flow text]'||chr(10)||lines, '[ClinicalTrials.gov enrolment count hint] enrollmentInfo.count = '||enrolled) AS block
+   FROM facts LEFT JOIN fl USING (doc_id))"""
 
 
-@query(
-    "participant_flow",
-    f"WITH {PS.SECTIONS}, {_FLOW} SELECT doc_id, coalesce('[Participant flow text]'||chr(10)||lines,'') AS block FROM docs LEFT JOIN flow USING (doc_id)",
-)
+@query("participant_flow", f"WITH {PS.SECTIONS}, {_FLOW} SELECT doc_id, block FROM docs JOIN flow USING (doc_id)")
 def participant_flow(spark, sf):
-    none = F.lit(None).cast("bigint")
-    return rows(spark, sf).select("doc_id", X.flow_block(X.flow_sentences(), none).alias("block"))
+    return papers(spark, sf).select("doc_id", _flow_block().alias("block"))
+
+
+def _flow_block():
+    return X.flow_block(X.flow_sentences(F.col("boxes")), F.col("enrolled"))
 
 
 def _domain_sql() -> str:
@@ -136,13 +181,12 @@ def _domain_sql() -> str:
    LEFT JOIN picked USING (doc_id, domain) LEFT JOIN abs USING (doc_id) LEFT JOIN fst USING (doc_id)),
  b2 AS (SELECT *, CASE WHEN length(body)<500 AND a IS NOT NULL THEN {strip("concat_ws(" + NL2 + ", a, body)")} ELSE body END AS t1 FROM base),
  b3 AS (SELECT doc_id, domain, CASE WHEN t1='' THEN first_f ELSE t1 END AS t FROM b2),
- b4 AS (SELECT b3.doc_id, domain, {sql_cap("t", C.DOMAIN_TOKEN_BUDGET)} AS t, lines FROM b3 LEFT JOIN flow USING (doc_id)),
- dctx AS (SELECT doc_id, domain, CASE WHEN domain='D3' AND lines IS NOT NULL THEN {sql_cap("concat_ws(" + NL2 + ", t, '[Participant flow text]'||chr(10)||lines)", C.DOMAIN_TOKEN_BUDGET)} ELSE t END AS t FROM b4)"""
+ b4 AS (SELECT b3.doc_id, domain, {sql_cap("t", C.DOMAIN_TOKEN_BUDGET)} AS t, nullif(CASE domain WHEN 'D3' THEN block WHEN 'D5' THEN comparison END, '') AS extra FROM b3 LEFT JOIN flow USING (doc_id)),
+ dctx AS (SELECT doc_id, domain, CASE WHEN extra IS NOT NULL THEN {sql_cap(strip("concat_ws(" + NL2 + ", t, extra)"), C.DOMAIN_TOKEN_BUDGET)} ELSE t END AS t FROM b4)"""
 
 
 def contexts(spark, sf):
-    none = F.lit(None).cast("bigint")
-    return X.domain_contexts(rows(spark, sf), X.flow_block(X.flow_sentences(), none), F.lit(""))
+    return X.domain_contexts(papers(spark, sf), _flow_block(), F.col("comparison"))
 
 
 @query("domain_contexts", f"WITH {PS.SECTIONS}, {_FLOW}, {_domain_sql()} SELECT doc_id, domain, md5(t) AS text_md5, length(t)::INT AS n_chars FROM dctx")

@@ -98,11 +98,11 @@ def registered_outcomes(spark, sf):
     return R.registered_outcomes(records(spark, sf))
 
 
-@query(
-    "registry_blocks",
-    f"""WITH {_REG} SELECT nct, CASE WHEN broken THEN '' ELSE concat_ws(chr(10), '[ClinicalTrials.gov]', 'Allocation: '||nullif(alloc,''), 'Masking: DOUBLE', CASE WHEN cnt='120' THEN 'Enrollment count: 120' END,
-      'Primary outcomes:  Overall survival in '||c_mktsegment||'  ('||c_nationkey||' months)', 'Secondary outcomes:  ', 'Secondary outcomes: Time to event '||c_nationkey, 'Arms: Drug; Placebo') END AS block FROM reg""",
-)
+_BLOCK_SQL = """concat_ws(chr(10), '[ClinicalTrials.gov]', 'Allocation: '||nullif(alloc,''), 'Masking: DOUBLE', CASE WHEN cnt='120' THEN 'Enrollment count: 120' END,
+      'Primary outcomes:  Overall survival in '||c_mktsegment||'  ('||c_nationkey||' months)', 'Secondary outcomes:  ', 'Secondary outcomes: Time to event '||c_nationkey, 'Arms: Drug; Placebo')"""
+
+
+@query("registry_blocks", f"WITH {_REG} SELECT nct, CASE WHEN broken THEN '' ELSE {_BLOCK_SQL} END AS block FROM reg")
 def registry_blocks(spark, sf):
     return records(spark, sf).select("nct", R.registry_block().alias("block"))
 
