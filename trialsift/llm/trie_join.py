@@ -56,6 +56,8 @@ NGRAM = 5
 PERCENT = 80
 #: Bytes of text a task gathers before it sends its packed shingles.
 FLUSH_BYTES = 8 << 20
+#: Shingles that meet in a bucket, about.
+PER_BUCKET = 1_000_000
 #: Class ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Sets in one prefix tree; a run is cut into blocks of so many.
@@ -200,7 +202,7 @@ def _to_classes(ids, sizes, owner, grams, shares):
 
 def shared_parts(docs: DataFrame, shingles: int, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(class, n, grams): classes at least ceil(percent * n) of whose shingles other classes hold too, hash-ordered."""
-    buckets = buckets_for(shingles)
+    buckets = buckets_for(shingles, PER_BUCKET)
 
     def send(batches):
         sets, prints, seen, held = [], [], set(), 0
