@@ -6,8 +6,12 @@ map-side-combined aggregation per report is enough at any size.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +178,71 @@ def bootstrap_interval(
     return _interval(samples, group)
 
 
+def binomial(n: int, p: float, u: float) -> int:
+    """Least k at which the binomial distribution function of n and p reaches u, 0 < u < 1.
+
+    Only places within ten deviations of the mean are added up; what lies beyond is below any
+    u of 32 bits.
+    """
+    if n == 0 or p <= 0.0:
+        return 0
+    if p >= 1.0:
+        return n
+    mean, spread = n * p, 10.0 * math.sqrt(n * p * (1.0 - p)) + 40.0
+    low, high = max(0, int(mean - spread)), min(n, int(mean + spread) + 1)
+    at_low = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((n - k) / (k + 1.0)) + (math.log(p) - math.log1p(-p))
+    reached = np.cumsum(np.exp(np.concatenate([[at_low], at_low + np.cumsum(steps)])))
+    return min(low + int(np.searchsorted(reached, u, side="left")), high)
+
+
+def resampled_counts(cells: list[int], seed: str, iterations: int) -> list[list[int]]:
+    """Counts of as many draws with replacement as there are rows, `iterations` times, out of the rows' counts.
+
+    The draws of an iteration are split off class by class: how many fall to a class is binomial in
+    those left.  Draws are uniform numbers from md5 of iteration, seed and class.
+    """
+    total, out = sum(cells), []
+    for iteration in range(iterations):
+        left, rest, drawn = total, total, []
+        for k, n in enumerate(cells[:-1]):
+            u = (int(hashlib.md5(f"{iteration}|{seed}|{k}".encode()).hexdigest()[:8], 16) + 0.5) / 2.0**32
+            w = binomial(left, n / rest, u) if rest else 0
+            drawn.append(w)
+            left, rest = left - w, rest - n
+        out.append([*drawn, left])
+    return out
+
+
+def count_bootstrap_interval(
+    pairs: DataFrame, group: list[str], iterations: int = C.BOOTSTRAP_ITERATIONS, labels=C.JUDGMENTS
+) -> DataFrame:
+    """Percentile interval from resampling cells with replacement, drawn from the label-pair counts of a group.
+
+    The same distribution as `bootstrap_interval`, which draws every cell: rows are counted once, map-side, and
+    the work after that grows with groups and iterations only.  A group without a counted pair has no row.
+    """
+    clean = pairs.where(F.col("pred").isNotNull() & F.col("gold").isNotNull())
+    size = len(labels)
+    names = [_cell(i, j) for i in range(size) for j in range(size)]
+
+    @F.pandas_udf("array<array<bigint>>")
+    def resample(cells: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([resampled_counts([int(n) for n in c], s, iterations) for c, s in zip(cells, seed)])
+
+    counts = label_counts(clean, group, labels)
+    seed = F.concat_ws("|", *[F.col(g).cast("string") for g in group])
+    drawn = counts.select(*group, resample(F.array(*names), seed).alias("_samples")).select(*group, F.explode("_samples").alias("_c"))
+    samples = drawn.select(
+        *group,
+        *[F.col("_c")[k].alias(name) for k, name in enumerate(names)],
+        _sum([F.col("_c")[k] for k in range(len(names))]).alias("n"),
+        _sum([F.col("_c")[i * size + i] for i in range(size)]).alias("n_agree"),
+    )
+    return _interval(samples, group)
+
+
 # Poisson(1) cumulative probabilities, scaled to 2^32.
 POISSON_CUTS = tuple(
     int(p * 2**32)

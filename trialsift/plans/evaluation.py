@@ -154,8 +154,34 @@ _SCORED = f"""chance AS (SELECT domain, iter, n, po,
  scored AS (SELECT domain, iter, po, {_COEF('pc')} AS g FROM chance)"""
 
 
+def _count_draws_sql(iterations: int) -> str:
+    """sampled: label-pair counts of each iteration, split off one class after the other by binomial quantiles."""
+    pairs = [(a, b) for a in C.JUDGMENTS for b in C.JUDGMENTS]
+    counts = ", ".join(f"count(*) FILTER (gold='{a}' AND pred='{b}') AS c{k}" for k, (a, b) in enumerate(pairs))
+    parts = [
+        f"counted AS (SELECT domain, count(*) AS rest, {counts} FROM clean GROUP BY domain)",
+        f"d0 AS (SELECT *, i AS iter, rest AS rem FROM counted CROSS JOIN range({iterations}) r(i))",
+    ]
+    for k in range(len(pairs) - 1):
+        p, u = f"(c{k}::DOUBLE/rest)", f"((('0x'||substr(md5(iter||'|'||domain||'|{k}'),1,8))::BIGINT + 0.5)/4294967296.0::DOUBLE)"
+        mass = f"exp(lgamma(rem+1) - lgamma(j+1) - lgamma(rem-j+1) + j*ln({p}) + (rem-j)*ln(1-{p}))"
+        fold = f"list_reduce(range(0, rem+1), lambda a, j: {{'c': a.c+{mass}, 'k': a.k+(a.c+{mass}<{u})::BIGINT}}, {{'c': 0::DOUBLE, 'k': 0::BIGINT}}).k"
+        parts.append(f"e{k} AS (SELECT *, CASE WHEN rem=0 OR c{k}=0 THEN 0 WHEN c{k}=rest THEN rem ELSE least({fold}, rem) END AS w{k} FROM d{k})")
+        parts.append(f"d{k + 1} AS (SELECT * REPLACE (rem-w{k} AS rem, rest-c{k} AS rest) FROM e{k})")
+    last = len(pairs) - 1
+    union = " UNION ALL ".join(
+        f"SELECT domain, iter, '{a}' AS gold, '{b}' AS pred, {'rem' if k == last else f'w{k}'} AS w FROM d{last}" for k, (a, b) in enumerate(pairs)
+    )
+    return ", ".join([*parts, f"sampled AS ({union})"])
+
+
+@query("bootstrap_ci", f"WITH {CELLS}, {_count_draws_sql(C.BOOTSTRAP_ITERATIONS)}, {_SCORED} {_INTERVAL}")
+def bootstrap_ci(spark, sf):
+    return E.count_bootstrap_interval(cells(spark, sf), ["domain"])
+
+
 @query(
-    "bootstrap_ci",
+    "bootstrap_ci_rows",
     f"""WITH {CELLS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY
        list_position(['Low','Some concerns','High'], gold), list_position(['Low','Some concerns','High'], pred), doc_id)-1 AS pos,
        count(*) OVER (PARTITION BY domain) AS n FROM clean),
@@ -164,7 +190,8 @@ _SCORED = f"""chance AS (SELECT domain, iter, n, po,
      sampled AS (SELECT d.domain, d.iter, x.gold, x.pred, 1 AS w FROM draws d JOIN numbered x USING (domain, pos)),
      {_SCORED} {_INTERVAL}""",
 )
-def bootstrap_ci(spark, sf):
+def bootstrap_ci_rows(spark, sf):
+    """The same interval from drawing every cell."""
     return E.bootstrap_interval(cells(spark, sf), ["domain"], "doc_id")
 
 
