@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from trialsift.functions import text as T
@@ -114,6 +117,49 @@ def run_input_hashes(spark, sf):
     return readers.run_inputs(manifest, files).select("path", "sha256")
 
 
+def _files(spark, sf) -> str:
+    """Texts as files of a shared folder, written by the tasks that hold them; every fifth is missing."""
+    folder = scratch_path(spark, "supplements")
+
+    def write(frames):
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(root, recursive=True)
+        for frame in frames:
+            for name, text in zip(frame["name"], frame["text"]):
+                with files.open_output_stream(f"{root}/{name}") as out:
+                    out.write(text.encode())
+            yield frame[["name"]]
+
+    named = corpus.table(spark, sf, "documents").where("doc_id % 5 <> 0 AND text IS NOT NULL")
+    # some are no PDF files and stay out
+    named = named.selectExpr("concat('a', doc_id, IF(doc_id % 7 = 0, '.txt', '.pdf')) AS name", "text")
+    named.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    "supplement_files",
+    "SELECT 'a'||doc_id||'.pdf' AS name, strlen(text) AS length, sha256(text) AS sha256 FROM documents WHERE doc_id%5<>0 AND doc_id%7<>0 AND text IS NOT NULL",
+)
+def supplement_files(spark, sf):
+    """PDF files of a folder with their sizes and hashes."""
+    found = readers.read_supplement_files(spark, _files(spark, sf))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length", "sha256")
+
+
+@query(
+    "run_file_hashes",
+    """SELECT 'a'||doc_id||'.pdf' AS name, CASE WHEN doc_id%5<>0 AND doc_id%7<>0 AND text IS NOT NULL THEN sha256(text) END AS sha256 FROM documents""",
+)
+def run_file_hashes(spark, sf):
+    """Input files of a run with the hashes of what is there; a missing file keeps a null hash."""
+    folder = _files(spark, sf)
+    at = F.concat(F.lit(urlparse(folder).path + "/a"), F.col("doc_id"), F.lit(".pdf"))
+    manifest = corpus.table(spark, sf, "documents").select(at.alias("main_paper"), F.array().cast("array<string>").alias("supplements"))
+    found = readers.run_inputs(manifest, readers.read_file_hashes(spark, folder))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "sha256")
+
+
 @query(
     "trace_tables",
     """SELECT 'calls' AS name, event_type AS kind, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL

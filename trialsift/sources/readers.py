@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import urlparse
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +49,44 @@ def _fields() -> str:
     return ", ".join(f"{c.split()[0]}: string" for c in MANIFEST.split(", "))
 
 
+#: Bytes of a file read at once when it is hashed.
+CHUNK = 1 << 20
+#: File systems that tasks can open themselves; files of others are read whole by Spark's own reader.
+_OPENED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _hashed(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in paths:
+        out = []
+        for path in frame["path"]:
+            files, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(name) as source:
+                while chunk := source.read(CHUNK):
+                    digest.update(chunk)
+            out.append(digest.hexdigest())
+        yield frame.assign(sha256=out)
+
+
+def read_file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of the files directly inside a folder.
+
+    Files are listed without their contents, dealt out by number, and read a MiB at a time, so a file
+    may be of any size.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    scheme = urlparse(folder).scheme or "file"
+    if scheme not in _OPENED:
+        return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    listed = found.select("path", "length")
+    # a file is a row of a few bytes and much work
+    spread = listed.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+    return spread.mapInPandas(_hashed, "path string, length long, sha256 string")
+
+
 def read_supplement_files(spark: SparkSession, folder: str) -> DataFrame:
     """PDF files directly inside a folder with their content hash, sorted by path."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.pdf")
-        .load(folder)
-        .select("path", "length", F.sha2("content", 256).alias("sha256"))
-        .orderBy("path")
-    )
+    return read_file_hashes(spark, folder, "*.pdf").orderBy("path")
 
 
 def read_gold(spark: SparkSession, files: dict[str, str]) -> DataFrame:
