@@ -37,7 +37,7 @@ SHARDS = 3
 LEAST = 10
 LONGEST = 3
 TOP = 2000
-#: Places of the filter, a power of two; its hashes are the chained xxhash64 of (lang, phrase).
+#: Places of the filter, a power of two; its hashes are folded out of the chained xxhash64 of (lang, word).
 SLOTS = 1 << 24
 PROBES = 3
 #: Bytes of text cut at once, and distinct phrases that a task holds before it passes them on.
@@ -59,15 +59,25 @@ _LOWER[65:91] += 32
 
 
 class Reached:
-    """The step from which each phrase counts as frequent, at the latest; NEVER for most that are not."""
+    """The step from which each phrase counts as frequent, at the latest; NEVER for most that are not.
+
+    A phrase's hash is folded out of its words' hashes, so only words are hashed as text.
+    """
 
     def __init__(self, steps: np.ndarray, lang: str):
         self.steps = steps
         self.seed = xxhash.xxh64_intdigest(lang.encode(), seed=_SEED)
 
-    def __call__(self, phrases: list[bytes]) -> np.ndarray:
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         seed, digest = self.seed, xxhash.xxh64_intdigest
-        h = np.fromiter((digest(p, seed) for p in phrases), dtype=np.uint64, count=len(phrases))
+        return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+    @staticmethod
+    def longer(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of phrases with one word more."""
+        return (hashes << np.uint64(1) | hashes >> np.uint64(63)) ^ last
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.steps) - 1)
         first, stride = h & mask, (h >> np.uint64(32)) & mask | np.uint64(1)
         found = self.steps[first]
@@ -78,11 +88,17 @@ class Reached:
 
 def _bits(phrases: DataFrame, slots: int) -> dict[int, bytes]:
     """Bitmaps, 32,768 places each, of the filter places of (lang, phrase)."""
-    h = F.xxhash64("lang", "phrase")
+
+    def longer(h, last):
+        return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(last)
+
+    words = F.transform(F.split("phrase", " "), lambda w: F.xxhash64("lang", w))
+    hashed = phrases.select(F.aggregate(words, F.lit(0).cast("long"), longer).alias("h"))
+    h = F.col("h")
     first, stride = h.bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1)).bitwiseOR(F.lit(1))
     # Spark's bitmaps number what they hold from 1
     places = F.array(*((first + i * stride).bitwiseAND(F.lit(slots - 1)) + 1 for i in range(PROBES)))
-    at = phrases.select(F.explode(places).alias("at"))
+    at = hashed.select(F.explode(places).alias("at"))
     held = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     return {r["k"]: bytes(r["bits"]) for r in held.collect()}
 
@@ -207,8 +223,10 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
         tally.add(lang, 1, words, counts, np.zeros(len(words), dtype=np.int8))
     if not step:
         return
-    # since[i]: the step from which the run of k - 1 words at i is frequent
-    since = reached([p[:-1] for p in words.to_pylist()])[at]
+    # since[i]: the step from which the run of k - 1 words at i is frequent; hashes[i]: its hash
+    own = reached.hashes([p[:-1] for p in words.to_pylist()])
+    since, own = reached(own)[at], own[at]
+    hashes = own
     joined = ~cut.new
     for k in range(2, LONGEST + 1):
         if len(since) < 2:
@@ -227,21 +245,15 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
             looked_up[:-1] |= both
             looked_up[1:] |= both
         later = np.full(len(open_), NEVER, dtype=np.uint8)
-        for firsts, runs in _spans(cut, k, counted | looked_up):
-            if not len(firsts):
-                continue
-            coded = runs.dictionary_encode()
-            at, phrases = coded.indices.to_numpy(), coded.dictionary
-            counts = np.bincount(at[counted[firsts]], minlength=len(phrases))
-            begun = np.zeros(len(phrases), dtype=np.int8)
-            begun[at] = active[firsts]
-            tally.add(lang, k, phrases, counts, begun)
-            ask = looked_up[firsts]
-            if ask.any():
-                wanted = np.unique(at[ask])
-                found = np.full(len(phrases), NEVER, dtype=np.uint8)
-                found[wanted] = reached([p[:-1] for p in phrases.take(pa.array(wanted)).to_pylist()])
-                later[firsts] = found[at]
+        hashes = reached.longer(hashes[:-1], own[k - 1 :])
+        later[looked_up] = reached(hashes[looked_up])
+        for firsts, runs in _spans(cut, k, counted):
+            if len(firsts):
+                coded = runs.dictionary_encode()
+                at, phrases = coded.indices.to_numpy(), coded.dictionary
+                begun = np.zeros(len(phrases), dtype=np.int8)
+                begun[at] = active[firsts]
+                tally.add(lang, k, phrases, np.bincount(at, minlength=len(phrases)), begun)
         since = later
 
 
