@@ -52,7 +52,8 @@ def byte_characters() -> list[str]:
 class Vocabulary(PieceCoder):
     """Merges, ids and added tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
+        """Without `specials` the strings of added tokens are text like any other."""
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         ids, added = held["model"]["vocab"], held["added_tokens"]
@@ -70,7 +71,8 @@ class Vocabulary(PieceCoder):
             tokens[t["id"]] = t["content"].encode()
         self.tokens = pa.array(tokens, pa.large_binary())
         self.decimals = pa.array([b",%d" % i for i in range(len(tokens))], pa.large_binary())
-        super().__init__(Tokenizer.from_file(path).pre_tokenizer, {t["content"].encode(): t["id"] for t in added})
+        found = {t["content"].encode(): t["id"] for t in added} if specials else {}
+        super().__init__(Tokenizer.from_file(path).pre_tokenizer, found)
         self.remembered: dict[bytes, bytes] = {}
 
     @cached_property

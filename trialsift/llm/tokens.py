@@ -1,19 +1,8 @@
-"""Token ids of whole texts by the library, with a bounded memory of pieces met before."""
+"""Token ids of whole texts as the tokenizers library gives them, with a bounded memory of pieces met before."""
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
-
-from trialsift.llm.pieces import PieceCoder
-
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces whose ids a worker keeps.
-CACHED = 400_000
-#: Pieces encoded at once: an encoding takes a multiple of its text's memory.
-AT_ONCE = 1000
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -23,37 +12,19 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _LibraryIds(PieceCoder):
-    """Ids of distinct pieces by the library, kept for the pieces to come."""
-
-    def __init__(self, tokenizer):
-        super().__init__(tokenizer.pre_tokenizer, {})
-        self.tokenizer, self.known = tokenizer, {}
-
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        for i in range(0, len(new), AT_ONCE):
-            some = new[i : i + AT_ONCE]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            known.update((p, np.array(x.ids, dtype="<i4").tobytes()) for p, x in zip(some, found))
-        return [known[p] for p in pieces]
-
-
 class Encoder:
     """Ids of texts as little-endian 16-bit strings; equal to encoding each text whole."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from trialsift.llm.bpe_tree import Vocabulary
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.pieces = _LibraryIds(self.tokenizer)
+        self.pieces = Vocabulary(path, specials=False)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
