@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from trialsift import constants as C
 from trialsift.operators import batch as B
-from trialsift.plans.registry import query, sql_draw
+from trialsift.operators.skew import hot_key_join
+from trialsift.plans import registry_records as PRR
+from trialsift.plans.registry import REGISTRY, query, sql_draw
 from trialsift.sources import corpus
 
 MODEL, VERSION = "gpt-oss-120b", "0.1.0"
@@ -165,31 +167,31 @@ def upsert_latest_wins(spark, sf):
 
 @query(
     "skip_rows",
-    f"""SELECT 'S'||o_orderkey AS assessment_id, '2024-01-01T00:00:00Z' AS created_at, 'T'||o_orderkey AS trial_id, NULL::VARCHAR AS nct_number,
+    f"""WITH e AS ({REGISTRY["eligibility"][1]}) SELECT 'S'||o_orderkey AS assessment_id, '2024-01-01T00:00:00Z' AS created_at, 'T'||o_orderkey AS trial_id, nct AS nct_number,
       '__TRIAL__' AS outcome, '__NA__' AS effect_of_interest, NULL::VARCHAR AS title, NULL::VARCHAR AS overall_judgment,
       {", ".join(f"NULL::VARCHAR AS d{i}_judgment" for i in range(1, 6))}, NULL::INT AS flagged_sq_count, NULL::INT AS uncertain_sq_count,
-      1 AS requires_human_review, 'single_arm' AS study_design, '{MODEL}' AS model_sq, '{MODEL}' AS model_aux, '{VERSION}' AS pipeline_version,
-      NULL::VARCHAR AS inputs_hash, '["ineligible study_design=single_arm: registry says one group"]' AS errors
-      FROM orders WHERE o_orderstatus='P'""",
+      1 AS requires_human_review, study_design, '{MODEL}' AS model_sq, '{MODEL}' AS model_aux, '{VERSION}' AS pipeline_version,
+      NULL::VARCHAR AS inputs_hash, '["ineligible study_design='||study_design||': '||study_design_basis||'"]' AS errors
+      FROM orders JOIN e ON nct='NCT'||lpad(o_custkey::VARCHAR,8,'0') WHERE NOT eligible""",
 )
 def skip_rows(spark, sf):
-    out = (
-        corpus.table(spark, sf, "orders")
-        .where("o_orderstatus = 'P'")
-        .select(
-            F.concat(F.lit("S"), F.col("o_orderkey")).alias("assessment_id"),
-            F.lit("2024-01-01T00:00:00Z").alias("created_at"),
-            F.concat(F.lit("T"), F.col("o_orderkey")).alias("trial_id"),
-            F.lit(None).cast("string").alias("nct_number"),
-            F.lit("single_arm").alias("study_design"),
-            F.lit("registry says one group").alias("study_design_basis"),
-            F.lit(MODEL).alias("model_sq"),
-            F.lit(MODEL).alias("model_aux"),
-            F.lit(VERSION).alias("pipeline_version"),
-            F.lit(None).cast("string").alias("inputs_hash"),
-        )
+    """One audit row for every order of a trial that the eligibility decision leaves out."""
+    out = PRR.eligibility(spark, sf).where("NOT eligible").withColumnRenamed("nct", "nct_number")
+    orders = corpus.table(spark, sf, "orders").select("o_orderkey", F.format_string("NCT%08d", "o_custkey").alias("nct_number"))
+    # a trial may own a large share of the orders, and has one decision
+    skipped = hot_key_join(orders, out, ["nct_number"], "inner").select(
+        F.concat(F.lit("S"), "o_orderkey").alias("assessment_id"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.concat(F.lit("T"), "o_orderkey").alias("trial_id"),
+        "nct_number",
+        "study_design",
+        "study_design_basis",
+        F.lit(MODEL).alias("model_sq"),
+        F.lit(MODEL).alias("model_aux"),
+        F.lit(VERSION).alias("pipeline_version"),
+        F.lit(None).cast("string").alias("inputs_hash"),
     )
-    return B.skip_rows(out)
+    return B.skip_rows(skipped)
 
 
 @query(
