@@ -8,10 +8,13 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from trialsift.functions import text as T
+from trialsift.operators import registry as R
 from trialsift.plans import batch as PB
-from trialsift.plans.registry import query
+from trialsift.plans import registry_records as PRR
+from trialsift.plans.registry import REGISTRY, query
 from trialsift.session import scratch_path
 from trialsift.sources import corpus, readers, sinks
+from trialsift.streaming import events as W
 
 
 def _csv(df, name: str) -> str:
@@ -104,6 +107,21 @@ def event_lines(spark, sf):
     return found.select("run_id", "event_id", "timestamp", "event_type", "status", F.array_join("artifact_refs", "|").alias("artifacts"), "payload")
 
 
+@query("stream_event_lines", REGISTRY["event_lines"][1])
+def stream_event_lines(spark, sf):
+    """The same JSON lines read as a stream."""
+    found = W.to_table(spark, readers.stream_events(spark, _event_lines(spark, sf)), "append", "stream-lines")
+    return found.select("run_id", "event_id", "timestamp", "event_type", "status", F.array_join("artifact_refs", "|").alias("artifacts"), "payload")
+
+
+@query("registry_snapshots", f"WITH {PRR._REG} SELECT nct, NOT broken AS readable, rdesign AS design FROM des2")
+def registry_snapshots(spark, sf):
+    """Registry records out of one JSON file each, named by its id; a broken one is no record."""
+    bodies = PRR.registry(spark, sf).select(F.concat("nct", F.lit(".json")).alias("name"), F.col("body").alias("text"))
+    records = R.parse_records(readers.read_registry(spark, _written(bodies, "registry")))
+    return records.select("nct", F.col("rec").isNotNull().alias("readable"), R.registry_design()["design"].alias("design"))
+
+
 @query(
     "run_input_hashes",
     """SELECT '/papers/p'||doc_id||'.pdf' AS path, CASE WHEN doc_id%5<>0 THEN sha256(text) END AS sha256 FROM documents
@@ -117,9 +135,9 @@ def run_input_hashes(spark, sf):
     return readers.run_inputs(manifest, files).select("path", "sha256")
 
 
-def _files(spark, sf) -> str:
-    """Texts as files of a shared folder, written by the tasks that hold them; every fifth is missing."""
-    folder = scratch_path(spark, "supplements")
+def _written(rows, folder: str) -> str:
+    """Each row's text as a file of its name in a new shared folder, written by the task that holds it."""
+    folder = scratch_path(rows.sparkSession, folder)
 
     def write(frames):
         files, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
@@ -130,11 +148,15 @@ def _files(spark, sf) -> str:
                     out.write(text.encode())
             yield frame[["name"]]
 
+    rows.select("name", "text").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _files(spark, sf) -> str:
+    """Texts as files of a folder; every fifth is missing."""
     named = corpus.table(spark, sf, "documents").where("doc_id % 5 <> 0 AND text IS NOT NULL")
     # some are no PDF files and stay out
-    named = named.selectExpr("concat('a', doc_id, IF(doc_id % 7 = 0, '.txt', '.pdf')) AS name", "text")
-    named.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
-    return folder
+    return _written(named.selectExpr("concat('a', doc_id, IF(doc_id % 7 = 0, '.txt', '.pdf')) AS name", "text"), "supplements")
 
 
 @query(
@@ -196,3 +218,20 @@ def markdown_tables(spark, sf):
     return rows.select("conv_id", "turn", T.rows_to_markdown(F.col("r")).alias("table_md"))
 
 
+
+
+@query(
+    "report_cells",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus='P' THEN 'Unknown' WHEN o_orderstatus='F' THEN 'Yes' ELSE 'No' END AS flag,
+      CASE WHEN o_custkey%3=0 THEN 'Unknown' ELSE printf('$%.4f', o_custkey/8.0::DOUBLE) END AS cost, CASE WHEN o_custkey%5=0 THEN 'Unknown' ELSE printf('%.3f', o_custkey/8.0::DOUBLE) END AS score FROM orders""",
+)
+def report_cells(spark, sf):
+    """Yes/no, money and number cells of a report; what is not known says so."""
+    orders = corpus.table(spark, sf, "orders")
+    amount = F.col("o_custkey") / F.lit(8.0)
+    return orders.select(
+        "o_orderkey",
+        T.yes_no(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")).alias("flag"),
+        T.money(F.when(F.col("o_custkey") % 3 != 0, amount)).alias("cost"),
+        T.number3(F.when(F.col("o_custkey") % 5 != 0, amount)).alias("score"),
+    )

@@ -373,3 +373,35 @@ def event_sessions(spark, sf):
     return out.withColumns(
         {c: stamp(c) for c in ("session_start", "session_end")} | {"total_value": F.round("total_value", 4)}
     )
+
+
+@query(
+    "safe_headers",
+    f"""WITH {_EVENTS} SELECT event_id, CASE WHEN k%3=0 THEN 'retry-after='||k||';' ELSE '' END||'x-request-id=r'||event_id AS headers FROM tev""",
+)
+def safe_headers(spark, sf):
+    """Response headers that may be kept."""
+    sent = F.map_concat(
+        F.create_map(F.lit("X-Request-ID"), F.concat(F.lit("r"), "event_id"), F.lit("Authorization"), F.lit("secret")),
+        F.when(F.col("k") % 3 == 0, F.create_map(F.lit("Retry-After"), F.col("k").cast("string"))).otherwise(
+            F.create_map(F.lit("Set-Cookie"), F.lit("secret"))
+        ),
+    )
+    kept = trace_events(spark, sf).select("event_id", F.array_sort(F.map_entries(O.safe_headers(sent))).alias("h"))
+    return kept.select("event_id", F.array_join(F.transform("h", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"))
+
+
+@query(
+    "trace_levels",
+    f"""WITH {_EVENTS}, c AS (SELECT count(*) AS n, sum(length(props))::BIGINT AS chars FROM events)
+     SELECT 'full' AS level, n, chars FROM c UNION ALL SELECT 'summary', n, NULL FROM c UNION ALL SELECT 'off', 0, NULL FROM c""",
+)
+def trace_levels(spark, sf):
+    """Calls that each trace level keeps, and the characters of their bodies."""
+    calls = corpus.table(spark, sf, "events").select("event_id", F.col("props").alias("raw_response"))
+    parts = []
+    for level in ("off", "summary", "full"):
+        kept = O.at_level(calls, level)
+        body = F.sum(F.length("raw_response")) if "raw_response" in kept.columns else F.lit(None).cast("bigint")
+        parts.append(kept.agg(F.count(F.lit(1)).alias("n"), body.alias("chars")).select(F.lit(level).alias("level"), "n", "chars"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
