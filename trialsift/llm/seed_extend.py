@@ -37,8 +37,8 @@ from trialsift.llm.common import Words, buckets_for, pack_low, release_memory, t
 WINDOW = 20
 ANCHOR = 5
 #: Windows a task gathers before it settles its own repeats and sends the rest.
-FLUSH_WINDOWS = 1_000_000
-PER_BUCKET = 2_500_000
+FLUSH_WINDOWS = 500_000
+PER_BUCKET = 1_250_000
 HASH_BYTES = 7
 _LAST = np.iinfo(np.int64).max
 
