@@ -425,3 +425,32 @@ def table_like_pages(spark, sf):
         T.needs_text_fallback(md, raw).alias("sparse"),
         F.md5(T.page_text(md, raw)).alias("page_md5"),
     )
+
+
+_PAGE_LINES = 20
+
+
+@query(
+    "layout_headings",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1)-1 AS n FROM documents),
+     b AS (SELECT doc_id, n//{_PAGE_LINES} AS page, n, CASE WHEN n%7=0 THEN {sql_list(corpus.PAPER_HEADINGS)}[(doc_id*3+n//7)%{len(corpus.PAPER_HEADINGS)}+1] WHEN n%11=0 THEN '2.'||(n%9)||' Methods used' ELSE line END AS text,
+       9.0::DOUBLE + CASE WHEN n%7=0 OR n%11=0 THEN (n%5)*0.75 ELSE (n%3)*0.25 END AS size, n%22=0 AS is_bold FROM l),
+     m AS (SELECT *, median(size) OVER (PARTITION BY doc_id, page) AS med, {sql_norm_heading("text")} AS label FROM b)
+     SELECT doc_id, page::INT AS page, n::INT AS line_no, text FROM m WHERE label<>'' AND length(label)<=80 AND len({sql_words("label")})<=8
+       AND (label IN {sql_in(C.CANONICAL_SECTION_LABELS)} OR ((is_bold OR (med>0 AND size>=med+1.5)) AND (regexp_matches({sql_strip("text")},'^\\d+(\\.\\d+)*\\s+[A-Z]') OR (regexp_matches(text,'^\\p{{Lu}}') AND NOT contains(text,'.')))))""",
+)
+def layout_headings(spark, sf):
+    """Headings by style: lines of a document as boxes with a size and a weight, twenty to a page."""
+    lines = corpus.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    listed = ", ".join(f"'{h}'" for h in corpus.PAPER_HEADINGS)
+    boxes = lines.selectExpr(
+        "doc_id",
+        f"n div {_PAGE_LINES} AS page",
+        "n AS line_no",
+        f"""CASE WHEN n % 7 = 0 THEN array({listed})[CAST((doc_id * 3 + n div 7) % {len(corpus.PAPER_HEADINGS)} AS INT)]
+            WHEN n % 11 = 0 THEN concat('2.', n % 9, ' Methods used') ELSE line END AS text""",
+        "9.0D + IF(n % 7 = 0 OR n % 11 = 0, (n % 5) * 0.75D, (n % 3) * 0.25D) AS size",
+        "n % 22 = 0 AS is_bold",
+    )
+    found = S.layout_boxes(boxes).where("boxclass = 'section-header'")
+    return found.select("doc_id", F.col("page").cast("int").alias("page"), "line_no", "text")
