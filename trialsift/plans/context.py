@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from trialsift import constants as C
 from trialsift.functions import text as T
 from trialsift.operators import context as X
-from trialsift.operators import decisions as D
 from trialsift.operators import retrieval as R
 from trialsift.operators import structure as S
 from trialsift.operators import trace as O
 from trialsift.operators.skew import hot_key_join
 from trialsift.operators.registry import comparison_block, enrollment_count, metadata_block, registry_block
-from trialsift.plans import decisions as PD
 from trialsift.plans import registry_records as PRR
 from trialsift.plans import retrieval as PR
 from trialsift.plans import structure as PS
