@@ -53,3 +53,17 @@ def test_interval_is_near_that_of_drawn_rows(spark):
             # both ends are order statistics of 200 samples: within a third of the interval's width
             assert abs(one[name] - by_rows[d][name]) < 0.02
     assert E.count_bootstrap_interval(pairs.limit(0), ["domain"]).count() == 0
+
+
+def test_bootstrap_ci_draws_every_cell(spark, tmp_path):
+    from trialsift.plans import evaluation as PE
+
+    draw = random.Random(3)
+    docs = [(i, "text of a document " * draw.randint(1, 9), draw.choice(["en", "de"]), f"s{i % 5}", 10) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, draw.randint(0, 1), draw.randint(0, 1)) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = PE.bootstrap_ci(spark, str(tmp_path)).collect()
+    want = E.bootstrap_interval(PE.cells(spark, str(tmp_path)), ["domain"], "doc_id").collect()
+    counted = PE.bootstrap_ci_counts(spark, str(tmp_path)).collect()
+    assert got and sorted(map(repr, got)) == sorted(map(repr, want)) != sorted(map(repr, counted))

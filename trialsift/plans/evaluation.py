@@ -175,26 +175,32 @@ def _count_draws_sql(iterations: int) -> str:
     return ", ".join([*parts, f"sampled AS ({union})"])
 
 
-@query("bootstrap_ci", f"WITH {CELLS}, {_count_draws_sql(C.BOOTSTRAP_ITERATIONS)}, {_SCORED} {_INTERVAL}")
-def bootstrap_ci(spark, sf):
-    return E.count_bootstrap_interval(cells(spark, sf), ["domain"])
-
-
-@query(
-    "bootstrap_ci_rows",
-    f"""WITH {CELLS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY
+_ROWS_SQL = f"""WITH {CELLS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY
        list_position(['Low','Some concerns','High'], gold), list_position(['Low','Some concerns','High'], pred), doc_id)-1 AS pos,
        count(*) OVER (PARTITION BY domain) AS n FROM clean),
      draws AS (SELECT domain, i AS iter, ('0x'||substr(md5(i||'|'||doc_id),1,8))::BIGINT % n AS pos
        FROM numbered CROSS JOIN range(200) r(i)),
      sampled AS (SELECT d.domain, d.iter, x.gold, x.pred, 1 AS w FROM draws d JOIN numbered x USING (domain, pos)),
-     {_SCORED} {_INTERVAL}""",
-)
-def bootstrap_ci_rows(spark, sf):
-    """The same interval from drawing every cell."""
+     {_SCORED} {_INTERVAL}"""
+
+
+@query("bootstrap_ci", _ROWS_SQL)
+def bootstrap_ci(spark, sf):
+    """Interval from drawing every cell."""
     return E.bootstrap_interval(cells(spark, sf), ["domain"], "doc_id")
 
 
+@query("bootstrap_ci_rows", _ROWS_SQL)
+def bootstrap_ci_rows(spark, sf):
+    return bootstrap_ci(spark, sf)
+
+
+@query("bootstrap_ci_counts", f"WITH {CELLS}, {_count_draws_sql(C.BOOTSTRAP_ITERATIONS)}, {_SCORED} {_INTERVAL}")
+def bootstrap_ci_counts(spark, sf):
+    """An interval of the same distribution, from label counts split by binomial quantiles."""
+    return E.count_bootstrap_interval(cells(spark, sf), ["domain"])
+
+
 @query(
     "cluster_bootstrap",
     f"""WITH {CELLS}, sampled AS (SELECT domain, i AS iter, gold, pred,
