@@ -228,3 +228,20 @@ def test_rows_to_markdown_and_label_tests(spark):
     assert df.select(T.rows_to_markdown(F.col("r"))).first()[0] == "|a|b\\|c|\n|---|---|\n|d||"
     tags = spark.createDataFrame([("Committee", "x")], "l string, t string").select(T.domain_tags(F.col("l"), F.col("t"))).first()[0]
     assert tags == ["D2"]  # "itt" is a substring test
+
+
+def test_best_source_of_several(spark):
+    from trialsift.operators import quotes as Q
+
+    text = "patients were randomised by a central computer in blocks of four"
+    texts = [(1, 0, "paper", "nothing of the kind"), (1, 1, "registry", text[:-9] + " of five sites"), (1, 2, "supplement", text), (1, 3, "copy", text),
+             (2, 0, "paper", text[:20] + text[24:]), (2, 1, "registry", text[:30] + text[31:]), (3, 0, "paper", "")]
+    sources = spark.createDataFrame(texts, "doc_id long, priority int, source_document string, norm_text string")
+    quotes = spark.createDataFrame([(1, 0, text), (2, 0, text), (2, 1, ""), (3, 0, text)], "doc_id long, answer_id int, norm_quote string")
+    all_scores = Q.verify(quotes, sources.where("norm_text <> ''"), 0.0).collect()
+    best = {(r.doc_id, r.answer_id): r for r in Q.describe(quotes, sources, 50.0).collect()}
+    for at, r in best.items():
+        mine = [(-x.score, x.priority, x.source_document) for x in all_scores if (x.doc_id, x.answer_id) == at and x.norm_quote]
+        assert r.match_score == (-min(mine)[0] if mine else 0.0) and r.matched_source_document == (min(mine)[2] if mine else None)
+    kept = Q.verify(quotes, sources.where("norm_text <> ''"), 0.0, best_only=True).where("doc_id = 1")
+    assert {r.source_document for r in kept.collect()} == {"supplement", "copy"}

@@ -94,3 +94,18 @@ def test_quote_folding_paths_agree(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", normalize_quote(F.col("t")).alias("n")).orderBy("i").collect()
     assert [r.n for r in rows] == [fold_quote(t) for t in texts]
+
+
+def test_no_window_is_scored_that_cannot_beat_the_best(monkeypatch):
+    from trialsift.functions import similarity
+
+    scored = []
+    whole = similarity._window_lcs
+    monkeypatch.setattr(similarity, "_window_lcs", lambda m, masks, codes, starts: scored.append(len(starts)) or whole(m, masks, codes, starts))
+    rng = random.Random(11)
+    hay = "".join(rng.choice("abcdefghij klmno") for _ in range(4000))
+    base = hay[2000:2070]
+    damaged = "".join(base[i : i + 12] for i in range(0, 70, 13))
+    assert partial_ratio(damaged, hay) == pytest.approx(every_window(damaged, hay))
+    assert sum(scored) < 200
+    assert partial_ratio("x\U0001F600é" * 9, "é\U0001F600x" * 40) == pytest.approx(every_window("x\U0001F600é" * 9, "é\U0001F600x" * 40))

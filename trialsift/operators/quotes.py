@@ -44,7 +44,7 @@ def _needs_fuzzy(quote: Column, text: Column) -> Column:
     return ~_certain(quote, text) & (F.length(quote) >= C.QUOTE_MIN_VERIFY_CHARS)
 
 
-def _scored(rows: DataFrame, quote: str, text: str, out: str, cutoff: float) -> DataFrame:
+def _scored(rows: DataFrame, quote: str, text: str, out: str, cutoff: float | Column) -> DataFrame:
     """Add the verification score; the UDF sees only rows the exact test leaves open."""
     q, t = F.col(quote), F.col(text)
     usable = (q != "") & (t != "")
@@ -67,12 +67,27 @@ def normalize_sources(sources: DataFrame) -> DataFrame:
     return sources.withColumn("norm_text", normalize_quote(F.coalesce("text", F.lit("")))).drop("text")
 
 
-def verify(answers: DataFrame, sources: DataFrame, cutoff: float = C.QUOTE_VERIFY_THRESHOLD) -> DataFrame:
-    """One scored row per (answer, source); a document has a handful of sources."""
+def verify(
+    answers: DataFrame, sources: DataFrame, cutoff: float = C.QUOTE_VERIFY_THRESHOLD, best_only: bool = False
+) -> DataFrame:
+    """One scored row per (answer, source); a document has a handful of sources.
+
+    With `best_only` an answer's best score and the sources that reach it are exact, other scores may be
+    missing: no score passes that of an exact source, and later sources only matter from the paper's score on.
+    """
     joined = hot_key_join(
         answers.select(*ANSWER, "norm_quote"), sources, ["doc_id"], "inner"
     )
-    return _scored(joined, "norm_quote", "norm_text", "score", cutoff).drop("norm_text")
+    if not best_only:
+        return _scored(joined, "norm_quote", "norm_text", "score", cutoff).drop("norm_text")
+    q, t = F.col("norm_quote"), F.col("norm_text")
+    certain = materialize(joined.where((q != "") & (t != "") & _certain(q, t)).withColumn("score", F.lit(100.0)).drop("norm_text"))
+    rest = joined.join(certain.select(*ANSWER).distinct(), ANSWER, "left_anti")
+    paper = materialize(_scored(rest.where("priority = 0"), "norm_quote", "norm_text", "score", cutoff).drop("norm_text"))
+    floor = paper.groupBy(*ANSWER).agg(F.max("score").alias("_floor"))
+    later = rest.where("priority <> 0").join(floor, ANSWER, "left")
+    reached = _scored(later, "norm_quote", "norm_text", "score", F.greatest(F.lit(cutoff), F.coalesce("_floor", F.lit(0.0))))
+    return certain.unionByName(paper).unionByName(reached.drop("norm_text", "_floor"))
 
 
 def exact_matches(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -208,7 +223,7 @@ def describe(answers: DataFrame, sources: DataFrame, threshold: float = C.QUOTE_
 
     Sources without text are no candidates; an answer that has no others fails for that reason.
     """
-    scored = verify(answers, sources.where("norm_text <> ''"), cutoff=0.0)
+    scored = verify(answers, sources.where("norm_text <> ''"), cutoff=0.0, best_only=True)
     best = scored.groupBy(*ANSWER).agg(
         F.max("score").alias("match_score"),
         F.min_by("source_document", F.struct(-F.col("score"), F.col("priority"))).alias("best_source"),
