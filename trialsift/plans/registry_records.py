@@ -219,9 +219,8 @@ def answer_alias_folding(spark, sf):
         """IF(turn % 2 = 0, to_json(named_struct('answer', 'PY', 'quoted_text', text, 'reasoning', array(role, ' ', 'stated'))),
              to_json(named_struct('answer', 'N', 'quote', concat('[', conv_id, '] ', text), 'rationale', role))) AS body""",
     )
-    folded = P.fold_answer(F.col("body"))
-    return bodies.select(
-        "conv_id", "turn", folded["answer"].alias("answer"), F.md5(folded["quote"]).alias("quote_md5"), folded["justification"].alias("justification")
+    return bodies.select("conv_id", "turn", P.folded_answer(F.col("body")).alias("a")).select(
+        "conv_id", "turn", "a.answer", F.md5("a.quote").alias("quote_md5"), "a.justification"
     )
 
 
@@ -239,17 +238,16 @@ def metadata_alias_folding(spark, sf):
              to_json(named_struct('title', o_orderpriority, 'intervention', array('drug', concat(o_custkey, ' ')), 'all_outcomes', IF(o_orderkey % 3 = 0, array(o_orderstatus, 'second'), array(o_orderstatus)),
                'blinding', 'open_label', 'nct_number', concat('NCT', lpad(o_custkey, 8, '0')), 'study_design', 'parallel_rct'))) AS body""",
     )
-    m = P.fold_metadata(F.col("body"))
     from trialsift.functions import text as T
 
-    return bodies.select(
+    return bodies.select("o_orderkey", P.folded_metadata(F.col("body")).alias("m")).select(
         "o_orderkey",
-        m["title"].alias("title"),
-        m["intervention"].alias("intervention"),
-        F.array_join(m["all_outcomes"], "|").alias("all_outcomes"),
-        m["blinding"].alias("blinding"),
-        T.extract_nct(m["nct_number"]).alias("nct_number"),
-        m["study_design"].alias("study_design"),
+        "m.title",
+        "m.intervention",
+        F.array_join("m.all_outcomes", "|").alias("all_outcomes"),
+        "m.blinding",
+        T.extract_nct(F.col("m.nct_number")).alias("nct_number"),
+        "m.study_design",
     )
 
 
