@@ -443,7 +443,15 @@ def annotation_choice(segments: DataFrame) -> DataFrame:
 
 def apply_annotations(chosen: DataFrame, annotations: DataFrame) -> DataFrame:
     """Join annotation results (doc_id, segment_id, annotation, annotation_error) and set the status."""
-    joined = chosen.join(annotations, ["doc_id", "segment_id"], "left")
+    # by document, as the segments were ranked: their texts stay where they are
+    result = F.struct("segment_id", "annotation", "annotation_error")
+    of_document = annotations.groupBy("doc_id").agg(F.collect_list(result).alias("_results"))
+    own = F.filter("_results", lambda r: r["segment_id"] == F.col("segment_id"))
+    joined = (
+        chosen.join(of_document, "doc_id", "left")
+        .withColumn("_own", F.explode_outer(own))
+        .select(*chosen.columns, "_own.annotation", "_own.annotation_error")
+    )
     text = F.trim("annotation")
     failed = F.col("annotation_error").isNotNull()
     empty = (F.coalesce(text, F.lit("")) == "") | (text == C.NO_RISK_ANNOTATION)
