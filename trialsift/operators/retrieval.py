@@ -20,6 +20,8 @@ from trialsift.operators.skew import exact_rank, hot_key_join, top_per_group
 from trialsift.session import materialize
 
 SEG_KEY = ["doc_id", "seg_ord"]
+#: Trials whose statistics (at most one entry per vocabulary term each) are sent to every task; more are joined by a shuffle.
+BROADCAST_TRIALS = 10_000
 
 
 def query_tokens(domain: str) -> dict[str, int]:
@@ -89,32 +91,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
 
 
+def document_cosines(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """dense_of: cosine with each domain's query vector, by domain, once a row of `vectors` (doc_id, vec); null without a vector.
+
+    A document's segments share its vector: they carry these few numbers through joins instead.
+    """
+    asked = query_vectors.where("domain IS NOT NULL").agg(F.collect_list(F.struct("domain", "query_vec")).alias("_asked"))
+    scores = F.transform("_asked", lambda q: F.struct(q["domain"], cosine(q["query_vec"], F.col("vec"))))
+    # five query vectors
+    return vectors.crossJoin(F.broadcast(asked)).select(
+        "doc_id", F.when(F.col("vec").isNotNull(), F.map_from_entries(scores)).alias("dense_of")
+    )
+
+
 def candidates(
     segments: DataFrame, text: str, query_vectors: DataFrame | None = None, domains=C.DOMAINS
 ) -> DataFrame:
     """Candidate rows per (trial, domain) with bm25 and dense scores.
 
-    segments: trial_id, doc_id, seg_ord, domain_tags, optional vec, and `text` or what `term_counts` makes of it.
+    segments: trial_id, doc_id, seg_ord, domain_tags, optional vec or what `document_cosines` makes of it, and `text`
+    or what `term_counts` makes of it.
     A domain's candidates are its tagged segments, or all of the trial's when
     fewer than two are tagged.
     """
     vocab = vocabulary(domains)
-    keep = ["trial_id", *SEG_KEY, "domain_tags"] + (["vec"] if query_vectors is not None else [])
+    dense = [] if query_vectors is None else ["dense_of" if "dense_of" in segments.columns else "vec"]
+    keep = ["trial_id", *SEG_KEY, "domain_tags", *dense]
     if "tf" in segments.columns:
         counted = segments.select(*keep, "doc_len", "tf")
     else:
         counted = term_counts(segments.select(*keep, text), text, vocab).drop(text)
-    scored = hot_key_join(counted, index_statistics(counted, domains), ["trial_id"], "inner")
+    statistics = materialize(index_statistics(counted, domains))
+    if statistics.count() <= BROADCAST_TRIALS:
+        scored = counted.join(F.broadcast(statistics), "trial_id")
+    else:
+        scored = hot_key_join(counted, statistics, ["trial_id"], "inner")
     per_domain = ", ".join(
         f"struct('{d}' AS domain, array_contains(domain_tags, '{d}') AS tagged, n_{d} AS n_tagged, "
         f"{_bm25_sql(query_tokens(d))} AS bm25)"
         for d in domains
     )
     rows = scored.select(
-        "trial_id", *SEG_KEY, *(["vec"] if query_vectors is not None else []), F.expr(f"inline(array({per_domain}))")
+        "trial_id", *SEG_KEY, *dense, F.expr(f"inline(array({per_domain}))")
     ).where("tagged OR n_tagged < 2")
     if query_vectors is None:
         return rows.withColumn("dense", F.lit(None).cast("double")).drop("tagged", "n_tagged")
+    if dense == ["dense_of"]:
+        known = rows.join(F.broadcast(query_vectors.select("domain")), "domain")
+        return known.withColumn("dense", F.col("dense_of")[F.col("domain")]).drop("dense_of", "tagged", "n_tagged")
     # five query vectors
     joined = rows.join(F.broadcast(query_vectors.select("domain", "query_vec")), "domain")
     return joined.withColumn(
