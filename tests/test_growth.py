@@ -7,8 +7,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trialsift.functions import payload as P
+from trialsift.operators import context as X
 from trialsift.operators import retrieval as R
 from trialsift.operators import structure as S
+from trialsift.plans import context as PC
 from trialsift.plans import decisions as PD
 from trialsift.plans import quotes as PQ
 from trialsift.plans import retrieval as PR
@@ -118,3 +120,46 @@ def test_few_and_many_trials_score_alike(spark, segments, monkeypatch):
 def test_index_terms_hold_no_vectors(spark):
     terms = PR.index_terms(spark, SF)
     assert "dense_of" in terms.columns and not {"vec", "body", "raw_text"} & set(terms.columns)
+
+
+def test_trims_make_their_texts_once(spark):
+    # a cap each for the domain text, with its extra, and for the report
+    assert _plan(PC.context_trims(spark, SF)).count("regexp_replace(") <= 4
+
+
+def test_prompts_do_not_deal_texts_by_question(spark):
+    keys = ["doc_id"]
+    asked = spark.createDataFrame(
+        [(1, "both", "1.1"), (1, "both", "1.1"), (1, "adhering", "2.3"), (2, "both", "1.1"), (3, "both", "9.1")],
+        "doc_id long, effect string, sq_id string",
+    )
+    texts = spark.createDataFrame(
+        [(1, "D1", " a ", "s", "p"), (1, "D2", "b", None, "p"), (2, "D2", "c", None, "q"), (None, "D1", "d", None, "r")],
+        "doc_id long, domain string, domain_specific_text string, supplement_block string, shared_prefix string",
+    )
+    wording = [("1.1", "both", "Q1", "A1"), ("2.3", "both", "Q2", "A2"), ("2.3", "adhering", "Q2x", "A2x")]
+    templates = spark.createDataFrame(wording, "sq_id string, effect string, question_text string, answer_definitions string")
+    found = X.sq_prompts(asked, texts, templates, keys)
+    assert "hashpartitioning(doc_id" not in re.sub(r"hashpartitioning\(doc_id#\d+L, \d+\)", "", _plan(found.hint("merge"), "executedPlan"))
+    got = sorted((r.doc_id, r.sq_id, r.call_label, r.prefix_text, r.suffix_text) for r in found.collect())
+    head = "[Domain source text]\n{}\n\n[Supplement source text]\n{}\n\n[Signaling question]\n{}\n\n[Answer definitions]\n{}"
+    first = (1, "1.1", "1.1|both", "[Static trial prefix]\np", head.format("a", "s", "Q1", "A1"))
+    assert got == [first, first, (1, "2.3", "2.3|adhering", "[Static trial prefix]\np", head.format("b", "", "Q2x", "A2x"))]
+
+
+def test_window_texts_are_measured_once(spark):
+    pages = spark.createDataFrame([(1, 0, "ab"), (1, 1, "# Note\nc"), (1, 2, "")], "doc_id long, page int, text string")
+    windows = S.supplement_windows(pages)
+    assert _plan(windows.select("page_starts")).count("length(") == 1
+    assert windows.first().page_starts == [0, 3, 12]
+
+
+def test_lines_are_headings_whatever_stands_around_them(spark):
+    label = "METHODS"
+    lines = ["## Methods", "  #Methods:", "\u2003**methods**\u00a0", "#######  METHODS ...", "methods of old", "\u00df" * 9, "x" * 500, "", "# #"]
+    pages = spark.createDataFrame([(1, 0, "\n".join(lines))], "doc_id long, page int, text string")
+    heads = S.paper_headings(S.page_offsets(pages))
+    assert "regexp_replace" not in _plan(heads)
+    found = sorted((r.offset, r.label) for r in heads.collect())
+    starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(4)]
+    assert found == [(o, label) for o in starts]
