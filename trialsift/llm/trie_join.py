@@ -55,7 +55,7 @@ NGRAM = 5
 #: Jaccard threshold in hundredths.
 PERCENT = 80
 #: Bytes of text a task gathers before it sends its packed shingles.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 #: Shingles that meet in a bucket, about.
 PER_BUCKET = 1_000_000
 #: Class ids that are broadcast at most (8 bytes each).
@@ -105,6 +105,7 @@ def set_classes(docs: DataFrame, ngram: int = NGRAM, also: tuple[str, ...] = ())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(n), pa.array(prints, mask=n == 0)], names=[*kept, "n_shingles", "class"]
             )
+        release_memory()
 
     return docs.select(*[F.col(c).cast("long") for c in kept], F.col("text").cast("string")).mapInArrow(
         read, "".join(f"{c} long, " for c in kept) + "n_shingles long, class long"
@@ -158,7 +159,7 @@ def _known_bits(buckets: int) -> np.uint64:
 def _flush(sets: list[np.ndarray], prints: list[int], buckets: int, shares: int):
     """Rows of one flush: shingles seen once here go to their bucket, the others are known to be shared."""
     grams = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     new = np.empty(len(ordered), dtype=bool)
@@ -168,6 +169,8 @@ def _flush(sets: list[np.ndarray], prints: list[int], buckets: int, shares: int)
     times = np.diff(np.append(begin, len(ordered)))
     repeated = np.empty(len(grams), dtype=bool)
     repeated[order] = np.repeat(times > 1, times)
+    w_grams = ordered[begin[times > 1]]
+    del order, ordered, new, begin, times
     ids = np.array(prints, dtype=np.int64)
     # singles, by bucket and then by set
     s_grams, s_owner = grams[~repeated], owner[~repeated]
@@ -178,8 +181,8 @@ def _flush(sets: list[np.ndarray], prints: list[int], buckets: int, shares: int)
         pick = order[cuts[b] : cuts[b + 1]]
         who, counts = np.unique(s_owner[pick], return_counts=True)
         yield "single", int(b), _pack_single(ids[who], counts, s_grams[pick])
+    del s_grams, s_owner
     # one witness for each shingle of several sets
-    w_grams = ordered[begin[times > 1]]
     bucket = _bucket_of(w_grams, buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -268,6 +271,8 @@ def shared_parts(docs: DataFrame, shingles: int, ngram: int = NGRAM, percent: in
             part, n = _distinct(grams[a:b]), n_of[int(ids[a])]
             if len(part) * 100 >= percent * n:
                 rows.append((int(ids[a]), n, part.tobytes()))
+        del parts, ids, grams, order
+        release_memory()
         return pd.DataFrame(rows, columns=["class", "n", "grams"])
 
     sent = docs.select(F.col("text").cast("string")).mapInArrow(send, "kind string, key long, payload binary")
@@ -408,6 +413,8 @@ def first_links(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
                 run.append(item)
         if len(run) > 1 and (links := block_links(*map(list, zip(*run)), percent)):
             yield _links_batch(links)
+        run.clear()
+        release_memory()
 
     tasks = max(2, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = parts.withColumn("start", F.substring("grams", 1, 8))
@@ -438,6 +445,7 @@ def prefix_grams(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
                     ],
                     names=["gram", "class", "n", "r", "place"],
                 )
+        release_memory()
 
     return parts.mapInArrow(cut, "gram long, class long, n int, r int, place int")
 
@@ -465,6 +473,8 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
                 block.append((b, n_b, np.frombuffer(g_b, dtype=np.uint64)))
         if block and (links := done()):
             yield _links_batch(links)
+        block.clear()
+        release_memory()
 
     one = parts.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
     two = parts.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
@@ -523,6 +533,8 @@ def component_links(probes: DataFrame, members: DataFrame, percent: int = PERCEN
                 links += [(c, block[j][0]) for j in [next(found, None)] if j is not None]
             if links:
                 yield _links_batch(links)
+        block, tree = [], None
+        release_memory()
 
     rows = members.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
     return rows.repartition("root", "block").sortWithinPartitions("root", "block", "probe").mapInArrow(walk, "a long, b long")
@@ -618,6 +630,8 @@ def partner_counts(parts: DataFrame, roots: DataFrame, copies: DataFrame, percen
             if out:
                 classes, linked = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(linked, pa.int64())], names=["class", "linked"])
+        block, tree = [], None
+        release_memory()
 
     inside = stored(roots.withColumnRenamed("node", "class").join(copies, "class"), "component-classes")
     sizes = inside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trialsift.llm.common import release_memory, table
+from trialsift.llm.common import in_parts, release_memory, table
 
 DOCS_PER_LANGUAGE = 400
 EXCERPT = 400
@@ -88,7 +88,7 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN)
 
     def guess(batches):
         coders = [_coder(learned[name]) for name in names]
-        for batch in batches:
+        for batch in in_parts(batches):
             langs, scores, out = [], [], []
             for text in batch.column("text").to_pylist():
                 if not names or text is None or not _LETTER.search(text):
