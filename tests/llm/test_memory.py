@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from trialsift.llm.common import in_parts, text_slices
+from trialsift.llm.dic_phrases import _added_up, _Tally
 
 
 @pytest.mark.parametrize("kind", [pa.string(), pa.binary(), pa.large_string(), pa.large_binary()])
@@ -30,3 +31,21 @@ def test_batches_in_parts():
     parts = list(in_parts([whole, whole.slice(0, 0), whole.slice(3, 4)], 10))
     assert [p.num_rows for p in parts] == [10, 10, 5, 4]
     assert [x for p in parts for x in p.column("x").to_pylist()] == [*range(25), 3, 4, 5, 6]
+
+
+def test_counts_travel_in_packs():
+    """A row holds many phrases; the packs of a bucket add up to the whole counts."""
+    n, rows = 5000, []
+    phrases = pa.array([b"a%d b " % i for i in range(n)], pa.large_binary())
+    hashes = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for _ in range(2):
+        tally = _Tally(10, 16)
+        tally.add("en", 2, phrases, np.arange(n) % 12, np.ones(n, dtype=np.int8), hashes)
+        rows += [r for batch in tally.flush() for r in batch.to_pylist()]
+    assert len(rows) == 2 * 16
+    found = {}
+    for bucket in range(16):
+        texts, counts = _added_up([r["pack"] for r in rows if r["bucket"] == bucket])
+        found.update(zip(texts.to_pylist(), counts.tolist()))
+    assert found == {b"a%d b " % i: 2 * (i % 12) for i in range(n) if i % 12}
+    assert {x for r in rows for x in r["often"]} == {f"a{i} b" for i in range(n) if i % 12 >= 10}

@@ -6,9 +6,9 @@ that in which both its subphrases (without its last, without its first word) rea
 and it is counted for one full cycle, wherever that begins; so phrases of all
 lengths are counted in the same scans.  The scans end when no phrase is active.
 
-* A scan's counts are added up inside each task and written.  When a cycle ends, the scans' counts of the
-  phrases that began with it are added up, each row in one exchange by (lang, phrase), and those below
-  LEAST are left behind.
+* A scan's counts are added up inside each task and written in packs: a row holds the phrases of one lang, length,
+  beginning and bucket (of the phrase's hash).  When a cycle ends, the scans' packs that began with it meet by bucket
+  in one exchange and are added up, and phrases below LEAST are left behind.
 * A phrase opens longer ones as soon as one task alone has counted it LEAST times in a scan, else when
   its cycle ends with LEAST in all; so what is common is followed up at once, and nothing is missed.
 * Tasks learn which phrases have opened, and when, from a filter of SLOTS places (a
@@ -25,13 +25,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import release_memory, scratch_path, stored, table
+from trialsift.llm.common import buckets_for, mix64, release_memory, scratch_path, stored, table
 
 SHARDS = 3
 LEAST = 10
@@ -48,7 +49,12 @@ PARTS = 64
 
 NEVER = 255
 _SEED = 42
-_COUNTED = "lang string, phrase string, words tinyint, since tinyint, f long"
+#: total: of the pack's counts; often: its phrases that this task alone has counted often enough
+_COUNTED = "lang string, words tinyint, since tinyint, bucket int, total long, often array<string>, pack binary"
+_FOUND = "lang string, phrase string, words tinyint, f long"
+#: Distinct phrases of a task, about, that meet in a bucket; a corpus has one for each BYTES_EACH bytes at most, about.
+PER_BUCKET = 1_000_000
+BYTES_EACH = 12
 
 _GAP, _BREAK = 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -180,34 +186,76 @@ def _spans(cut: _Cut, k: int, wanted: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield firsts[keep], runs.filter(pa.array(keep))
 
 
+def _packed(phrases: pa.Array, counts: np.ndarray) -> bytes:
+    """Phrases (large_binary) with their counts."""
+    _, edges, raw = phrases.buffers()
+    n = len(phrases)
+    edges = np.frombuffer(edges, dtype=np.int64)[phrases.offset : phrases.offset + n + 1]
+    sizes = np.diff(edges).astype(np.int32)
+    return b"".join((n.to_bytes(8, "little"), counts.tobytes(), sizes.tobytes(), memoryview(raw)[edges[0] : edges[-1]]))
+
+
+def _added_up(packs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct phrases of all packs and the sums of their counts."""
+    counts, sizes, texts = [], [], []
+    for raw in packs:
+        n = int.from_bytes(raw[:8], "little")
+        counts.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=8))
+        sizes.append(np.frombuffer(raw, dtype=np.int32, count=n, offset=8 + 8 * n))
+        texts.append(memoryview(raw)[8 + 12 * n :])
+    edges = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    buffers = [None, pa.py_buffer(edges), pa.py_buffer(b"".join(texts))]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, buffers).dictionary_encode()
+    at, n = coded.indices.to_numpy(), len(coded.dictionary)
+    return coded.dictionary, np.bincount(at, weights=np.concatenate(counts), minlength=n).astype(np.int64)
+
+
+def _texts(phrases: pa.Array) -> pa.Array:
+    """Phrases without the space at their end."""
+    return pc.binary_slice(phrases.cast(pa.binary()), 0, -1).cast(pa.string())
+
+
 class _Tally:
     """Counts of a task until they are passed on."""
 
-    def __init__(self):
-        self.parts: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
+    def __init__(self, least: int, buckets: int):
+        self.least, self.buckets = least, buckets
+        self.parts: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]] = {}
         self.size = 0
 
-    def add(self, lang: str, k: int, phrases: pa.Array, counts: np.ndarray, since: np.ndarray) -> None:
+    def add(self, lang: str, k: int, phrases: pa.Array, counts: np.ndarray, since: np.ndarray, hashes: np.ndarray) -> None:
         """Distinct phrases with their counts; those of 0 are left out."""
         some = counts > 0
         if not some.all():
-            phrases, counts, since = phrases.filter(pa.array(some)), counts[some], since[some]
-        self.parts.setdefault((lang, k), []).append((phrases, counts, since))
+            phrases, counts, since, hashes = phrases.filter(pa.array(some)), counts[some], since[some], hashes[some]
+        self.parts.setdefault((lang, k), []).append((phrases, counts, since, hashes))
         self.size += len(counts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for (lang, k), parts in self.parts.items():
-            coded = pa.concat_arrays([p for p, _, _ in parts]).dictionary_encode()
+            coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
             at, n = coded.indices.to_numpy(), len(coded.dictionary)
-            counts = np.bincount(at, weights=np.concatenate([c for _, c, _ in parts]), minlength=n).astype(np.int64)
-            since = np.zeros(n, dtype=np.int8)
-            since[at] = np.concatenate([s for _, _, s in parts])  # the same wherever the phrase was met
-            for i in range(0, n, 50_000):
-                phrase = pc.binary_slice(coded.dictionary[i : i + 50_000].cast(pa.binary()), 0, -1).cast(pa.string())
-                m = len(phrase)
-                columns = [pa.repeat(lang, m), phrase, pa.repeat(pa.scalar(k, pa.int8()), m)]
-                columns += [pa.array(since[i : i + m]), pa.array(counts[i : i + m])]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "since", "f"])
+            if not n:
+                continue
+            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=n).astype(np.int64)
+            # a phrase's beginning and hash are the same wherever it was met
+            since, hashes = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
+            since[at] = np.concatenate([p[2] for p in parts])
+            hashes[at] = np.concatenate([p[3] for p in parts])
+            key = since * self.buckets + (mix64(hashes) >> np.uint64(40)).astype(np.int64) % self.buckets
+            order = np.argsort(key, kind="stable")
+            key, counts, phrases = key[order], counts[order], coded.dictionary.take(pa.array(order))
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n)
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                often = []
+                if k < LONGEST and (many := counts[a:b] >= self.least).any():
+                    often = _texts(phrases[a:b].filter(pa.array(many))).to_pylist()
+                begun, bucket = divmod(int(key[a]), self.buckets)
+                rows.append((lang, k, begun, bucket, int(counts[a:b].sum()), often, _packed(phrases[a:b], counts[a:b])))
+            types = (pa.string(), pa.int8(), pa.int8(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary())
+            names = ["lang", "words", "since", "bucket", "total", "often", "pack"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
         self.parts, self.size = {}, 0
 
 
@@ -218,13 +266,13 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
         return
     coded = next(_spans(cut, 1, np.ones(n, dtype=bool)))[1].dictionary_encode()
     at, words = coded.indices.to_numpy(), coded.dictionary
+    own = reached.hashes([p[:-1] for p in words.to_pylist()])
     if step < shards:
         counts = np.bincount(at[seen:], minlength=len(words))
-        tally.add(lang, 1, words, counts, np.zeros(len(words), dtype=np.int8))
+        tally.add(lang, 1, words, counts, np.zeros(len(words), dtype=np.int8), own)
     if not step:
         return
     # since[i]: the step from which the run of k - 1 words at i is frequent; hashes[i]: its hash
-    own = reached.hashes([p[:-1] for p in words.to_pylist()])
     since, own = reached(own)[at], own[at]
     hashes = own
     joined = ~cut.new
@@ -253,16 +301,18 @@ def _count(cut: _Cut, seen: int, lang: str, reached: Reached, step: int, shards:
                 at, phrases = coded.indices.to_numpy(), coded.dictionary
                 begun = np.zeros(len(phrases), dtype=np.int8)
                 begun[at] = active[firsts]
-                tally.add(lang, k, phrases, np.bincount(at, minlength=len(phrases)), begun)
+                marks = np.zeros(len(phrases), dtype=np.uint64)
+                marks[at] = hashes[firsts]
+                tally.add(lang, k, phrases, np.bincount(at, minlength=len(phrases)), begun, marks)
         since = later
 
 
-def _scan(shard: DataFrame, sent, step: int, shards: int) -> DataFrame:
-    """(lang, phrase, words, since, f) of one shard; a phrase in several rows, one a task at least."""
+def _scan(shard: DataFrame, sent, step: int, shards: int, least: int, buckets: int) -> DataFrame:
+    """Packs of one shard's counts; a phrase is in several, one a task at least."""
 
     def scan(batches):
         steps = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint8)
-        tally = _Tally()
+        tally = _Tally(least, buckets)
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in sorted(set(langs)):
@@ -279,6 +329,24 @@ def _scan(shard: DataFrame, sent, step: int, shards: int) -> DataFrame:
     return shard.mapInArrow(scan, _COUNTED)
 
 
+def _whole(packs: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases whose counts in all packs come to `least`."""
+
+    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
+        phrases, f = _added_up(frame["pack"].tolist())
+        keep = f >= least
+        found = _texts(phrases.filter(pa.array(keep))).to_pylist()
+        names = [frame["lang"].iloc[0]] * len(found)
+        out = pd.DataFrame({"lang": pd.Series(names, dtype=object), "phrase": pd.Series(found, dtype=object)})
+        out["words"], out["f"] = frame["words"].iloc[0], f[keep]
+        if len(f) > 100_000:
+            del phrases, f, keep, found, names
+            release_memory()
+        return out
+
+    return packs.groupBy("lang", "words", "bucket").applyInPandas(add_up, _FOUND)
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of phrases of up to LONGEST words with f >= least, and (lang, n): all words.
 
@@ -288,7 +356,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     path = scratch_path(spark, "llm-dic-shards")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     dealt = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int")
-    docs.where(F.length("text") > 0).select(lang.alias("lang"), "text", dealt.alias("shard")).write.partitionBy("shard").parquet(path)
+    size = Observation()
+    texts = docs.where(F.length("text") > 0).select(lang.alias("lang"), "text", dealt.alias("shard"))
+    texts.observe(size, F.sum(F.octet_length("text")).alias("bytes")).write.partitionBy("shard").parquet(path)
+    buckets = buckets_for((size.get["bytes"] or 0) // BYTES_EACH, PER_BUCKET, least=16)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(path)
     steps = np.full(slots, NEVER, dtype=np.uint8)
     scans: list[DataFrame] = []
@@ -296,17 +367,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     step, last = 0, shards  # scans are needed while a phrase may be active
     while step < last:
         sent = spark.sparkContext.broadcast(zlib.compress(steps.tobytes(), 1))
-        scans.append(stored(_scan(corpus.where(F.col("shard") == step % shards).drop("shard"), sent, step, shards), f"dic-scan-{step}"))
+        scans.append(stored(_scan(corpus.where(F.col("shard") == step % shards).drop("shard"), sent, step, shards, least, buckets), f"dic-scan-{step}"))
         sent.destroy()  # the step is written
         # what one task alone has met often enough
-        fresh = scans[-1].where((F.col("f") >= least) & (F.col("words") < LONGEST)).select("lang", "phrase")
+        fresh = scans[-1].where(F.size("often") > 0).select("lang", F.explode("often").alias("phrase"))
         begun = step + 1 - shards
         if begun >= 0:  # the cycle of what became active in that step ends
             cycle = scans[begun]
             for s in scans[begun + 1 :]:
                 cycle = cycle.unionByName(s)
-            whole = cycle.where(F.col("since") == begun).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-            done.append(stored(whole.where(F.col("f") >= least), f"dic-cycle-{begun}"))
+            cycle = cycle.where(F.col("since") == begun).select("lang", "words", "bucket", "pack")
+            done.append(stored(_whole(cycle, least), f"dic-cycle-{begun}"))
             fresh = fresh.unionByName(done[-1].where(F.col("words") < LONGEST).select("lang", "phrase"))
         bits = _bits(fresh, slots)
         if bits:
@@ -322,7 +393,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     words = scans[0]
     for s in scans[1:shards]:
         words = words.unionByName(s)
-    totals = words.where(F.col("words") == 1).groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = words.where(F.col("words") == 1).groupBy("lang").agg(F.sum("total").alias("n"))
     return stored(found, "dic-frequent"), stored(totals, "dic-totals")
 
 
