@@ -245,3 +245,21 @@ def test_best_source_of_several(spark):
         assert r.match_score == (-min(mine)[0] if mine else 0.0) and r.matched_source_document == (min(mine)[2] if mine else None)
     kept = Q.verify(quotes, sources.where("norm_text <> ''"), 0.0, best_only=True).where("doc_id = 1")
     assert {r.source_document for r in kept.collect()} == {"supplement", "copy"}
+
+
+def test_a_text_is_dealt_once_whatever_is_quoted_from_it(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    rows = [("d", 0, "paper", text, True, None), ("d", 1, "registry", text[:40], False, None), ("e", 0, "paper", "other words", True, None)]
+    sources = Q.normalize_sources(spark.createDataFrame(rows, SOURCE))
+    pages = Q.normalized_pages(spark.createDataFrame([("d", 0, text[:900]), ("d", 1, text[900:]), ("e", 0, "other words")], PAGE))
+    given = [("d", i, text[i * 10 : i * 10 + 50].replace("word1", "wrd1")) for i in range(100)] + [("d", 100, text[:30]), ("e", 0, "other words"), (None, 7, "x")]
+    quotes = Q.normalize_answers(spark.createDataFrame(given, "doc_id string, answer_id int, quote string"))
+    # rows and the texts beside them: one exchange a table, none of a quote beside a text
+    for df in (Q.describe(quotes, sources), Q.resolve(quotes, sources, pages), Q.first_verifying_source(quotes, sources)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "xxhash64(norm_text" not in plan and "MapInArrow" in plan
+    told = {(r.doc_id, r.answer_id): r for r in Q.resolve(quotes, sources, pages).collect()}
+    assert len(told) == 103 and all(r.quote_found for k, r in told.items() if k[0] == "d")
+    assert told["e", 0].page == 0 and told["d", 60].page == 0 and told["d", 95].page == 1 and not told[None, 7].quote_found
+    single = {(r.doc_id, r.answer_id): r for r in Q.first_verifying_source(quotes, sources).collect()}
+    assert {k: r.source_document for k, r in single.items()} == {k: r.source_document for k, r in told.items() if r.quote_found}

@@ -109,3 +109,27 @@ def test_no_window_is_scored_that_cannot_beat_the_best(monkeypatch):
     assert partial_ratio(damaged, hay) == pytest.approx(every_window(damaged, hay))
     assert sum(scored) < 200
     assert partial_ratio("x\U0001F600é" * 9, "é\U0001F600x" * 40) == pytest.approx(every_window("x\U0001F600é" * 9, "é\U0001F600x" * 40))
+
+
+def test_a_good_score_needs_windows_near_its_pieces_only(monkeypatch):
+    from trialsift.functions import similarity
+
+    rng = random.Random(5)
+    cases = []
+    for _ in range(60):
+        hay = "".join(rng.choice("abcdefghij klmno") for _ in range(rng.randint(80, 400)))
+        at = rng.randint(0, len(hay) - 70)
+        base = rng.choice(["", "zz"]) + hay[at : at + 70]
+        cases.append(("".join(base[i : i + 12] for i in range(0, len(base), 13)), hay))
+    best = [every_window(q, hay) for q, hay in cases]
+    assert min(best) > 88
+
+    def refused(*_):
+        raise AssertionError("windows of the whole text")
+
+    monkeypatch.setattr(similarity, "_window_bounds", refused)
+    for (q, hay), score in zip(cases, best):
+        assert partial_ratio(q, hay) == pytest.approx(score)
+        assert partial_ratio(q, hay, score) == pytest.approx(score)
+        assert partial_ratio(q, hay, score + 0.1) == 0
+        assert partial_ratio(q, hay, 85, 85) >= 85

@@ -1,19 +1,24 @@
 """Quote verification against the texts an answer was allowed to quote.
 
-Quotes meet sources by an equi-join on the document key.  The exact test runs
-JVM-side on every row; only rows it leaves open reach the Arrow similarity UDF.
+Quotes meet sources by document: a row holds a document's quotes, its sources and its pages as arrays,
+so that a text passes a shuffle once, whatever is quoted from it.  Exact tests come first; the
+similarity score is only taken where they leave something open.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trialsift import constants as C
-from trialsift.functions.similarity import fuzzy_score
+from trialsift.functions.similarity import PIECE, partial_ratio
 from trialsift.functions.unicode import normalize_quote
 from trialsift.operators.skew import hot_key_join
-from trialsift.session import materialize
 
 ANSWER = ["doc_id", "answer_id"]
 
@@ -34,28 +39,72 @@ def normalized_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def _certain(quote: Column, text: Column) -> Column:
+def _certain(quote: str, text: str) -> bool:
     """Score 100 without any fuzzy work: contained, or the text itself lies inside a long quote."""
-    long_quote = F.length(quote) >= C.QUOTE_MIN_VERIFY_CHARS
-    return F.contains(text, quote) | (long_quote & (F.length(text) <= F.length(quote)) & F.contains(quote, text))
+    return quote in text or (C.QUOTE_MIN_VERIFY_CHARS <= len(quote) >= len(text) and text in quote)
 
 
-def _needs_fuzzy(quote: Column, text: Column) -> Column:
-    return ~_certain(quote, text) & (F.length(quote) >= C.QUOTE_MIN_VERIFY_CHARS)
+def _score(quote: str, text: str, cutoff: float, enough: float = 100.0) -> float:
+    """Verification score, 0 below the cutoff; any that reaches `enough` will do."""
+    if not quote or not text:
+        return 0.0
+    if _certain(quote, text):
+        return 100.0
+    return partial_ratio(quote, text, cutoff, enough) if len(quote) >= C.QUOTE_MIN_VERIFY_CHARS else 0.0
 
 
-def _scored(rows: DataFrame, quote: str, text: str, out: str, cutoff: float | Column) -> DataFrame:
-    """Add the verification score; the UDF sees only rows the exact test leaves open."""
-    q, t = F.col(quote), F.col(text)
-    usable = (q != "") & (t != "")
-    sure = rows.where(~usable | ~_needs_fuzzy(q, t)).withColumn(
-        out, F.when(usable & _certain(q, t), 100.0).otherwise(0.0)
-    )
-    # The UDF is heavy per row and the rows are small: spread them evenly by count.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_rows = rows.where(usable & _needs_fuzzy(q, t)).repartition(parts, *ANSWER, F.xxhash64(t))
-    fuzzy = open_rows.withColumn(out, fuzzy_score(cutoff)(q, t))
-    return sure.unionByName(fuzzy)
+def _best_scores(pairs: list[tuple[str, str]], cutoff: float) -> list[float]:
+    """Scores of (quote, text) pairs: the best one and all that reach it are exact, others may be 0.
+
+    Texts that hold many pieces of their quote come first, for a good score spares work on the others.
+    """
+
+    def shared(i: int) -> int:
+        quote, text = pairs[i]
+        return -sum(quote[k : k + PIECE] in text for k in range(0, max(1, len(quote) - PIECE + 1), PIECE // 2))
+
+    scores = [0.0] * len(pairs)
+    order = sorted(range(len(pairs)), key=shared) if len(pairs) > 1 else range(len(pairs))
+    for i in order:
+        scores[i] = _score(*pairs[i], cutoff)
+        cutoff = max(cutoff, scores[i])
+    return scores
+
+
+def _held(table: DataFrame, name: str) -> DataFrame:
+    """One row a document with its rows of the table as an array."""
+    entry = F.struct(*[c for c in table.columns if c != "doc_id"])
+    return table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(entry).alias(name))
+
+
+def _told(
+    answers: DataFrame, others: dict[str, DataFrame], fields: list[StructField], tell: Callable[..., Iterable[tuple]]
+) -> DataFrame:
+    """(doc_id, fields): what `tell` gives for each document from its quotes and its rows of the other tables.
+
+    `tell` gets `quotes` by answer and a list of dicts for each other table; a document needs a row of the first one.
+    """
+    rows = _held(answers.select(*ANSWER, "norm_quote"), "quotes")
+    for i, (name, table) in enumerate(others.items()):
+        rows = rows.join(_held(table, name), "doc_id", "left" if i else "inner")
+    schema = StructType([StructField("doc_id", answers.schema["doc_id"].dataType), *fields])
+    arrow, names = to_arrow_schema(schema), list(others)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                # texts are unpacked a document at a time
+                given = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                quotes: dict = {}
+                for q in given["quotes"]:
+                    quotes.setdefault(q["answer_id"], []).append(q["norm_quote"])
+                out = [(given["doc_id"], *row) for row in tell(quotes, *(given[name] or [] for name in names))]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(column, field.type) for column, field in zip(zip(*out), arrow)], schema=arrow
+                    )
+
+    return rows.mapInArrow(run, schema)
 
 
 def normalize_answers(answers: DataFrame) -> DataFrame:
@@ -72,22 +121,25 @@ def verify(
 ) -> DataFrame:
     """One scored row per (answer, source); a document has a handful of sources.
 
-    With `best_only` an answer's best score and the sources that reach it are exact, other scores may be
-    missing: no score passes that of an exact source, and later sources only matter from the paper's score on.
+    With `best_only` only an answer's best score and the sources that reach it.
     """
-    joined = hot_key_join(
-        answers.select(*ANSWER, "norm_quote"), sources, ["doc_id"], "inner"
-    )
-    if not best_only:
-        return _scored(joined, "norm_quote", "norm_text", "score", cutoff).drop("norm_text")
-    q, t = F.col("norm_quote"), F.col("norm_text")
-    certain = materialize(joined.where((q != "") & (t != "") & _certain(q, t)).withColumn("score", F.lit(100.0)).drop("norm_text"))
-    rest = joined.join(certain.select(*ANSWER).distinct(), ANSWER, "left_anti")
-    paper = materialize(_scored(rest.where("priority = 0"), "norm_quote", "norm_text", "score", cutoff).drop("norm_text"))
-    floor = paper.groupBy(*ANSWER).agg(F.max("score").alias("_floor"))
-    later = rest.where("priority <> 0").join(floor, ANSWER, "left")
-    reached = _scored(later, "norm_quote", "norm_text", "score", F.greatest(F.lit(cutoff), F.coalesce("_floor", F.lit(0.0))))
-    return certain.unionByName(paper).unionByName(reached.drop("norm_text", "_floor"))
+    kept = [f for f in sources.schema.fields if f.name not in ("doc_id", "norm_text")]
+    fields = [answers.schema["answer_id"], answers.schema["norm_quote"], *kept, StructField("score", DoubleType())]
+
+    def tell(quotes, sources):
+        known: dict = {}  # an unfound quote costs most and may be given for many answers
+        for answer, texts in quotes.items():
+            pairs = [(q, s) for q in texts for s in sources]
+            scores = known.get(tuple(texts))
+            if scores is None:
+                given = [(q, s["norm_text"]) for q, s in pairs]
+                scores = known[tuple(texts)] = _best_scores(given, cutoff) if best_only else [_score(*p, cutoff) for p in given]
+            least = max(scores) if best_only else 0.0
+            for (q, s), score in zip(pairs, scores):
+                if score >= least:
+                    yield (answer, q, *(s[f.name] for f in kept), score)
+
+    return _told(answers, {"sources": sources}, fields, tell)
 
 
 def exact_matches(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -99,23 +151,44 @@ def exact_matches(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _starts_in(quote: Column, text: Column) -> Column:
-    head = F.array_join(F.slice(F.split(quote, " "), 1, 2), " ")
-    return F.contains(text, head)
-
-
 #: The hyphen join of `normalize_quote`, for texts that were folded apart.
 _OVER_BREAK = r"(?U)(\w)-\s+(\w)"
 
 
-def page_candidates(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(answer, page) rows with the page alone and, where the quote may run over, joined with the next."""
-    joined = hot_key_join(quotes, pages, ["doc_id"], "inner")
-    both = F.regexp_replace(F.trim(F.concat_ws(" ", F.col("page_text"), F.col("next_text"))), _OVER_BREAK, "$1$2")
-    # A word broken at the page's end is whole only in the joined text.
-    runs_over = _starts_in(F.col("norm_quote"), F.col("page_text")) | F.col("page_text").endswith("-")
-    spill = F.when(F.col("next_text").isNotNull() & runs_over, both)
-    return joined.withColumn("spill_text", spill).drop("next_text")
+def _page_sources(pages: DataFrame) -> DataFrame:
+    """Pages with `mended`, the text of the page and the next one where a word is broken between them."""
+    both = F.trim(F.concat_ws(" ", F.col("page_text"), F.col("next_text")))
+    mended = F.regexp_replace(both, _OVER_BREAK, "$1$2")
+    return pages.select("doc_id", "page", "page_text", "next_text", F.when(mended != both, mended).alias("mended"))
+
+
+def page_candidates(quote: str, pages: list[dict]) -> list[tuple[int, str]]:
+    """(page, text) of the pages alone and, where the quote may run over, joined with the next."""
+    head = " ".join(quote.split(" ")[:2])
+    out = []
+    for p in pages:
+        text = p["page_text"]
+        if text is None:
+            continue
+        out.append((p["page"], text))
+        # A word broken at the page's end is whole only in the joined text.
+        if p["next_text"] is not None and (head in text or text.endswith("-")):
+            out.append((p["page"], p["mended"] or f"{text} {p['next_text']}".strip(" ")))
+    return out
+
+
+def _best_page(quotes: list[str], pages: list[dict], threshold: float) -> tuple[int, float] | None:
+    """(page, score) of an answer: an exact page settles it; else the best at the threshold, or without one."""
+    tried = [(page, q, text) for q in quotes for page, text in page_candidates(q, pages)]
+    exact = [page for page, q, text in tried if text and _certain(q, text)]
+    if exact or not tried:
+        return (min(exact), 100.0) if exact else None
+    pairs = [(q, text) for _, q, text in tried]
+    scores = _best_scores(pairs, threshold)
+    if max(scores) < threshold:
+        scores = _best_scores(pairs, 0.0)
+    best = max(scores)
+    return min(page for (page, _, _), score in zip(tried, scores) if score == best), best
 
 
 def locate_pages(
@@ -123,88 +196,93 @@ def locate_pages(
 ) -> DataFrame:
     """Best page per verified quote: highest score at or over the threshold, earliest page on a tie.
 
-    An exact page settles the quote at score 100, so the fuzzy pass only runs
-    for quotes without one.  Verified quotes no page reaches fall back to the
+    An exact page settles the quote at score 100.  Verified quotes no page reaches fall back to the
     best page without a threshold.
     """
-    wanted = quotes.select(*ANSWER, "norm_quote")
-    candidates = page_candidates(wanted, pages)
-    q = F.col("norm_quote")
-    sure = F.coalesce(_certain(q, F.col("page_text")) & (F.col("page_text") != ""), F.lit(False)) | F.coalesce(
-        _certain(q, F.col("spill_text")), F.lit(False)
-    )
-    exact = candidates.where(sure).groupBy(*ANSWER).agg(F.min("page").alias("page")).withColumn(
-        "page_score", F.lit(100.0)
-    )
-    def best_pages(open_quotes: DataFrame, cutoff: float) -> DataFrame:
-        texts = page_candidates(open_quotes, pages).select(
-            *ANSWER, "norm_quote", "page", F.explode(F.array_compact(F.array("page_text", "spill_text"))).alias("t")
-        )
-        scored = _scored(texts, "norm_quote", "t", "score", cutoff)
-        best = scored.groupBy(*ANSWER).agg(
-            F.min_by(F.struct("page", "score"), F.struct(-F.col("score"), F.col("page"))).alias("b")
-        )
-        return best.select(*ANSWER, F.col("b.page").alias("page"), F.col("b.score").alias("page_score"))
 
-    rest = wanted.join(exact.select(*ANSWER), ANSWER, "left_anti")
-    near = materialize(best_pages(rest, threshold).where(F.col("page_score") >= threshold))
-    fallback = best_pages(rest.join(near.select(*ANSWER), ANSWER, "left_anti"), 0.0)
-    return exact.unionByName(near).unionByName(fallback)
+    def tell(quotes, pages):
+        for answer, texts in quotes.items():
+            best = _best_page(texts, pages, threshold)
+            if best is not None:
+                yield (answer, *best)
+
+    fields = [quotes.schema["answer_id"], pages.schema["page"], StructField("page_score", DoubleType())]
+    return _told(quotes, {"pages": _page_sources(pages)}, fields, tell)
 
 
 _SOURCE = ("priority", "source_document", "page_required", "source_page")
 
 
-def _verified(scored: DataFrame, threshold: float) -> DataFrame:
-    hit = scored.where((F.col("norm_quote") != "") & (F.col("score") >= threshold))
-    return hit.groupBy(*ANSWER).agg(F.min_by(F.struct(*_SOURCE), "priority").alias("s")).select(*ANSWER, "s.*")
+def _first_source(quotes: list[str], sources: list[dict], threshold: float) -> dict | None:
+    """First source in priority order that verifies one of the quotes.
+
+    Exact tests cover all sources; the fuzzy score is only taken where a source precedes the first exact one.
+    """
+    exact = None
+    for s in sources:
+        if s["norm_text"] and any(q and _certain(q, s["norm_text"]) for q in quotes):
+            exact = s
+            break
+        if s["priority"] is None:
+            break
+    for s in sources:
+        if s is exact or s["priority"] is None or (exact is not None and s["priority"] >= exact["priority"]):
+            break
+        if any(_score(q, s["norm_text"], threshold, threshold) >= threshold for q in quotes):
+            return s
+    return exact
+
+
+def _in_order(sources: list[dict]) -> list[dict]:
+    return sorted(sources, key=lambda s: (s["priority"] is None, s["priority"] or 0, s["source_document"] or ""))
 
 
 def first_verifying_source(
     answers: DataFrame, sources: DataFrame, threshold: float = C.QUOTE_VERIFY_THRESHOLD
 ) -> DataFrame:
-    """First source in priority order that verifies each quote.
+    """First source in priority order that verifies each quote."""
+
+    def tell(quotes, sources):
+        ordered = _in_order(sources)
+        for answer, texts in quotes.items():
+            found = _first_source(texts, ordered, threshold)
+            if found is not None:
+                yield (answer, *(found[c] for c in _SOURCE))
+
+    fields = [answers.schema["answer_id"], *[sources.schema[c] for c in _SOURCE]]
+    return _told(answers, {"sources": sources}, fields, tell)
 
-    Exact tests cover all sources; the fuzzy score is only taken where a source
-    precedes the answer's first exact one, and past the paper only for quotes
-    the paper left unverified.
+
+def resolve(
+    answers: DataFrame, sources: DataFrame, pages: DataFrame, threshold: float = C.QUOTE_VERIFY_THRESHOLD
+) -> DataFrame:
+    """Verified flag, page and source per answer, as finalisation needs them.
+
+    `first_verifying_source` and `locate_pages` of a document, in one pass over its texts.
     """
-    joined = hot_key_join(answers.select(*ANSWER, "norm_quote"), sources, ["doc_id"], "inner")
-    q, t = F.col("norm_quote"), F.col("norm_text")
-    usable = joined.where((q != "") & (t != ""))
-    exact = materialize(
-        _verified(usable.where(_certain(q, t)).withColumn("score", F.lit(100.0)), threshold)
-    )
-    limit = exact.select(*ANSWER, F.col("priority").alias("_limit"))
-    undecided = (
-        usable.where(_needs_fuzzy(q, t))
-        .join(limit, ANSWER, "left")
-        .where(F.col("_limit").isNull() | (F.col("priority") < F.col("_limit")))
-        .drop("_limit")
-    )
-    in_paper = materialize(
-        _verified(_scored(undecided.where("priority = 0"), "norm_quote", "norm_text", "score", threshold), threshold)
-    )
-    later = undecided.where("priority > 0").join(in_paper.select(*ANSWER), ANSWER, "left_anti")
-    elsewhere = _verified(_scored(later, "norm_quote", "norm_text", "score", threshold), threshold)
-    found = exact.unionByName(in_paper).unionByName(elsewhere)
-    return found.groupBy(*ANSWER).agg(F.min_by(F.struct(*_SOURCE), "priority").alias("s")).select(*ANSWER, "s.*")
-
-
-def resolve(answers: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """Verified flag, page and source per answer, as finalisation needs them."""
-    # scored once, then read by the page search and the final join
-    chosen = materialize(first_verifying_source(answers, sources))
-    in_paper = chosen.where("page_required AND source_page IS NULL").join(
-        answers.select(*ANSWER, "norm_quote"), ANSWER
-    )
-    located = materialize(locate_pages(in_paper, pages).select(*ANSWER, F.col("page").alias("_page")))
-    # A source that needs a page and has none does not count; the next one in order is tried.
-    pageless = in_paper.join(located, ANSWER, "left_anti").select(*ANSWER)
-    others = sources.where("NOT (page_required AND source_page IS NULL)")
-    next_best = first_verifying_source(answers.join(pageless, ANSWER, "left_semi"), others)
-    chosen = chosen.join(pageless, ANSWER, "left_anti").unionByName(next_best)
-    resolved = chosen.join(located, ANSWER, "left").withColumn("page", F.coalesce("_page", "source_page")).drop("_page")
+
+    def tell(quotes, sources, pages):
+        ordered = _in_order(sources)
+        paged = [s for s in ordered if s["source_page"] is not None or s["page_required"] is False]
+        known: dict = {}
+        for answer, texts in quotes.items():
+            if tuple(texts) not in known:
+                known[tuple(texts)] = _first_source(texts, ordered, threshold)
+            found = known[tuple(texts)]
+            page = None
+            if found is not None and found["page_required"] and found["source_page"] is None:
+                located = _best_page(texts, pages, threshold)
+                if located is None:
+                    # A source that needs a page and has none does not count; the next one in order is tried.
+                    found = _first_source(texts, paged, threshold)
+                else:
+                    page = located[0]
+            if found is not None:
+                yield (answer, *(found[c] for c in _SOURCE), page)
+
+    fields = [answers.schema["answer_id"], *[sources.schema[c] for c in _SOURCE], StructField("_page", pages.schema["page"].dataType)]
+    chosen = _told(answers, {"sources": sources, "pages": _page_sources(pages)}, fields, tell)
+    resolved = chosen.withColumn("page", F.coalesce("_page", "source_page")).drop("_page")
     return (
         answers.join(resolved, ANSWER, "left")
         .withColumn("quote_found", F.col("priority").isNotNull() & (~F.col("page_required") | F.col("page").isNotNull()))
