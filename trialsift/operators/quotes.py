@@ -56,12 +56,12 @@ def _score(quote: str, text: str, cutoff: float, enough: float = 100.0) -> float
 def _best_scores(pairs: list[tuple[str, str]], cutoff: float) -> list[float]:
     """Scores of (quote, text) pairs: the best one and all that reach it are exact, others may be 0.
 
-    Texts that hold many pieces of their quote come first, for a good score spares work on the others.
+    Texts that hold pieces of their quote come first, for a good score spares work on the others.
     """
 
     def shared(i: int) -> int:
         quote, text = pairs[i]
-        return -sum(quote[k : k + PIECE] in text for k in range(0, max(1, len(quote) - PIECE + 1), PIECE // 2))
+        return -sum(quote[k : k + PIECE] in text for k in range(0, max(1, len(quote) - PIECE + 1), max(1, len(quote) // 4)))
 
     scores = [0.0] * len(pairs)
     order = sorted(range(len(pairs)), key=shared) if len(pairs) > 1 else range(len(pairs))
