@@ -123,10 +123,15 @@ SUPPLEMENT_HEADINGS = (
 )
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt by id, whole: what unfolds of them is grouped by document without a further shuffle."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _pages(spark: SparkSession, sf_dir: str, headings, mark: str, every: int, stride: int, line: str = "line") -> DataFrame:
     listed = ", ".join("'" + h + "'" for h in headings)
     return (
-        table(spark, sf_dir, "documents")
+        dealt_documents(spark, sf_dir)
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
         .selectExpr("doc_id", "page", f"{line} AS line")
         .selectExpr(
