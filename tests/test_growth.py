@@ -163,3 +163,31 @@ def test_lines_are_headings_whatever_stands_around_them(spark):
     found = sorted((r.offset, r.label) for r in heads.collect())
     starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(4)]
     assert found == [(o, label) for o in starts]
+
+
+def test_a_folder_is_listed_by_a_task(spark, tmp_path):
+    """Spark's own listing holds every file on the driver; what is found in the folder stays the same."""
+    import gzip
+
+    from trialsift.sources import readers
+
+    texts = {"NCT00000001.json": '\ufeff{"a":\n 1}\n', "nct00000002.json": "", "x y%20é.json": "é\r\n", "_hidden.json": "h", ".dot.json": "d", "a=b.pdf": "p", "c.pdf": "q", "_k=v.pdf": "r"}
+    folder = tmp_path / "in here"
+    (folder / "below").mkdir(parents=True)
+    (folder / "below" / "NCT00000009.json").write_text("deep")
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode())
+    with gzip.open(folder / "z.json.gz", "wt") as out:
+        out.write("packed")
+    for path in (str(folder), f"file://{folder}"):
+        own = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(str(folder))
+        found = readers.read_supplement_files(spark, path)
+        assert "FileScan" not in _plan(found, "optimizedPlan") and "Relation" not in _plan(found, "optimizedPlan")
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in own.selectExpr("path", "length", "sha2(content, 256)").orderBy("path").collect()]
+        records = readers.read_registry(spark, path)
+        assert "Relation" not in _plan(records, "optimizedPlan")
+        seen = [text.removeprefix("\ufeff") for name, text in texts.items() if name[0] != "." and name != "_hidden.json"]
+        assert sorted(r.body for r in records.collect()) == sorted([*seen, "packed"])
+        assert {r.nct: r.body for r in records.where("nct IS NOT NULL").collect()} == {
+            "NCT00000001": '{"a":\n 1}\n', "NCT00000002": ""
+        }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from urllib.parse import urlparse
 
 import pandas as pd
@@ -49,39 +52,98 @@ def _fields() -> str:
     return ", ".join(f"{c.split()[0]}: string" for c in MANIFEST.split(", "))
 
 
-#: Bytes of a file read at once when it is hashed.
-CHUNK = 1 << 20
-#: File systems that tasks can open themselves; files of others are read whole by Spark's own reader.
+#: Bytes of a file read at once when it is hashed, and entries of a folder in one batch of its listing.
+CHUNK, LISTED = 1 << 20, 10_000
+#: Files whose texts are in memory at once.
+READ = 100
+#: File systems that tasks can open themselves; files of others are listed and read by Spark's own reader.
 _OPENED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
 
 
+def _entries(folder: str) -> Iterator[tuple[str, str, int]]:
+    """(name, path, length) of the files directly inside a folder, or of the one file of that path, as they are met."""
+    if (urlparse(folder).scheme or "file") == "file":
+        root = os.path.abspath(re.sub("^file:/+", "/", folder))
+        if os.path.isfile(root):
+            yield os.path.basename(root), f"file:{root}", os.path.getsize(root)
+            return
+        # a generator: a folder of millions of files is never held whole
+        with os.scandir(root) as found:
+            for e in found:
+                if e.is_file():
+                    yield e.name, f"file:{os.path.join(root, e.name)}", e.stat().st_size
+        return
+    files, root = fs.FileSystem.from_uri(folder)
+    head = folder[: len(folder) - len(urlparse(folder).path)]
+    at = files.get_file_info(root)
+    if at.type == fs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    path = urlparse(folder).path.rstrip("/")
+    for info in [at] if at.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root)):
+        if info.type == fs.FileType.File:
+            yield info.base_name, f"{head}{path}" if info is at else f"{head}{path}/{info.base_name}", info.size
+
+
+def _list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, length) of the files directly inside a folder, without the hidden ones, listed by a task and dealt out by path.
+
+    Spark's own listing keeps every file of a folder on the driver.
+    """
+
+    def listed(frames):
+        for frame in frames:
+            for folder in frame["folder"]:
+                held: list[tuple[str, int]] = []
+                for name, path, length in _entries(folder):
+                    # what Spark takes for no data
+                    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+                    if not hidden and fnmatchcase(name, pattern):
+                        held.append((path, length))
+                    if len(held) == LISTED:
+                        yield pd.DataFrame(held, columns=["path", "length"])
+                        held = []
+                yield pd.DataFrame(held, columns=["path", "length"])
+
+    found = spark.createDataFrame([(folder,)], "folder string").coalesce(1).mapInPandas(listed, "path string, length long")
+    # a file is a row of a few bytes and much work
+    return found.repartition(file_tasks(spark), "path")
+
+
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks that share the files of a folder, whatever their names' few bytes would seem to need."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _hashed(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in paths:
         out = []
         for path in frame["path"]:
-            files, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path)
+            files, name = _opened(path)
             digest = hashlib.sha256()
-            with files.open_input_stream(name) as source:
+            with files.open_input_stream(name, compression=None) as source:
                 while chunk := source.read(CHUNK):
                     digest.update(chunk)
             out.append(digest.hexdigest())
         yield frame.assign(sha256=out)
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and name of a listed path; local names stand as they are, whatever signs they hold."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
 def read_file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, sha256) of the files directly inside a folder.
 
-    Files are listed without their contents, dealt out by number, and read a MiB at a time, so a file
-    may be of any size.
+    Files are listed by a task, dealt out by path, and read a MiB at a time, so a file
+    may be of any size and a folder may hold any number.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    scheme = urlparse(folder).scheme or "file"
-    if scheme not in _OPENED:
+    if (urlparse(folder).scheme or "file") not in _OPENED:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
         return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
-    listed = found.select("path", "length")
-    # a file is a row of a few bytes and much work
-    spread = listed.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
-    return spread.mapInPandas(_hashed, "path string, length long, sha256 string")
+    return _list_files(spark, folder, pattern).mapInPandas(_hashed, "path string, length long, sha256 string")
 
 
 def read_supplement_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,11 +183,28 @@ def read_predictions(results: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _bodies(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in paths:
+        for at in range(0, len(frame), READ):
+            some = frame["path"].iloc[at : at + READ]
+            out = []
+            for path in some:
+                files, name = _opened(path)
+                # a packed file is unpacked by its ending, as Spark does
+                with files.open_input_stream(name) as source:
+                    out.append(source.read().removeprefix(codecs.BOM_UTF8))
+            yield pd.DataFrame({"path": some.to_numpy(), "body": out})
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry snapshots, one JSON document per file named by its id; malformed bodies stay text."""
-    return spark.read.option("wholetext", True).text(path).select(
-        T.strict_nct(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)).alias("nct"), F.col("value").alias("body")
-    )
+    name = r"([^/]*)\.json$"
+    if (urlparse(path).scheme or "file") not in _OPENED:
+        return spark.read.text(path, wholetext=True).select(
+            T.strict_nct(F.regexp_extract(F.input_file_name(), name, 1)).alias("nct"), F.col("value").alias("body")
+        )
+    read = _list_files(spark, path, "*").mapInPandas(_bodies, "path string, body binary")
+    return read.select(T.strict_nct(F.regexp_extract("path", name, 1)).alias("nct"), F.col("body").cast("string").alias("body"))
 
 
 def _timed(events: DataFrame) -> DataFrame:
